@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordsync.llm import simhash
+from recordsync.llm import linededup, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +27,27 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate group of every document."""
     groups = simhash.near_groups(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")
+
+
+@_query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of every document from the chain fitted on its labelled ones."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = toxicity.toxic_scores(docs.select("doc_id", "text"), docs, labels).drop("text")
+    return scored.withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
+@_query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a third of the ids is held out of learning."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    ranked = quality.rank(docs, quality.fit(docs, labels.where(~held)))
+    return ranked.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@_query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many of them repeat earlier ones, and a digest of what stays."""
+    out = linededup.deduplicate(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
