@@ -45,3 +45,12 @@ def row_key(text: str = "text") -> F.Column:
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased UTF-8 words: runs of ASCII letters and digits and of non-ASCII bytes."""
     return (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
+
+
+def tokenizer_path(name: str, folder: str | None = None) -> str:
+    """Path of a public tokenizer's file, in ``folder`` if given, else in the installed package of such files."""
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
