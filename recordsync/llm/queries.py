@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordsync.llm import decontam, linededup, packing, quality, simhash, toxicity
+from recordsync.llm import decontam, linededup, lm, packing, quality, simhash, toxicity
 from recordsync.llm._common import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document into which a benchmark item leaks, and that item."""
     found = decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "score", "first_word", "last_word")
+
+
+@_query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a model of nine tenths of them; those without an id are not learned from."""
+    docs = _table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(True))
+    model, counts = lm.train(docs.where(~held))
+    return lm.score(docs, model, counts).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
