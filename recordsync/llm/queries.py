@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordsync.llm import decontam, linededup, lm, packing, quality, simhash, toxicity
+from recordsync.llm import chat, decontam, licenses, linededup, lm, packing, quality, simhash, toxicity
 from recordsync.llm._common import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,40 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(True))
     model, counts = lm.train(docs.where(~held))
     return lm.score(docs, model, counts).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@_query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and wordings in every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+@_query
+def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every dialogue from the perspective of each participant."""
+    out = chat.rotate(_table(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string")))
+    chars = F.aggregate("mask", F.lit(0).cast("long"), lambda n, m: n + m["end"] - m["start"])
+    return out.select("conv_id", "speaker", "n_turns", F.md5("text").alias("text_md5"), F.array_join(spans, ",").alias("mask"), chars.alias("n_masked"))
+
+
+ORACLES["op5_chat_perspectives"] = r"""
+with t as (
+    select conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), numbered as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as no from t
+), seen as (
+    select p.speaker, n.conv_id, n.no, n.text, n.role = p.speaker as own,
+        case when n.role = p.speaker then '<|assistant|>' || chr(10) else '<|user name=' || n.role || '|>' || chr(10) end as head
+    from numbered n join (select distinct conv_id, role as speaker from t) p using (conv_id)
+), placed as (
+    select *, length(head) + coalesce(sum(length(head) + length(text) + 8) over (
+        partition by conv_id, speaker order by no rows between unbounded preceding and 1 preceding), 0) as start
+    from seen
+)
+select conv_id, speaker, count(*) as n_turns,
+    md5(string_agg(head || text || '<|end|>' || chr(10), '' order by no)) as text_md5,
+    string_agg(start::bigint || '-' || (start + length(text))::bigint, ',' order by no) filter (own) as mask,
+    cast(sum(length(text)) filter (own) as bigint) as n_masked
+from placed group by conv_id, speaker
+"""
