@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordsync.llm import chat, decontam, licenses, linededup, lm, packing, quality, simhash, toxicity
+from recordsync.llm import chat, decontam, licenses, linededup, lm, media, packing, quality, simhash, toxicity
 from recordsync.llm._common import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,9 @@ select conv_id, speaker, count(*) as n_turns,
     cast(sum(length(text)) filter (own) as bigint) as n_masked
 from placed group by conv_id, speaker
 """
+
+
+@_query
+def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of copies among the pictures drawn from all vectors, and edited copies of a tenth of them."""
+    return media.copies(media.pictures(_table(spark, sf_dir, "embeddings")))
