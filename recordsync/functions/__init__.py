@@ -1,0 +1 @@
+"""Column expressions that the operators are made of."""
