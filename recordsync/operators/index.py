@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordsync.functions.ids import content_element, other_ids
 from recordsync.functions.text import word_set
+from recordsync.operators.order import numbered
 
 
 def metadata(records: DataFrame, text: str = "text") -> DataFrame:
@@ -152,16 +153,6 @@ def first_wins(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> Dat
     return rows.groupBy(*key).agg(F.min_by(rest, F.struct(*order)).alias("_r")).select(*key, "_r.*").select(rows.columns)
 
 
-def bundles(rows: DataFrame, order: str, size: int = 100, share: str = "_share", shares: int = 64) -> DataFrame:
-    """``rows`` with the number of the bundle of ``size`` that each falls in, by ascending ``order``.
-
-    Rows are dealt out by ranges of ``order`` and numbered within each; only the ranges' row counts
-    meet in one place.
-    """
-    dealt = rows.repartitionByRange(shares, order).withColumn(share, F.spark_partition_id())
-    inside = dealt.withColumn("_in", F.row_number().over(Window.partitionBy(share).orderBy(order)))
-    counts = inside.groupBy(share).agg(F.count("*").alias("_n"))
-    ahead = F.coalesce(F.sum("_n").over(Window.orderBy(share).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = counts.select(share, ahead.alias("_before"))
-    numbered = inside.join(F.broadcast(before), share)  # a row for each share
-    return numbered.withColumn("bundle", F.floor((F.col("_before") + F.col("_in") - 1) / size)).drop(share, "_in", "_before")
+def bundles(rows: DataFrame, order: str, *ties: str, size: int = 100) -> DataFrame:
+    """``rows`` with the number of the bundle of ``size`` that each falls in, by ascending ``order``, a number."""
+    return numbered(rows, order, *ties, name="_no").withColumn("bundle", F.floor((F.col("_no") - 1) / size)).drop("_no")
