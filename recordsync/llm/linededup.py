@@ -21,35 +21,69 @@ from pyspark.sql import functions as F
 from recordsync.llm._common import materialise, row_key
 
 _BASE = 0x9E3779B97F4A7C15
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
-    """``(key, doc_id, line_no, line, n_words, h)``: the lines of ``docs`` of ``min_words`` or more, numbered from 0."""
-    at = docs.select(row_key().alias("key"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    line = F.trim(F.regexp_replace(F.translate("raw", _UPPER, _LOWER), r"[ \t\x0B\f\r]+", " "))
-    at = at.withColumn("line", line).drop("raw")
-    at = at.withColumn("n_words", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
-    return at.where(F.col("n_words") >= min_words).withColumn("h", F.xxhash64("line"))
+def canonical(line: str) -> bytes:
+    """The line's words, A-Z lower-cased, with one space between them."""
+    return b" ".join(line.encode("utf-8", "surrogatepass").lower().split())
 
 
-def _halves() -> F.Column:
+def half_keys(words: list[bytes]) -> list[int]:
     """Hashes of the first and last half, for a partner of as many words or more, and for one of fewer."""
-    keys = []
-    for shorter in (F.col("n_words"), F.col("n_words") - 1):
-        half = F.floor(shorter / 2).cast("int")
-        first = F.call_function("substring_index", F.col("line"), F.lit(" "), half)
-        last = F.call_function("substring_index", F.col("line"), F.lit(" "), half - shorter)
-        keys += [F.xxhash64(F.lit(1), shorter, first), F.xxhash64(F.lit(2), shorter, last)]
-    return F.array(*keys)
+    out = []
+    for shorter in (len(words), len(words) - 1):
+        half = shorter // 2
+        out += [b"<%d " % shorter + b" ".join(words[:half]), b">%d " % shorter + b" ".join(words[len(words) - shorter + half :])]
+    return [xxhash.xxh64_intdigest(k) for k in out]
 
 
-def variant_hashes(line: str) -> np.ndarray:
+def _lines(edit_words: int, min_words: int):
+    """Rows of all lines of ``min_words`` or more; the halves count from ``edit_words``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at, rows = [], []
+            for i, text in enumerate(pdf["text"]):
+                for no, line in enumerate((text or "").split("\n")):
+                    words = line.encode("utf-8", "surrogatepass").lower().split()
+                    if len(words) >= min_words:
+                        at.append(i)
+                        rows.append((no, xxhash.xxh64_intdigest(b" ".join(words)), *(half_keys(words) if len(words) >= edit_words else (0, 0, 0, 0))))
+            n = np.array(rows, np.uint64).reshape(-1, 6).view(np.int64)
+            yield pd.DataFrame({
+                "key": pdf["key"].to_numpy()[at], "doc_id": pdf["doc_id"].array[at], "line_no": n[:, 0], "h": n[:, 1],
+                "k1": n[:, 2], "k2": n[:, 3], "k3": n[:, 4], "k4": n[:, 5],
+            })
+
+    return run
+
+
+def _marks(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Two places of each hash in a filter of 2^``bits`` bits."""
+    h = hashes.view(np.uint64)
+    return np.stack([h >> np.uint64(64 - bits), (h * np.uint64(_BASE)) >> np.uint64(64 - bits)]).astype(np.int64)
+
+
+def _filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of the longs in column ``half``: its size is fixed, whatever their number."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = np.unique(_marks(pdf["half"].to_numpy(np.int64), bits))
+            yield pd.DataFrame({"block": at >> 6, "word": (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64)})
+
+    got = hashes.mapInPandas(run, "block long, word long").groupBy("block").agg(F.bit_or("word").alias("word")).toPandas()
+    out = np.zeros(1 << bits - 6, np.int64)
+    out[got["block"]] = got["word"]
+    return out.view(np.uint8)
+
+
+def variant_hashes(line: bytes) -> np.ndarray:
     """Hash of the line without its i-th word for each i, then of the whole line.
 
     Equal word sequences have equal hashes, however they come about.
     """
-    x = np.array([xxhash.xxh64_intdigest(w) for w in line.split(" ")], np.uint64)
+    x = np.array([xxhash.xxh64_intdigest(w) for w in line.split(b" ")], np.uint64)
     n, base = len(x), np.uint64(_BASE)
     powers = np.ones(n + 1, np.uint64)
     powers[1:] = base
@@ -65,20 +99,19 @@ def variant_hashes(line: str) -> np.ndarray:
 
 def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        n = pdf["n_words"].to_numpy()
-        rows = np.repeat(np.arange(len(pdf)), n + 1)
-        pos = np.concatenate([np.arange(1, k + 2) for k in n] or [np.empty(0, int)])
-        whole = pos == n[rows] + 1
+        hashes = [variant_hashes(t) for t in pdf["line"]]
+        size = np.array([len(x) for x in hashes], int)
+        pos = np.concatenate([np.arange(1, k + 1) for k in size] or [np.empty(0, int)])
+        whole = pos == np.repeat(size, size)
         yield pd.DataFrame({
-            "h": pdf["h"].to_numpy()[rows], "first": pdf["first"].to_numpy()[rows],
-            "variant": np.concatenate([variant_hashes(t) for t in pdf["line"]] or [np.empty(0, np.int64)]),
-            "m": n[rows] - ~whole, "pos": np.where(whole, 0, pos),
+            "o": np.repeat(pdf["o"].to_numpy(), size), "variant": np.concatenate(hashes or [np.empty(0, np.int64)]),
+            "m": np.repeat(size, size) - 2 + whole, "pos": np.where(whole, 0, pos),
         })
 
 
-def within_one_edit(a: str, b: str) -> bool:
+def within_one_edit(a: bytes, b: bytes) -> bool:
     """Whether one word inserted, deleted or replaced makes ``a`` into ``b``."""
-    x, y = sorted((a.split(" "), b.split(" ")), key=len)
+    x, y = sorted((a.split(b" "), b.split(b" ")), key=len)
     i = 0
     while i < len(x) and x[i] == y[i]:
         i += 1
@@ -90,52 +123,59 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[[within_one_edit(a, b) for a, b in zip(pdf["line"], pdf["line2"], strict=True)], ["h"]]
 
 
-def repeated_lines(docs: DataFrame, min_words: int = 5, edit_words: int = 10) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = 5, edit_words: int = 10, filter_bits: int = 26) -> DataFrame:
     """``(key, line_no)`` of each line of ``docs`` that repeats an earlier one and is to go.
 
     Order is by doc_id (nulls last), then line number. A line of ``min_words`` or more goes if the same
     words stand in an earlier line; one of ``edit_words`` or more also if an earlier line of that length is
     one word's edit away. Shorter lines never go. Rows that agree in doc_id and text are one document.
+    Halves that lines share go to the workers as a Bloom filter of 2^``filter_bits`` bits; what it lets
+    through beyond them only costs time.
     """
-    every = lines(docs, min_words)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), F.col("key"))
-    places = materialise(every.select("key", "line_no", "h", order.alias("place"), F.when(F.col("n_words") >= edit_words, _halves()).alias("halves")))
-    first = materialise(
-        places.groupBy("h").agg(F.min("place").alias("place"), F.count("*").alias("n"), F.first("halves").alias("halves"))
-    )
-    half = first.select("h", F.explode("halves").alias("half"))
+    whole = docs.select(row_key().alias("key"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    places = materialise(whole.mapInPandas(_lines(edit_words, min_words), "key long, doc_id long, line_no long, h long, k1 long, k2 long, k3 long, k4 long"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "key")
+    first = materialise(places.groupBy("h").agg(F.min(order).alias("place"), F.count("*").alias("n")))
+    # Lines under edit_words have four zeros here.
+    half = places.where("k1 <> 0 or k2 <> 0").select("h", F.explode(F.array("k1", "k2", "k3", "k4")).alias("half"))
     shared = half.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
-    maybe = half.join(shared, "half", "left_semi").select("h").distinct()
-    # The text of a line that shares a half, from its first place alone.
-    spots = first.join(maybe, "h").select("h", F.col("place.key").alias("key"), F.col("place.line_no").alias("line_no"), "place")
-    spots = materialise(spots)
-    texts = every.where(F.col("n_words") >= edit_words).select("key", F.col("line_no").cast("long").alias("line_no"), "line", "n_words", "h")
-    texts = materialise(
-        texts.join(spots.drop("key", "line_no"), "h")
-        .where((F.col("key") == F.col("place.key")) & (F.col("line_no") == F.col("place.line_no")))
-        .select("h", "line", "n_words", "place").dropDuplicates(["h"])
-    )
-    # Places become ranks that Python carries: order keys of fixed width.
-    ranked = texts.withColumn("first", F.concat(
-        F.when(F.col("place.none"), "1").otherwise("0"),
-        F.lpad(F.hex(F.coalesce(F.col("place.doc_id"), F.lit(0)).bitwiseXOR(F.lit(-(2**63)))), 16, "0"),
-        F.lpad(F.hex("place.line_no"), 16, "0"), F.lpad(F.hex(F.col("place.key").bitwiseXOR(F.lit(-(2**63)))), 16, "0"),
-    ))
-    v = materialise(ranked.select("h", "first", "line", "n_words").mapInPandas(_variants, "h long, first string, variant long, m int, pos int"))
-    own = F.struct("first", "h")
-    replaced = v.where("pos > 0").groupBy("variant", "m", "pos").agg(F.min(own).alias("e"), F.count("*").alias("n")).where("n > 1").drop("n")
-    by_replaced = v.join(replaced, ["variant", "m", "pos"]).select("h", "first", "e")
-    sides = v.groupBy("variant", "m").agg(F.min(F.when(F.col("pos") == 0, own)).alias("w"), F.min(F.when(F.col("pos") > 0, own)).alias("d"))
-    sides = sides.where("w is not null and d is not null")
-    by_deleted = v.join(sides, ["variant", "m"]).select("h", "first", F.when(F.col("pos") == 0, F.col("d")).otherwise(F.col("w")).alias("e"))
-    edits = by_replaced.unionByName(by_deleted).where("e.first < first").groupBy("h").agg(F.min("e.first").alias("f"), F.min_by("e.h", "e.first").alias("h2"))
-    text = texts.select("h", "line")
-    near = (
-        edits.join(text, "h").join(text.select(F.col("h").alias("h2"), F.col("line").alias("line2")), "h2")
-        .select("h", "line", "line2").mapInPandas(_verify, "h long")
-    )
-    keep = first.join(near.withColumn("near", F.lit(True)), "h", "left").where("n > 1 or near").select("h", F.when(F.col("near").isNull(), F.col("place")).alias("only"))
-    return places.join(keep, "h").where("only is null or place <> only").select("key", "line_no")
+    bloom = docs.sparkSession.sparkContext.broadcast(_filter(shared, filter_bits))
+
+    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at, rows, keys = [], [], []
+            for i, text in enumerate(pdf["text"]):
+                for no, line in enumerate((text or "").split("\n")):
+                    words = line.encode("utf-8", "surrogatepass").lower().split()
+                    if len(words) >= edit_words:
+                        at.append(i)
+                        rows.append((no, b" ".join(words)))
+                        keys.append(half_keys(words))
+            marks = _marks(np.array(keys, np.uint64).reshape(-1, 4).view(np.int64), filter_bits)
+            hit = (bloom.value[marks >> 3] >> (marks & 7).astype(np.uint8) & 1).all(axis=0).any(axis=1)
+            kept = np.flatnonzero(hit)
+            yield pd.DataFrame({
+                "key": pdf["key"].to_numpy()[np.array(at, int)[kept]], "line_no": [rows[r][0] for r in kept], "line": [rows[r][1] for r in kept],
+                "h": np.array([xxhash.xxh64_intdigest(rows[r][1]) for r in kept], np.uint64).view(np.int64),
+            })
+
+    # One copy of each candidate's text, from its first place, numbered in order of these places.
+    found = whole.mapInPandas(candidates, "key long, line_no long, line binary, h long")
+    spots = first.select("h", F.col("place.key").alias("key"), F.col("place.line_no").alias("line_no"), "place")
+    texts = found.join(spots, ["h", "key", "line_no"]).dropDuplicates(["h"])
+    texts = materialise(texts.orderBy("place", "h").select(F.monotonically_increasing_id().alias("o"), "h", "line"))
+    v = materialise(texts.select("o", "line").mapInPandas(_variants, "o long, variant long, m int, pos int"))
+    replaced = v.where("pos > 0").groupBy("variant", "m", "pos").agg(F.min("o").alias("e"), F.max("o").alias("f")).where("e < f").drop("f")
+    sides = v.groupBy("variant", "m").agg(F.min(F.when(F.col("pos") == 0, F.col("o"))).alias("w"), F.min(F.when(F.col("pos") > 0, F.col("o"))).alias("d"))
+    by_replaced = v.join(replaced, ["variant", "m", "pos"]).select("o", "e")
+    by_deleted = v.join(sides.where("w is not null and d is not null"), ["variant", "m"])
+    by_deleted = by_deleted.select("o", F.when(F.col("pos") == 0, F.col("d")).otherwise(F.col("w")).alias("e"))
+    edits = by_replaced.unionByName(by_deleted).where("e < o").groupBy("o").agg(F.min("e").alias("e"))
+    earlier = texts.select(F.col("o").alias("e"), F.col("line").alias("line2"))
+    near = edits.join(texts, "o").join(earlier, "e").select("h", "line", "line2").mapInPandas(_verify, "h long")
+    keep = first.join(near.withColumn("near", F.lit(True)), "h", "left").where("n > 1 or near")
+    keep = keep.select("h", F.when(F.col("near").isNull(), F.col("place")).alias("only"))
+    return places.select("key", "line_no", "h", order.alias("place")).join(keep, "h").where("only is null or place <> only").select("key", "line_no")
 
 
 def deduplicate(docs: DataFrame, min_words: int = 5, edit_words: int = 10) -> DataFrame:
