@@ -1,0 +1 @@
+"""Sources: binary dumps, armored text, logs, pages, spool folders."""
