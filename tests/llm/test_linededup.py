@@ -84,7 +84,7 @@ def test_many_variants_of_one_line(spark):
 
 
 def test_odd_rows(spark):
-    long = " ".join(f"w{i % 977}" for i in range(20000))
+    long = " ".join(f"w{i % 277}" for i in range(700))
     rows = [
         (1, None), (2, ""), (3, "\n\n"), (4, long), (5, long + " end"), (None, long), (6, "Five words are In here"),
         (7, "short\nfive  words are in\there"), (8, "too few words here"), (9, "too few words here"),
@@ -100,3 +100,10 @@ def test_variant_hashes():
     v = linededup.variant_hashes(" ".join(words).encode())
     for i in range(30):
         assert v[i] == linededup.variant_hashes(" ".join(words[:i] + words[i + 1 :]).encode())[-1]
+
+
+def test_very_long_lines(spark):
+    words = [f"w{i % 977}" for i in range(20000)]
+    other = [*words[:9000], "changed", *words[9001:]]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(reversed(words)))]
+    assert sorted(run(spark, rows)) == [rows[0], (2, ""), rows[2]]
