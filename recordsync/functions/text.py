@@ -76,3 +76,11 @@ def url_options(url: Column) -> Column:
     names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
     last = F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda p: p["k"] == n), -1)["v"])
     return F.map_from_arrays(names, F.transform(last, lambda v: F.url_decode(v)))
+
+
+def url_encode(text: Column) -> Column:
+    """Text for a query string: blanks as ``+``; ``= & " + `` and line ends as %HH; all else as it is."""
+    # Escaped marks, the plus first since blanks become one.
+    for mark, code in (("+", "%2B"), ("=", "%3D"), ("&", "%26"), ('"', "%22"), ("\r", "%0D"), ("\n", "%0A"), (" ", "+")):
+        text = F.replace(text, F.lit(mark), F.lit(code))
+    return text
