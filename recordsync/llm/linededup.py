@@ -165,11 +165,14 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, edit_words: int = 10, fi
     texts = found.join(spots, ["h", "key", "line_no"]).dropDuplicates(["h"])
     texts = materialise(texts.orderBy("place", "h").select(F.monotonically_increasing_id().alias("o"), "h", "line"))
     v = materialise(texts.select("o", "line").mapInPandas(_variants, "o long, variant long, m int, pos int"))
+    # Most variants stand alone: only those that lines share go on.
+    sides = v.groupBy("variant", "m").agg(
+        F.min(F.when(F.col("pos") == 0, F.col("o"))).alias("w"), F.min(F.when(F.col("pos") > 0, F.col("o"))).alias("d"), F.count("*").alias("n")
+    )
+    v = materialise(v.join(sides.where("n > 1").drop("n"), ["variant", "m"]))
     replaced = v.where("pos > 0").groupBy("variant", "m", "pos").agg(F.min("o").alias("e"), F.max("o").alias("f")).where("e < f").drop("f")
-    sides = v.groupBy("variant", "m").agg(F.min(F.when(F.col("pos") == 0, F.col("o"))).alias("w"), F.min(F.when(F.col("pos") > 0, F.col("o"))).alias("d"))
     by_replaced = v.join(replaced, ["variant", "m", "pos"]).select("o", "e")
-    by_deleted = v.join(sides.where("w is not null and d is not null"), ["variant", "m"])
-    by_deleted = by_deleted.select("o", F.when(F.col("pos") == 0, F.col("d")).otherwise(F.col("w")).alias("e"))
+    by_deleted = v.where("w is not null and d is not null").select("o", F.when(F.col("pos") == 0, F.col("d")).otherwise(F.col("w")).alias("e"))
     edits = by_replaced.unionByName(by_deleted).where("e < o").groupBy("o").agg(F.min("e").alias("e"))
     earlier = texts.select(F.col("o").alias("e"), F.col("line").alias("line2"))
     near = edits.join(texts, "o").join(earlier, "e").select("h", "line", "line2").mapInPandas(_verify, "h long")
