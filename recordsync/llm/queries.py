@@ -117,3 +117,27 @@ from placed group by conv_id, speaker
 def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of copies among the pictures drawn from all vectors, and edited copies of a tenth of them."""
     return media.copies(media.pictures(_table(spark, sf_dir, "embeddings")))
+
+
+ORACLES["op3_line_dedup"] = r"""
+with l as (
+    select doc_id, i - 1 as line_no, raw,
+        [w for w in string_split_regex(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\x0b\f\r]+') if w <> ''] as words
+    from documents, unnest(string_split(text, chr(10))) with ordinality as t(raw, i)
+), u as (
+    select words, min({d: doc_id, n: line_no}) as place from l where len(words) >= 5 group by words
+), v as (
+    select place, 0 as pos, array_to_string(words, ' ') as variant from u where len(words) >= 10
+    union all
+    select place, p, array_to_string(list_concat(words[:p - 1], words[p + 1:]), ' ') from u, range(1, len(words) + 1) as r(p) where len(words) >= 10
+), near as (
+    select distinct b.place from v a join v b on a.variant = b.variant and a.place < b.place
+    where a.pos = b.pos or a.pos = 0 or b.pos = 0
+), kept as (
+    select l.*, len(l.words) >= 5 and ({d: doc_id, n: line_no} <> u.place or u.place in (select place from near)) as gone
+    from l left join u using (words)
+)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+    md5(coalesce(string_agg(raw, chr(10) order by line_no) filter (not gone), '')) as text_md5
+from kept group by doc_id
+"""
