@@ -142,8 +142,9 @@ def test_spool(spark, tmp_path):
     assert spark.read.parquet(where[0] + "/batch=*").count() == 1 and spark.read.parquet(where[1] + "/batch=*").count() == 1
     for name, body in (("5.ready", blocks["b"]), ("6.ready", blocks["a"])):
         (spool / name).write_text(body)
-    st.ingest_spool(spark, str(spool), *where)
+    st.ingest_spool(spark, str(spool), *where, outbox=str(tmp_path / "outbox"))
     assert spark.read.parquet(where[0] + "/batch=*").count() == 2
+    assert spark.read.parquet(str(tmp_path / "outbox/batch=*")).count() == 1
 
 
 def test_log_file(spark, tmp_path):
