@@ -44,7 +44,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     ranked = quality.rank(docs, quality.fit(docs, labels.where(~held)))
-    return ranked.select("doc_id", held.alias("held_out"), "score", "predicted")
+    return ranked.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @_query
@@ -141,3 +141,43 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
     md5(coalesce(string_agg(raw, chr(10) order by line_no) filter (not gone), '')) as text_md5
 from kept group by doc_id
 """
+
+
+_TEMPLATES = ", ".join(
+    f"({i}, '{label}', '{text}', {i < len(licenses.PHRASES)})" for i, (label, text) in enumerate([*licenses.PHRASES, *licenses.WORDINGS])
+)
+ORACLES["op7_license_scan"] = rf"""
+with d as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from documents
+), t as (
+    select template, label, string_split(text, ' ') as w, whole from (values {_TEMPLATES}) as v(template, label, text, whole)
+), tg as (
+    select template, label, whole, len(w) as size, i - 1 as off, array_to_string(w[i:i + 2], ' ') as gram from t, range(1, len(w) - 1) as r(i)
+), dg as (
+    select doc_id, i - 1 as pos, array_to_string(w[i:i + 2], ' ') as gram from d, range(1, len(w) - 1) as r(i)
+), votes as (
+    select doc_id, template, label, whole, size, pos - off as diagonal, list(distinct off) as offs, min(pos) as low, max(pos) + 2 as high
+    from dg join tg using (gram) group by all
+), steps as (
+    select *, coalesce(whole or diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal) > 3, true)::int as fresh from votes
+), grouped as (
+    select *, sum(fresh) over (partition by doc_id, template order by diagonal) as grp from steps
+), merged as (
+    select doc_id, template, label, whole, size, grp, list_distinct(flatten(list(offs))) as offs, min(low) as low, max(high) as high, min(diagonal) as diagonal
+    from grouped group by doc_id, template, label, whole, size, grp
+), spans as (
+    select *, len(list_distinct(flatten([[o, o + 1, o + 2] for o in offs]))) / size as part from merged
+), counted as (
+    select * from spans where case when whole then part = 1 else part >= 0.7 and high - low + 1 <= 1.5 * size + 3 end
+), found as (
+    select doc_id, count(*) filter (whole) as n_base, min(diagonal) filter (whole) as first_word, max(diagonal) filter (whole) as last_word,
+        coalesce(array_to_string(list_sort(list(distinct label) filter (whole)), ','), '') as base_labels,
+        array_to_string(list_sort(list(distinct label)), ',') as labels, max(part) as score
+    from counted group by doc_id
+)
+select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels,
+    coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score
+from d left join found using (doc_id)
+"""
