@@ -72,9 +72,9 @@ def _filter(hashes: DataFrame, bits: int) -> np.ndarray:
             at = np.unique(_marks(pdf["half"].to_numpy(np.int64), bits))
             yield pd.DataFrame({"block": at >> 6, "word": (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64)})
 
-    got = hashes.mapInPandas(run, "block long, word long").groupBy("block").agg(F.bit_or("word").alias("word")).toPandas()
+    got = hashes.mapInPandas(run, "block long, word long").groupBy("block").agg(F.bit_or("word").alias("word")).toArrow()
     out = np.zeros(1 << bits - 6, np.int64)
-    out[got["block"]] = got["word"]
+    out[got["block"].to_numpy()] = got["word"].to_numpy()
     return out.view(np.uint8)
 
 

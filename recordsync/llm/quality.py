@@ -71,7 +71,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: i
     )
     # At most max_train small rows: a bounded broadcast.
     rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text")
-    got = rows.mapInPandas(_features, "doc_id long, y int, x array<double>").dropDuplicates(["doc_id"]).toPandas()
+    got = rows.mapInPandas(_features, "doc_id long, y int, x array<double>").dropDuplicates(["doc_id"]).toArrow().to_pandas()
     if got.empty:
         return None
     got = got.sort_values("doc_id")

@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], max
 
     # At most max_train small rows: a bounded broadcast.
     rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text")
-    got = rows.mapInPandas(features, "doc_id long, y array<int>, dense array<double>, slots binary").dropDuplicates(["doc_id"]).toPandas()
+    got = rows.mapInPandas(features, "doc_id long, y array<int>, dense array<double>, slots binary").dropDuplicates(["doc_id"]).toArrow().to_pandas()
     if got.empty:
         return None
     got = got.sort_values("doc_id")
