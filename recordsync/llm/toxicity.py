@@ -168,26 +168,27 @@ def score(docs: DataFrame, chain: Chain | None, prefix: str = "p_") -> DataFrame
         model = shared.value
         cache: dict[bytes, int] = {}
         table = np.empty((0, len(model.names)), np.float32)
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            if len(cache) > 400_000:
-                cache, table = {}, table[:0]
-            sets = [list(set(words_of(t))) for t in texts]
-            new = list({w for words in sets for w in words if w not in cache})
-            if new:
-                slots = np.array([word_slots(w) for w in new])
-                table = np.vstack([table, np.stack([lex[slots].max(axis=1) for lex in model.lexicons], axis=1)])
-                cache.update(zip(new, range(len(cache), len(cache) + len(new))))  # noqa: B905
-            p = np.zeros((len(texts), len(model.names)))
-            dense = np.array([stats(t) for t in texts]).reshape(-1, N_STATS)
-            found = [table[[cache[w] for w in words]] if words else table[:0] for words in sets]
-            for k in range(len(model.names)):
-                top = np.array([_top_features(x[:, k]) for x in found]).reshape(-1, _TOP + 3)
-                p[:, k] = _probability(model.models[k], np.hstack([dense, top, p[:, :k]]))
-            pdf = pdf[[f.name for f in kept]].copy()
-            for k, a in enumerate(added):
-                pdf[a] = p[:, k]
-            yield pdf
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                pdf = batch.iloc[start : start + 256][[f.name for f in kept]].copy()
+                texts = batch["text"].iloc[start : start + 256].tolist()
+                if len(cache) > 300_000:
+                    cache, table = {}, table[:0]
+                sets = [list(set(words_of(t))) for t in texts]
+                new = list({w for words in sets for w in words if w not in cache})
+                if new:
+                    slots = np.array([word_slots(w) for w in new])
+                    table = np.vstack([table, np.stack([lex[slots].max(axis=1) for lex in model.lexicons], axis=1)])
+                    cache.update(zip(new, range(len(cache), len(cache) + len(new))))  # noqa: B905
+                p = np.zeros((len(texts), len(model.names)))
+                dense = np.array([stats(t) for t in texts]).reshape(-1, N_STATS)
+                found = [table[[cache[w] for w in words]] if words else table[:0] for words in sets]
+                for k in range(len(model.names)):
+                    top = np.array([_top_features(x[:, k]) for x in found]).reshape(-1, _TOP + 3)
+                    p[:, k] = _probability(model.models[k], np.hstack([dense, top, p[:, :k]]))
+                for k, a in enumerate(added):
+                    pdf[a] = p[:, k]
+                yield pdf
 
     return docs.mapInPandas(run, schema)
 
