@@ -10,6 +10,7 @@ few for each pair of sizes and none for rows. What it gives equals best-fit decr
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -22,13 +23,16 @@ from pyspark.sql import functions as F
 from recordsync.llm._common import materialise
 
 CAPACITY = 2048
-_CACHED_WORDS = 300_000
+#: Words whose ids a worker keeps, about 125 MB of them; then it starts anew.
+_CACHED_WORDS = 600_000
+_MARKS = ("♻", "☯", "⚓", "♞", "☂", "|", "~")
 
 
 class WordEncoder:
     """Token ids of texts as little-endian unsigned 32-bit numbers, one space-separated word at a time.
 
-    Right for tokenizers whose words never reach over white space; ids of frequent words are kept.
+    Right for lower-casing tokenizers whose words reach neither over white space nor from letters to
+    punctuation; ids of words are kept.
     """
 
     def __init__(self, path: str):
@@ -37,14 +41,37 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        #: A word of one id that stands between others where many are encoded at once.
+        ids = {m: self._ids([m])[0] for m in _MARKS}
+        self.mark = next(((m, i[0]) for m, i in ids.items() if len(i) == 1), None)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [e.ids for e in encode(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words: all in one text, or one by one where some word has the mark's id as well."""
+        if self.mark:
+            mark, number = self.mark
+            ids = np.array(self._ids([f" {mark} ".join([*words, ""])])[0], "<u4")
+            ends = np.flatnonzero(ids == number)
+            if len(ends) == len(words):
+                data = ids.tobytes()
+                starts = [0, *(4 * (ends[:-1] + 1)).tolist()]
+                self.known.update((w, data[i:j]) for w, i, j in zip(words, starts, (4 * ends).tolist(), strict=True))
+                return
+        self.known.update((w, np.array(i, "<u4").tobytes()) for w, i in zip(words, self._ids(words), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in parts for w in words if w not in self.known})
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for i in range(0, len(new), 10_000):
-            for w, e in zip(new[i : i + 10_000], encode(new[i : i + 10_000], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        new = list({w for words in parts for w in words}.difference(self.known))
+        # Letters with a stop or comma behind them are two parts, and ASCII letters are encoded in lower case.
+        cut = [(w, w[:-1] if w[-1] in ".," else w, w[-1] if w[-1] in ".," else "") for w in new]
+        cut = [(w, stem.lower() if stem.isascii() else stem, end) if stem.isalpha() else (w, w, "") for w, stem, end in cut]
+        stems = list({x for _, stem, end in cut for x in (stem, end)}.difference(self.known))
+        for i in range(0, len(stems), 5_000):
+            self._learn(stems[i : i + 5_000])
+        self.known.update([(w, self.known[stem] + self.known[end]) for w, stem, end in cut])
         get = self.known.__getitem__
         out = [b"".join(map(get, words)) for words in parts]
         if len(self.known) > _CACHED_WORDS:
@@ -52,6 +79,12 @@ class WordEncoder:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def shared_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker process."""
+    return WordEncoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` of each document: its ids, then id 0, cut where longer than ``capacity``.
 
@@ -59,7 +92,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, step = WordEncoder(tokenizer), 4 * capacity
+        encoder, step = shared_encoder(tokenizer), 4 * capacity
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 rows = []
