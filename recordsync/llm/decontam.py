@@ -1,13 +1,15 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
-The word 3-grams of the test items are counted over all documents; the rarer half of each item's
-are its seeds, so an item that leaked into many documents keeps seeds. Where seeds of an item fall
-close together in a document, Smith-Waterman aligns the item with the words around them.
+An alignment of m matches and e edits has at most e + 1 runs of matches, so it keeps m - e - 1 or more of the
+item's word pairs: its score less one. An item of n words that scores s or more thus misses at most n - s of its
+n - 1 pairs, and any n - s + 1 of them, here the rarest by document frequency, hold one that the document has: the
+seeds. Documents with a seed and with s - 1 pairs within reach of one another are aligned with the item by
+Smith-Waterman. This loses no document, however common its pairs are and whether or not the others occur.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,43 +20,46 @@ from pyspark.sql import functions as F
 
 from recordsync.llm._common import words_of
 
-N = 3
+#: Items of fewer words match nothing.
+LEAST_WORDS = 3
 
 
 @dataclass
 class Items:
-    """A block of test items: word numbers (from 1), sorted keys of their 3-grams, and where these stand."""
+    """A block of test items: word numbers (from 1), sorted keys of their word pairs, and the number of each of an item's."""
 
     ids: list[int]
     words: list[np.ndarray]
     vocabulary: dict[bytes, int]
     keys: np.ndarray
-    places: list[list[tuple[int, int]]]
+    grams: list[np.ndarray]
+
+
+@dataclass
+class Seeds:
+    """Items by seed: those of pair g are ``items[starts[g]:starts[g + 1]]``."""
+
+    starts: np.ndarray
+    items: np.ndarray
 
 
 def build_items(rows: list[tuple[int, str]]) -> Items:
-    """Items of (id, text); those with fewer than three words have no 3-gram and match nothing."""
+    """Items of (id, text)."""
     vocabulary: dict[bytes, int] = {}
     words = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(t)], np.int64) for _, t in rows]
-    size = len(vocabulary) + 1
-    places = defaultdict(list)
-    for i, w in enumerate(words):
-        for j, key in enumerate(_keys(w, size).tolist()):
-            places[key].append((i, j))
-    keys = np.array(sorted(places), np.int64)
-    return Items([r[0] for r in rows], words, vocabulary, keys, [places[k] for k in keys.tolist()])
+    found = [_keys(w, len(vocabulary) + 1) if len(w) >= LEAST_WORDS else np.empty(0, np.int64) for w in words]
+    keys = np.unique(np.concatenate([np.empty(0, np.int64), *found]))
+    return Items([r[0] for r in rows], words, vocabulary, keys, [np.searchsorted(keys, k) for k in found])
 
 
 def _keys(words: np.ndarray, size: int) -> np.ndarray:
-    """A number for each run of three words, -1 if one of them is unknown."""
-    if len(words) < N:
-        return np.empty(0, np.int64)
-    a, b, c = words[:-2], words[1:-1], words[2:]
-    return np.where((a > 0) & (b > 0) & (c > 0), (a * size + b) * size + c, -1)
+    """A number for each pair of neighbouring words, -1 if one of them is unknown."""
+    a, b = words[:-1], words[1:]
+    return np.where((a > 0) & (b > 0), a * size + b, -1)
 
 
 def _found(text: str | None, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers of a document, and the places and numbers of the items' 3-grams in it."""
+    """Word numbers of a document, and the places and numbers of the items' word pairs in it."""
     get = items.vocabulary.get
     words = np.array([get(w, 0) for w in words_of(text)], np.int64)
     keys = _keys(words, len(items.vocabulary) + 1)
@@ -66,6 +71,21 @@ def _found(text: str | None, items: Items) -> tuple[np.ndarray, np.ndarray, np.n
     return words, at[hit], gram[hit]
 
 
+def _least(n: int, threshold: float) -> int:
+    """The least score that counts for an item of ``n`` words. It is 2 at least, so that a word pair is kept."""
+    return max(2, math.ceil(threshold * n - 1e-9))
+
+
+def choose_seeds(items: Items, df: np.ndarray, threshold: float) -> Seeds:
+    """The rarest pairs of each item by ``df``, as many as leave no document without one."""
+    of = []
+    for i, grams in enumerate(items.grams):
+        rare = grams[np.argsort(df[grams], kind="stable")][: max(0, len(items.words[i]) - _least(len(items.words[i]), threshold) + 1)]
+        of += [(g, i) for g in set(rare.tolist())]
+    pairs = np.array(sorted(of), np.int64).reshape(-1, 2)
+    return Seeds(np.searchsorted(pairs[:, 0], np.arange(len(items.keys) + 1)), pairs[:, 1])
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """Best Smith-Waterman score (match 1, mismatch and gap -1) and the end of that alignment in ``passage``."""
     steps = np.arange(1, len(passage) + 1)
@@ -80,32 +100,41 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def leaks_in(text: str | None, items: Items, seed: np.ndarray, enough: list[int], threshold: float) -> list[tuple[int, float, int, int]]:
+def leaks_in(text: str | None, items: Items, seeds: Seeds, threshold: float) -> list[tuple[int, float, int, int]]:
     """``(item id, score, first word, last word)`` of each item that leaks into ``text``."""
     words, at, gram = _found(text, items)
-    hits = defaultdict(list)
-    for p, g in zip(at.tolist(), gram.tolist(), strict=True):
-        for i, j in items.places[g]:
-            if seed[g]:
-                hits[i].append((p, g, p - j))
+    here, times = np.unique(gram, return_counts=True)
+    lists = [seeds.items[s:e] for s, e in zip(seeds.starts[here].tolist(), seeds.starts[here + 1].tolist(), strict=True) if s < e]
+    if not lists:
+        return []
+    order = np.argsort(gram, kind="stable")
+    first = np.cumsum(times) - times
     out = []
-    for i, found in hits.items():
-        item, best = items.words[i], (0, 0, 0)
-        start = 0
-        for k in range(1, len(found) + 1):  # clusters of seeds not further apart than the item is long
-            if k < len(found) and found[k][0] - found[k - 1][0] <= len(item):
-                continue
-            cluster, start = found[start:k], k
-            if len({g for _, g, _ in cluster}) < enough[i]:
-                continue
-            low = max(0, min(d for *_, d in cluster) - len(item) // 2)
-            window = words[low : max(d for *_, d in cluster) + len(item) + len(item) // 2 + N]
-            score, end = align(item, window)
+    for i in np.unique(np.concatenate(lists)).tolist():
+        item, grams = items.words[i], items.grams[i]
+        least = _least(len(item), threshold)
+        k = np.minimum(np.searchsorted(here, grams), len(here) - 1)
+        k = k[here[k] == grams]
+        if len(k) < least - 1:
+            continue
+        # A word pair that stands twice in the item counts twice at each of its places in the text.
+        which, weight = np.unique(k, return_counts=True)
+        places = np.concatenate([np.repeat(at[order[first[x] : first[x] + times[x]]], w) for x, w in zip(which.tolist(), weight.tolist(), strict=True)])
+        places.sort()
+        # An alignment has at most len(item) - least words put in, so all of it lies within ``reach`` words.
+        reach = 2 * len(item) - least
+        dense = places[: len(places) - least + 2][places[least - 2 :] - places[: len(places) - least + 2] < reach]
+        if not len(dense):
+            continue
+        best = (0, 0, 0)
+        for part in np.split(dense, np.flatnonzero(np.diff(dense) > 2 * reach) + 1):
+            low = max(0, int(part[0]) - reach)
+            score, end = align(item, words[low : int(part[-1]) + reach])
             if score > best[0]:
                 best = (score, low, end)
         score, low, end = best
-        if score >= threshold * len(item):
-            back = words[low : low + end][::-1]
+        if score >= least:
+            back = words[max(low, low + end - reach) : low + end][::-1]
             out.append((items.ids[i], score / len(item), low + end - align(item[::-1], back)[1], low + end - 1))
     return out
 
@@ -113,8 +142,8 @@ def leaks_in(text: str | None, items: Items, seed: np.ndarray, enough: list[int]
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_words: int = 500_000) -> DataFrame:
     """``(doc_id, text_key, item_id, score, first_word, last_word)``: each document and test item that it holds.
 
-    score: alignment score by the item's words, 1 for a whole copy; pairs below ``threshold`` are not
-    returned. Words are counted from 0. Items go to the workers in blocks of ``block_words`` words or fewer
+    score: alignment score by the item's words, 1 for a whole copy; pairs below ``threshold``, or with a score of one
+    word, are not returned, all others are. Words are counted from 0. Items go to the workers in blocks of ``block_words`` words or fewer
     (at least one item), which bounds what is broadcast; each block is a pass over ``docs``. Null and
     empty texts and items match nothing; items under three words neither. Items are told apart by item_id and
     text; repeated documents give repeated rows.
@@ -147,28 +176,18 @@ def _block(texts: DataFrame, items: Items, threshold: float) -> DataFrame:
         at = np.flatnonzero(n)
         yield pd.DataFrame({"gram": at, "n": n[at]})
 
-    # As many rows as the block has 3-grams at most.
+    # As many rows as the block has word pairs at most.
     df = np.zeros(len(items.keys), np.int64)
     for gram, n in texts.select("text").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect():
         df[gram] = n
-    of = defaultdict(list)
-    for g, places in enumerate(items.places):
-        for i in {i for i, _ in places}:
-            of[i].append(g)
-    # Seeds of any item serve all that share them, which only adds candidates.
-    seed, enough = np.zeros(len(items.keys), bool), [1] * len(items.ids)
-    for i, grams in of.items():
-        rare = [g for g in grams if df[g] <= np.median(df[grams])]
-        seed[rare] = True
-        enough[i] = 1 if len(rare) <= 8 else 2
-    chosen = texts.sparkSession.sparkContext.broadcast((seed, enough))
+    chosen = texts.sparkSession.sparkContext.broadcast(choose_seeds(items, df, threshold))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc_id", "text_key", "item_id", "score", "first_word", "last_word"]
         for pdf in batches:
             got = [
                 (d, k, *x) for d, k, t in zip(pdf["doc_id"], pdf["text_key"], pdf["text"], strict=True)
-                for x in leaks_in(t, shared.value, *chosen.value, threshold)
+                for x in leaks_in(t, shared.value, chosen.value, threshold)
             ]
             yield pd.DataFrame(got, columns=names).astype({"doc_id": "Int64", "item_id": "Int64"})
 

@@ -67,3 +67,41 @@ def test_odd_rows(spark):
     assert sorted([r.doc_id for r in decontam.decontaminate(df, bench).collect()], key=str) == [1, 2, 3, None]
     assert decontam.leaks(df, bench.where("false")).count() == 0
     assert decontam.leaks(df.where("false"), bench).count() == 0
+
+
+def edited_copies():
+    """Items of 16 to 60 words, each with every 4th to 6th word replaced, left out or preceded by a new one; a tail of clean words."""
+    rng = np.random.default_rng(5)
+    new = lambda: f"n{rng.integers(0, 10**9)}"
+    items = [(i, " ".join(f"w{i}x{x}" if x % 3 else f"c{x}" for x in range(n))) for i, n in enumerate([16, 25, 40, 41, 60])]
+    texts = []
+    for _, item in items:
+        for step in (3, 4, 5, 6):
+            for edit in ("replace", "drop", "insert", "mixed"):
+                w = []
+                for k, x in enumerate(item.split()):
+                    how = edit if edit != "mixed" else ["replace", "drop", "insert"][k // step % 3]
+                    w += [x] if k % step != step - 1 else {"replace": [new()], "drop": [], "insert": [new(), x]}[how]
+                texts.append(" ".join([new() for _ in range(30)] + w + [new() for _ in range(30)]))
+        texts.append(" ".join(y for k, x in enumerate(item.split()) for y in ([new(), x] if k and k % 2 == 0 else [x])))
+    return items, texts
+
+
+def test_heavily_edited_copies_against_all_pairs(spark):
+    items, texts = edited_copies()
+    want = {(d, i): s for d, t in enumerate(texts) for i, x in items if 2 * (s := slow_align(words_of(x), words_of(t))) >= len(words_of(x))}
+    assert any(2 * kept_grams(items[i][1], texts[d]) < len(items[i][1].split()) - 2 for d, i in want)
+    whole = [(len(texts) + k, t) for k, (_, t) in enumerate(items)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for times, more in ((1, []), (1, whole), (60, whole * 20)):
+        rows = [(d, t, "i", "s") for d, t in [*enumerate(texts)] * times + more]
+        got = decontam.leaks(spark.createDataFrame(rows, SCHEMA).repartition(8), bench).collect()
+        found = {(r.doc_id, r.item_id): round(r.score * len(items[r.item_id][1].split())) for r in got if r.doc_id < len(texts)}
+        assert found == want and sum(r.doc_id < len(texts) for r in got) == times * len(want)
+        assert {(r.doc_id, r.score) for r in got if r.doc_id >= len(texts)} == {(d, 1.0) for d, _ in more}
+
+
+def kept_grams(item, text):
+    a, b = item.split(), text.split()
+    there = {tuple(b[k : k + 3]) for k in range(len(b) - 2)}
+    return sum(tuple(a[k : k + 3]) in there for k in range(len(a) - 2))
