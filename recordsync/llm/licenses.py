@@ -3,7 +3,8 @@
 All rolling word 3-grams of a text are hashed and joined to the places of the same hashes in the
 templates. A hit votes for its diagonal: its place in the text less its place in the template. Votes of
 one diagonal are a passage that runs in step with the template; neighbouring diagonals are merged, since
-a word put in or left out moves the rest by one. A merged span counts if enough of the template stands in it.
+a word put in or left out moves the rest by one. A merged span counts if enough of the template stands in it. Where
+copies follow one another, their diagonals merge too; such a span is cut into stretches of a copy's length.
 """
 
 from __future__ import annotations
@@ -55,8 +56,8 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, wordings: li
 
     n_base, first_word, last_word, base_labels: places of whole ``phrases``, their least and greatest start
     (words from 0, null without any) and their labels. A wording counts where merged diagonals, ``slack``
-    apart at most, cover at least ``part`` of its words within a span not over a half longer. score: the largest
-    covered part of any template. spans: (label, first_word, last_word, part) of all that counts. Label lists are sorted and
+    apart at most, cover at least ``part`` of its words within a stretch of text not over a half longer. score: the largest
+    covered part of any template. spans: (label, first_word, last_word, part) of all that counts; of stretches that overlap in one merged span, the first. Label lists are sorted and
     comma-joined, empty without any. Templates of fewer than three words match nothing. Null and empty texts have no words.
     Repeated rows give equal rows; other columns are not looked at.
     """
@@ -72,20 +73,45 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, wordings: li
     )
     along = Window.partitionBy("key", "template").orderBy("diagonal")
     fresh = F.coalesce(F.col("whole") | (F.col("diagonal") - F.lag("diagonal").over(along) > slack), F.lit(True))
+    named = ["key", "template", "label", "whole", "size", "group"]
+    limit = F.floor(1.5 * F.col("size") + slack).cast("int")
+    all_of = Window.partitionBy("key", "template", "group")
+    votes = votes.withColumn("group", F.sum(fresh.cast("int")).over(along))
+    votes = votes.withColumn("long", ~F.col("whole") & (F.max("high").over(all_of) - F.min("low").over(all_of) + 1 > limit))
     merged = (
-        votes.withColumn("group", F.sum(fresh.cast("int")).over(along))
-        .groupBy("key", "template", "label", "whole", "size", "group")
+        votes.where(~F.col("long")).groupBy(*named)
         .agg(F.array_distinct(F.flatten(F.collect_list("offsets"))).alias("offsets"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("diagonal").alias("diagonal"))
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("offsets", lambda o: F.sequence(o, o + K - 1)))))
-    spans = merged.withColumn("part", covered / F.col("size")).where(
-        F.when(F.col("whole"), F.col("part") == 1).otherwise((F.col("part") >= part) & (F.col("high") - F.col("low") + 1 <= 1.5 * F.col("size") + slack))
+    spans = merged.withColumn("part", covered / F.col("size")).where(F.when(F.col("whole"), F.col("part") == 1).otherwise(F.col("part") >= part))
+    spans = spans.select("key", "label", "whole", "diagonal", "low", "high", "part", F.col("part").alias("best"))
+    # In a longer span, every hit starts a stretch; a stretch has the first hit of each offset.
+    most = max((int(1.5 * len(text.split()) + slack) for _, text in wordings), default=0)
+    ahead = Window.partitionBy("key", "template", "group").orderBy("pos").rangeBetween(0, max(0, most - K))
+    hit = F.struct("pos", "offset")
+    stretches = (
+        votes.where("long").select(*named, "diagonal", F.explode("offsets").alias("offset"))
+        .withColumn("pos", F.col("diagonal") + F.col("offset"))
+        .withColumn("near", F.filter(F.collect_list(hit).over(ahead), lambda h: h["pos"] <= F.col("pos") + limit - K))
+        .withColumn("offsets", F.array_distinct(F.transform("near", lambda h: h["offset"])))
+        .withColumn("part", covered / F.col("size")).where(F.col("part") >= part)
+        .withColumn("high", F.array_max(F.transform("offsets", lambda o: F.array_min(F.transform(F.filter("near", lambda h: h["offset"] == o), lambda h: h["pos"])))) + K - 1)
+        .groupBy(*named)
+        .agg(F.max("part").alias("best"), F.array_sort(F.collect_set(F.struct(F.col("pos").alias("low"), "high", "part"))).alias("all"))
+    )
+    none = F.array().cast("array<struct<low:int,high:int,part:double>>")
+    apart = F.aggregate(
+        "all", F.struct(F.lit(-1).alias("end"), none.alias("kept")),
+        lambda seen, x: F.when(x["low"] <= seen["end"], seen).otherwise(F.struct(x["high"].alias("end"), F.concat(seen["kept"], F.array(x)).alias("kept"))),
+    )["kept"]
+    spans = spans.unionByName(
+        stretches.select("key", "label", "whole", F.lit(None).cast("int").alias("diagonal"), "best", F.inline(apart))
     )
     base = F.when(F.col("whole"), F.col("diagonal"))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     found = spans.groupBy("key").agg(
         F.count(base).alias("n_base"), F.min(base).cast("long").alias("first_word"), F.max(base).cast("long").alias("last_word"),
-        joined(F.when(F.col("whole"), F.col("label"))).alias("base_labels"), joined(F.col("label")).alias("labels"), F.max("part").alias("score"),
+        joined(F.when(F.col("whole"), F.col("label"))).alias("base_labels"), joined(F.col("label")).alias("labels"), F.max("best").alias("score"),
         F.array_sort(F.collect_list(F.struct("label", F.col("low").alias("first_word"), F.col("high").alias("last_word"), "part"))).alias("spans"),
     )
     return keyed.select("doc_id", "key", F.size("w").cast("long").alias("n_words")).join(found, "key", "left").select(

@@ -49,6 +49,48 @@ def test_changed_wordings(spark):
     assert got == {0: ("mit", 0), 1: ("mit", 0), 2: ("", 0), 3: ("", 0), 4: ("", 0)}
 
 
+def brute_wordings(text, slack=3, part=0.7):
+    """Labels and best part of the wordings, over every stretch of text in every chain of diagonals."""
+    w, labels, score = brute_words(text), set(), 0.0
+    for label, phrase in licenses.PHRASES:
+        p = phrase.split()
+        if any(w[i : i + len(p)] == p for i in range(len(w))):
+            labels.add(label)
+            score = 1.0
+    for label, wording in licenses.WORDINGS:
+        t = wording.split()
+        hits = sorted((i - o, i, o) for i in range(len(w) - 2) for o in range(len(t) - 2) if w[i : i + 3] == t[o : o + 3])
+        chains = []
+        for k, h in enumerate(hits):
+            if not k or h[0] - hits[k - 1][0] > slack:
+                chains.append([])
+            chains[-1].append(h)
+        for chain in chains:
+            for _, p, _ in chain:
+                inside = {o + k for _, i, o in chain if p <= i and i + 3 - p <= 1.5 * len(t) + slack for k in range(3)}
+                if len(inside) >= part * len(t):
+                    labels.add(label)
+                    score = max(score, len(inside) / len(t))
+    return ",".join(sorted(labels)), score
+
+
+def test_repeated_wordings(spark):
+    rights, by = "All rights reserved.", licenses.WORDINGS[6][1]
+    texts = [f"{rights}\n" * n for n in (1, 2, 3, 4, 50, 3000)]
+    texts += [("x " + f"{rights} y " * 3 + f"{rights} " * 5), " ".join(by.split()[:3] * 5 + by.split()), f"{by} " * 7, "all rights " * 9]
+    texts += [" ".join(by.split()[:3] * 5), " ".join([*by.split()[:3] * 5, *by.split()[:4], "odd", *by.split()[4:]])]
+    texts += [f"{' '.join(w.split()[: 3 + k % 9])} " * 4 + w + f" {rights}" * (k % 5) for k, (_, w) in enumerate(licenses.WORDINGS)]
+    out = licenses.scan(spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(texts)], SCHEMA)).collect()
+    got = {r.doc_id: (r.labels, r.score) for r in out}
+    short = {i: t for i, t in enumerate(texts) if len(t) < 5000}
+    assert {i: got[i] for i in short} == {i: brute_wordings(t) for i, t in short.items()}
+    for i, n in enumerate((1, 2, 3, 4, 50, 3000)):
+        assert got[i] == ("all-rights-reserved", 1.0)
+        if n > 2:
+            spans = next(r.spans for r in out if r.doc_id == i)
+            assert [(x.first_word, x.last_word) for x in spans] == [(3 * k, 3 * k + 2) for k in range(n)]
+
+
 def test_native_plans(spark, sf):
     from recordsync.llm.queries import QUERIES
 
