@@ -207,7 +207,8 @@ def deduplicate(
 
     Two documents link where their fingerprints differ in no more bits than two shingle sets of
     Jaccard similarity ``similarity`` do on average. With 512 bits in 21 segments of 24 and balls
-    of radius 1, a pair at just 0.8 is found with probability 0.90, at 0.9 with 0.999. Rows that agree in
+    of radius 1, a pair at just 0.8 is a candidate with probability 0.90, at 0.9 with 0.999; the bound
+    drops about two of five at just 0.8, and no shingle similarity is computed. Rows that agree in
     doc_id and text are one document, and one row of it stays. All columns are kept.
     """
     cosine = 2 * similarity / (1 + similarity)
