@@ -1,7 +1,9 @@
-"""Connected components of a large edge table by alternating star contractions."""
+"""Connected components of a large edge table by alternating star contractions, and the links of buckets."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +37,24 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+
+
+def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links ``(a, b)``, a < b, among nodes that share a bucket of ``entries`` (bucket, node): enough of those that
+    ``verify`` keeps of pairs (a, b) to connect all that they connect.
+
+    Each bucket's nodes are first compared with its least; then those that are not connected by
+    then with one another, but for pairs within one component.
+    """
+    least = entries.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").drop("b")
+    shared = materialise(entries.join(least, "bucket").select("bucket", "node", "a").distinct())
+    star = shared.where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    links = materialise(verify(star))
+    roots = materialise(components(links))
+    rooted = shared.join(roots, "node", "left").select("bucket", "node", "a", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("bucket")
+    left = materialise(rooted.join(mixed, "bucket").where("node <> a").select("bucket", "node", "root"))
+    x, y = left.alias("x"), left.alias("y")
+    more = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")))
+    more = more.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return materialise(links.unionByName(verify(more)))
