@@ -43,13 +43,13 @@ def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Data
     """Links ``(a, b)``, a < b, among nodes that share a bucket of ``entries`` (bucket, node): enough of those that
     ``verify`` keeps of pairs (a, b) to connect all that they connect.
 
-    Each bucket's nodes are first compared with its least; then those that are not connected by
-    then with one another, but for pairs within one component.
+    Each bucket's nodes are first compared with its least, as far as :func:`settled` needs it; then those that are not
+    connected by then with one another, but for pairs within one component.
     """
     least = entries.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").drop("b")
     shared = materialise(entries.join(least, "bucket").select("bucket", "node", "a").distinct())
     star = shared.where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = materialise(verify(star))
+    links = settled(star, verify)
     roots = materialise(components(links))
     rooted = shared.join(roots, "node", "left").select("bucket", "node", "a", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("bucket")
@@ -58,3 +58,18 @@ def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Data
     more = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")))
     more = more.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     return materialise(links.unionByName(verify(more)))
+
+
+def settled(pairs: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Of ``pairs`` (a, b), a < b, enough of those that ``verify`` keeps to connect all that they connect.
+
+    Each node is first compared with the least of its partners; then the pairs that are not connected by then.
+    """
+    pairs = materialise(pairs.distinct())
+    links = materialise(verify(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
+    roots = materialise(components(links))
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    rooted = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    rest = rooted.where(apart).select("a", "b").join(pairs.groupBy("b").agg(F.min("a").alias("a")), ["a", "b"], "left_anti")
+    return materialise(links.unionByName(verify(rest)))
