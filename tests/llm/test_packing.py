@@ -1,7 +1,9 @@
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from recordsync.llm import packing
@@ -38,14 +40,46 @@ def check_places(rows, capacity):
     return len(of)
 
 
-def test_plan_equals_best_fit_decreasing():
+def test_one_sweep_equals_best_fit_decreasing():
     rng = np.random.default_rng(1)
     for _ in range(200):
         capacity = int(rng.integers(2, 60))
-        lengths = rng.integers(1, capacity + 1, rng.integers(0, 120))
-        counts = {int(s): int(n) for s, n in zip(*np.unique(lengths, return_counts=True))}
-        used = max((first + -(-(end - a) // each) for _, a, end, first, each, _ in packing.plan(counts, capacity)), default=0)
-        assert used == best_fit(lengths.tolist(), capacity)
+        lengths = sorted(rng.integers(1, capacity + 1, rng.integers(0, 120)).tolist(), reverse=True)
+        out = packing.sweep(lengths, [1] * len(lengths), list(range(len(lengths))), True, capacity)
+        placed = {i: s for what, i, s, *_ in out if what == 0}
+        assert sorted(placed) == list(range(len(lengths))) and len(set(placed.values())) == best_fit(lengths, capacity)
+
+
+LENGTHS = {
+    "even": lambda rng: rng.integers(1, 2049, 3000), "short": lambda rng: rng.integers(1, 60, 3000), "middle": lambda rng: rng.integers(300, 900, 3000),
+    "skewed": lambda rng: np.clip(rng.lognormal(5.5, 1, 3000).astype(int), 1, 2048), "few": lambda rng: rng.choice([700, 690, 1024, 1025, 340, 100], 3000),
+    "equal": lambda rng: np.full(3000, 600), "empty texts": lambda rng: np.concatenate([np.ones(2000, int), rng.integers(1, 2049, 1000)]),
+}
+
+
+@pytest.mark.parametrize(("kind", "range_rows"), [("even", 400), ("short", 400), ("few", 400), ("empty texts", 400), ("middle", 200), ("skewed", 10**6)])
+def test_rounds_over_ranges(spark, kind, range_rows):
+    """Every piece once, no sequence over its length, and about as few sequences as best-fit decreasing has."""
+    lengths = LENGTHS[kind](np.random.default_rng(2)).tolist()
+    table = spark.createDataFrame(list(enumerate(lengths)), "id long, size long").repartition(8)
+    rows = packing.assign(table, 2048, range_rows).collect()
+    assert sorted(r.id for r in rows) == list(range(len(lengths)))
+    held = defaultdict(int)
+    for r in rows:
+        held[r.sequence] += lengths[r.id]
+    assert max(held.values()) <= 2048
+    # One more for each range that opens sequences, and one in fifty.
+    assert len(held) <= 1.02 * best_fit(lengths, 2048) + 11 * (1 + len(lengths) // range_rows)
+
+
+def test_ids_of_odd_texts():
+    whole, encoder = Tokenizer.from_file(PATH), packing.WordEncoder(PATH)
+    rng = random.Random(3)
+    odd = ["\u0130", "\u0131", "\u0149", "\u01f0", "\u1e9e", "\u0958", "\u093c", "\u0301", "\u0307", "\u03a3", "\ufb01", "\u2167", "\u00a0", "\u3000", "\u200d", "\u1100", "\u1161", "\x85", "\x1c"]
+    chars = [chr(c) for c in range(0x20, 0x600)] + odd * 20 + list("\"'.,!&*") * 20 + ["a", "B", "s"] * 60 + [" ", "\n", "\t"] * 30
+    texts = ["".join(rng.choices(chars, k=rng.randint(1, 14))) for _ in range(20000)] + ["\u0130.", "a\u0301,", "X's,'S'", "W\u030a W\u033d\u030a."]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
 def test_ids_of_words_equal_ids_of_texts(spark, sf):
