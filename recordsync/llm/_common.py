@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +46,45 @@ def row_key(text: str = "text") -> F.Column:
     return F.xxhash64(F.col("doc_id"), F.col(text))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def bloom_bits(hashes: DataFrame, most: int = 28) -> int:
+    """How many bits, as a power of two, a Bloom filter of so many longs takes to let about one in a hundred others through; ``most`` at most."""
+    return min(most, max(16, math.ceil(math.log2(16 * hashes.count() + 1))))
+
+
+def _marks(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Two places of each hash in a filter of 2^``bits`` bits."""
+    h = hashes.view(np.uint64)
+    return np.stack([h >> np.uint64(64 - bits), (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)]).astype(np.int64)
+
+
+def bloom_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of 2^``bits`` bits of the one column of ``hashes``, longs: its size is fixed, whatever their number."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = np.unique(_marks(pdf["hash"].to_numpy(np.int64), bits))
+            yield pd.DataFrame({"block": at >> 6, "word": (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64)})
+
+    got = hashes.toDF("hash").mapInPandas(run, "block long, word long").groupBy("block").agg(F.bit_or("word").alias("word")).toArrow()
+    out = np.zeros(1 << bits - 6, np.int64)
+    out[got["block"].to_numpy()] = got["word"].to_numpy()
+    return out.view(np.uint8)
+
+
+def bloom_holds(data: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which of some hashes, in an array of any shape, a filter holds, or seems to."""
+    at = _marks(hashes, bits)
+    return (data[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=0).astype(bool)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased UTF-8 words: runs of ASCII letters and digits and of non-ASCII bytes."""
     return (text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()

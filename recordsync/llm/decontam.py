@@ -1,74 +1,39 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: rare n-gram seeds join documents to test items, then local alignment.
 
 An alignment of m matches and e edits has at most e + 1 runs of matches, so it keeps m - e - 1 or more of the
 item's word pairs: its score less one. An item of n words that scores s or more thus misses at most n - s of its
-n - 1 pairs, and any n - s + 1 of them, here the rarest by document frequency, hold one that the document has: the
-seeds. Documents with a seed and with s - 1 pairs within reach of one another are aligned with the item by
-Smith-Waterman. This loses no document, however common its pairs are and whether or not the others occur.
+n - 1 pairs, so of any n - s + t of them, here the rarest by document frequency, the document has t or more: the
+seeds. Documents and items that share so many seeds, found by a join, and with s - 1 pairs within reach of one another
+are aligned by Smith-Waterman. This loses no document, however common its pairs are and whether or not the others occur.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordsync.llm._common import words_of
+from recordsync.llm._common import bloom_bits, bloom_filter, bloom_holds, free_name, materialise, words_of
 
-#: Items of fewer words match nothing.
-LEAST_WORDS = 3
+#: Items of fewer words match nothing. Seeds that a document has to share with an item, where the item has as many.
+LEAST_WORDS, SHARED_SEEDS = 3, 3
 
 
-@dataclass
-class Items:
-    """A block of test items: word numbers (from 1), sorted keys of their word pairs, and the number of each of an item's."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words of a text, in order."""
+    return np.array([*map(xxhash.xxh64_intdigest, words_of(text))], np.uint64)
 
-    ids: list[int]
-    words: list[np.ndarray]
-    vocabulary: dict[bytes, int]
-    keys: np.ndarray
-    grams: list[np.ndarray]
 
-
-@dataclass
-class Seeds:
-    """Items by seed: those of pair g are ``items[starts[g]:starts[g + 1]]``."""
-
-    starts: np.ndarray
-    items: np.ndarray
-
-
-def build_items(rows: list[tuple[int, str]]) -> Items:
-    """Items of (id, text)."""
-    vocabulary: dict[bytes, int] = {}
-    words = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(t)], np.int64) for _, t in rows]
-    found = [_keys(w, len(vocabulary) + 1) if len(w) >= LEAST_WORDS else np.empty(0, np.int64) for w in words]
-    keys = np.unique(np.concatenate([np.empty(0, np.int64), *found]))
-    return Items([r[0] for r in rows], words, vocabulary, keys, [np.searchsorted(keys, k) for k in found])
-
-
-def _keys(words: np.ndarray, size: int) -> np.ndarray:
-    """A number for each pair of neighbouring words, -1 if one of them is unknown."""
-    a, b = words[:-1], words[1:]
-    return np.where((a > 0) & (b > 0), a * size + b, -1)
-
-
-def _found(text: str | None, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers of a document, and the places and numbers of the items' word pairs in it."""
-    get = items.vocabulary.get
-    words = np.array([get(w, 0) for w in words_of(text)], np.int64)
-    keys = _keys(words, len(items.vocabulary) + 1)
-    at = np.flatnonzero(keys >= 0)
-    if not len(at) or not len(items.keys):
-        return words, at[:0], at[:0]
-    gram = np.minimum(np.searchsorted(items.keys, keys[at]), len(items.keys) - 1)
-    hit = items.keys[gram] == keys[at]
-    return words, at[hit], gram[hit]
+def pair_hashes(words: np.ndarray) -> np.ndarray:
+    """Hash of each two neighbouring words, given by their hashes."""
+    x = words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
 def _least(n: int, threshold: float) -> int:
@@ -76,16 +41,6 @@ def _least(n: int, threshold: float) -> int:
     return max(2, math.ceil(threshold * n - 1e-9))
 
 
-def choose_seeds(items: Items, df: np.ndarray, threshold: float) -> Seeds:
-    """The rarest pairs of each item by ``df``, as many as leave no document without one."""
-    of = []
-    for i, grams in enumerate(items.grams):
-        rare = grams[np.argsort(df[grams], kind="stable")][: max(0, len(items.words[i]) - _least(len(items.words[i]), threshold) + 1)]
-        of += [(g, i) for g in set(rare.tolist())]
-    pairs = np.array(sorted(of), np.int64).reshape(-1, 2)
-    return Seeds(np.searchsorted(pairs[:, 0], np.arange(len(items.keys) + 1)), pairs[:, 1])
-
-
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """Best Smith-Waterman score (match 1, mismatch and gap -1) and the end of that alignment in ``passage``."""
     steps = np.arange(1, len(passage) + 1)
@@ -100,102 +55,117 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def leaks_in(text: str | None, items: Items, seeds: Seeds, threshold: float) -> list[tuple[int, float, int, int]]:
-    """``(item id, score, first word, last word)`` of each item that leaks into ``text``."""
-    words, at, gram = _found(text, items)
-    here, times = np.unique(gram, return_counts=True)
-    lists = [seeds.items[s:e] for s, e in zip(seeds.starts[here].tolist(), seeds.starts[here + 1].tolist(), strict=True) if s < e]
-    if not lists:
-        return []
-    order = np.argsort(gram, kind="stable")
-    first = np.cumsum(times) - times
-    out = []
-    for i in np.unique(np.concatenate(lists)).tolist():
-        item, grams = items.words[i], items.grams[i]
-        least = _least(len(item), threshold)
-        k = np.minimum(np.searchsorted(here, grams), len(here) - 1)
-        k = k[here[k] == grams]
-        if len(k) < least - 1:
-            continue
-        # A word pair that stands twice in the item counts twice at each of its places in the text.
-        which, weight = np.unique(k, return_counts=True)
-        places = np.concatenate([np.repeat(at[order[first[x] : first[x] + times[x]]], w) for x, w in zip(which.tolist(), weight.tolist(), strict=True)])
-        places.sort()
-        # An alignment has at most len(item) - least words put in, so all of it lies within ``reach`` words.
-        reach = 2 * len(item) - least
-        dense = places[: len(places) - least + 2][places[least - 2 :] - places[: len(places) - least + 2] < reach]
-        if not len(dense):
-            continue
-        best = (0, 0, 0)
-        for part in np.split(dense, np.flatnonzero(np.diff(dense) > 2 * reach) + 1):
-            low = max(0, int(part[0]) - reach)
-            score, end = align(item, words[low : int(part[-1]) + reach])
-            if score > best[0]:
-                best = (score, low, end)
-        score, low, end = best
-        if score >= least:
-            back = words[max(low, low + end - reach) : low + end][::-1]
-            out.append((items.ids[i], score / len(item), low + end - align(item[::-1], back)[1], low + end - 1))
-    return out
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_words: int = 500_000) -> DataFrame:
+def leak(item: np.ndarray, words: np.ndarray, threshold: float) -> tuple[float, int, int] | None:
+    """``(score, first word, last word)`` where the words of a document, given by hashes, hold ``item``, else None."""
+    n, least = len(item), _least(len(item), threshold)
+    pairs, times = np.unique(pair_hashes(item), return_counts=True)
+    there = pair_hashes(words)
+    k = np.minimum(np.searchsorted(pairs, there), len(pairs) - 1)
+    hit = np.flatnonzero(pairs[k] == there)
+    # A word pair that stands twice in the item counts twice at each of its places in the document.
+    places = np.repeat(hit, times[k[hit]])
+    if len(places) < least - 1:
+        return None
+    # An alignment has at most n - least words put in, so all of it lies within ``reach`` words.
+    reach = 2 * n - least
+    dense = places[: len(places) - least + 2][places[least - 2 :] - places[: len(places) - least + 2] < reach]
+    if not len(dense):
+        return None
+    best = (0, 0, 0)
+    for part in np.split(dense, np.flatnonzero(np.diff(dense) > 2 * reach) + 1):
+        low = max(0, int(part[0]) - reach)
+        score, end = align(item, words[low : int(part[-1]) + reach])
+        if score > best[0]:
+            best = (score, low, end)
+    score, low, end = best
+    if score < least:
+        return None
+    back = words[max(low, low + end - reach) : low + end][::-1]
+    return score / n, low + end - align(item[::-1], back)[1], low + end - 1
+
+
+def _pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        words = [word_hashes(t) for t in pdf["text"]]
+        pdf = pdf.assign(n=[len(w) for w in words], pairs=[pair_hashes(w) if len(w) >= LEAST_WORDS else np.empty(0, np.int64) for w in words])
+        yield pdf[["item_key", "item_id", "text", "n", "pairs"]]
+
+
+def _frequencies(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(pair, df)``: in how many rows of ``docs`` each of ``pairs`` stands, for those that stand in any, and for some others."""
+    bits = bloom_bits(pairs)
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_filter(pairs, bits))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [p[bloom_holds(shared.value, p, bits)] for p in (np.unique(pair_hashes(word_hashes(t))) for t in pdf["text"])]
+            pair, n = np.unique(np.concatenate([np.empty(0, np.int64), *found]), return_counts=True)
+            yield pd.DataFrame({"pair": pair, "n": n})
+
+    return docs.select("text").mapInPandas(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("df"))
+
+
+def _seeds(items: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """``(pair, item_key, weight, needed)``: an item's rarest pairs, how often it has each, and how many a document must share."""
+    each = materialise(items.where(F.size("pairs") > 0).select("item_key", "n", F.explode("pairs").alias("pair")))
+    df = _frequencies(docs, each.select("pair").distinct())
+    least = F.greatest(F.lit(2), F.ceil(threshold * F.col("n") - F.lit(1e-9)))
+    needed = F.least(F.lit(SHARED_SEEDS), least - 1)
+    rank = F.row_number().over(Window.partitionBy("item_key").orderBy(F.coalesce("df", F.lit(0)), "pair"))
+    rare = each.join(df, "pair", "left").withColumn("needed", needed).withColumn("rank", rank).where(F.col("rank") <= F.col("n") - least + F.col("needed"))
+    return rare.groupBy("item_key", "pair").agg(F.count("*").alias("weight"), F.first("needed").alias("needed"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``(doc_id, text_key, item_id, score, first_word, last_word)``: each document and test item that it holds.
 
     score: alignment score by the item's words, 1 for a whole copy; pairs below ``threshold``, or with a score of one
-    word, are not returned, all others are. Words are counted from 0. Items go to the workers in blocks of ``block_words`` words or fewer
-    (at least one item), which bounds what is broadcast; each block is a pass over ``docs``. Null and
-    empty texts and items match nothing; items under three words neither. Items are told apart by item_id and
-    text; repeated documents give repeated rows.
+    word, are not returned, all others are. Words are counted from 0 and told apart by 64-bit hashes. ``docs`` are read
+    twice, whatever the benchmark's size: what travels to the workers is Bloom filters of word pairs, 32 MB at
+    most, and what they let through besides is joined away. Null and empty texts and items match nothing; items under
+    three words neither. Items are told apart by item_id and text; repeated documents give repeated rows. Other columns are
+    not looked at.
     """
-    spark = docs.sparkSession
-    out = spark.createDataFrame([], "doc_id long, text_key long, item_id long, score double, first_word long, last_word long")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    block: list[tuple[int, str]] = []
-    size = 0
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").distinct()
-    for row in [*rows.orderBy("item_id", "text").toLocalIterator(), None]:
-        n = len(words_of(row[1])) if row else 0
-        if block and (row is None or size + n > block_words):
-            out = out.unionByName(_block(texts, build_items(block), threshold))
-            block, size = [], 0
-        if row:
-            block.append((row[0], row[1]))
-            size += n
-    return out
-
-
-def _block(texts: DataFrame, items: Items, threshold: float) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(items)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    items = materialise(items.withColumn("item_key", F.xxhash64("item_id", "text")).mapInPandas(_pairs_of, "item_key long, item_id long, text string, n int, pairs array<long>"))
+    seeds = materialise(_seeds(items, texts, threshold))
+    bits = bloom_bits(seeds.select("pair"))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_filter(seeds.select("pair"), bits))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(len(shared.value.keys), np.int64)
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for text in pdf["text"]:
-                n[np.unique(_found(text, shared.value)[2])] += 1
-        at = np.flatnonzero(n)
-        yield pd.DataFrame({"gram": at, "n": n[at]})
+            found = [p[bloom_holds(shared.value, p, bits)] for p in (np.unique(pair_hashes(word_hashes(t))) for t in pdf["text"])]
+            yield pdf.assign(pairs=found)[[len(p) > 0 for p in found]]
 
-    # As many rows as the block has word pairs at most.
-    df = np.zeros(len(items.keys), np.int64)
-    for gram, n in texts.select("text").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect():
-        df[gram] = n
-    chosen = texts.sparkSession.sparkContext.broadcast(choose_seeds(items, df, threshold))
+    some = texts.where("text is not null").withColumn("key", F.xxhash64("doc_id", "text_key"))
+    some = materialise(some.mapInPandas(find, "doc_id long, text_key long, text string, key long, pairs array<long>"))
+    # Repeated documents only make the sums larger.
+    votes = some.select("key", F.explode("pairs").alias("pair")).join(seeds, "pair").groupBy("key", "item_key").agg(F.sum("weight").alias("got"), F.first("needed").alias("needed"))
+    candidates = votes.where("got >= needed").select("key", "item_key").join(items.select("item_key", "item_id", F.col("text").alias("item")), "item_key")
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "text_key", "item_id", "score", "first_word", "last_word"]
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, words, known = None, np.empty(0, np.uint64), {}
         for pdf in batches:
-            got = [
-                (d, k, *x) for d, k, t in zip(pdf["doc_id"], pdf["text_key"], pdf["text"], strict=True)
-                for x in leaks_in(t, shared.value, chosen.value, threshold)
-            ]
-            yield pd.DataFrame(got, columns=names).astype({"doc_id": "Int64", "item_id": "Int64"})
-
-    return texts.mapInPandas(find, "doc_id long, text_key long, item_id long, score double, first_word long, last_word long")
+            out = []
+            for key, doc_id, text_key, text, item_key, item_id, item in pdf.itertuples(index=False):
+                if key != last:
+                    last, words = key, word_hashes(text)
+                if item_key not in known:
+                    known = known if len(known) < 10_000 else {}
+                    known[item_key] = word_hashes(item)
+                if got := leak(known[item_key], words, threshold):
+                    out.append((doc_id, text_key, item_id, *got))
+            names = ["doc_id", "text_key", "item_id", "score", "first_word", "last_word"]
+            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64", "item_id": "Int64"})
+
+    both = some.drop("pairs").join(candidates, "key").select("key", "doc_id", "text_key", "text", "item_key", "item_id", "item")
+    return both.mapInPandas(score, "doc_id long, text_key long, item_id long, score double, first_word long, last_word long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the documents into which an item of ``benchmark`` leaks; columns stay."""
-    bad = leaks(docs, benchmark, threshold).select(F.xxhash64("doc_id", "text_key").alias("_bad")).distinct()
-    keyed = docs.withColumn("_bad", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    return keyed.join(bad, "_bad", "left_anti").drop("_bad")
+    """``docs`` without the documents into which an item of ``benchmark`` leaks; all columns stay, whatever their names."""
+    key = free_name(docs, "leak")
+    bad = leaks(docs, benchmark, threshold).select(F.xxhash64("doc_id", "text_key").alias(key)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    return keyed.join(bad, key, "left_anti").drop(key)

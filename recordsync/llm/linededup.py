@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordsync.llm._common import materialise, row_key
+from recordsync.llm._common import bloom_bits, bloom_filter, bloom_holds, free_name, materialise, row_key
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -58,26 +58,6 @@ def _lines(edit_words: int, min_words: int):
     return run
 
 
-def _marks(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Two places of each hash in a filter of 2^``bits`` bits."""
-    h = hashes.view(np.uint64)
-    return np.stack([h >> np.uint64(64 - bits), (h * np.uint64(_BASE)) >> np.uint64(64 - bits)]).astype(np.int64)
-
-
-def _filter(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of the longs in column ``half``: its size is fixed, whatever their number."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            at = np.unique(_marks(pdf["half"].to_numpy(np.int64), bits))
-            yield pd.DataFrame({"block": at >> 6, "word": (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64)})
-
-    got = hashes.mapInPandas(run, "block long, word long").groupBy("block").agg(F.bit_or("word").alias("word")).toArrow()
-    out = np.zeros(1 << bits - 6, np.int64)
-    out[got["block"].to_numpy()] = got["word"].to_numpy()
-    return out.view(np.uint8)
-
-
 def variant_hashes(line: bytes) -> np.ndarray:
     """Hash of the line without its i-th word for each i, then of the whole line.
 
@@ -123,13 +103,13 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[[within_one_edit(a, b) for a, b in zip(pdf["line"], pdf["line2"], strict=True)], ["h"]]
 
 
-def repeated_lines(docs: DataFrame, min_words: int = 5, edit_words: int = 10, filter_bits: int = 26) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = 5, edit_words: int = 10) -> DataFrame:
     """``(key, line_no)`` of each line of ``docs`` that repeats an earlier one and is to go.
 
     Order is by doc_id (nulls last), then line number. A line of ``min_words`` or more goes if the same
     words stand in an earlier line; one of ``edit_words`` or more also if an earlier line of that length is
     one word's edit away. Shorter lines never go. Rows that agree in doc_id and text are one document.
-    Halves that lines share go to the workers as a Bloom filter of 2^``filter_bits`` bits; what it lets
+    Halves that lines share go to the workers as a Bloom filter sized by their number, of 32 MB at most; what it lets
     through beyond them only costs time.
     """
     whole = docs.select(row_key().alias("key"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -138,8 +118,9 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, edit_words: int = 10, fi
     first = materialise(places.groupBy("h").agg(F.min(order).alias("place"), F.count("*").alias("n")))
     # Lines under edit_words have four zeros here.
     half = places.where("k1 <> 0 or k2 <> 0").select("h", F.explode(F.array("k1", "k2", "k3", "k4")).alias("half"))
-    shared = half.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
-    bloom = docs.sparkSession.sparkContext.broadcast(_filter(shared, filter_bits))
+    shared = materialise(half.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half"))
+    bits = bloom_bits(shared)
+    bloom = docs.sparkSession.sparkContext.broadcast(bloom_filter(shared, bits))
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -151,9 +132,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, edit_words: int = 10, fi
                         at.append(i)
                         rows.append((no, b" ".join(words)))
                         keys.append(half_keys(words))
-            marks = _marks(np.array(keys, np.uint64).reshape(-1, 4).view(np.int64), filter_bits)
-            hit = (bloom.value[marks >> 3] >> (marks & 7).astype(np.uint8) & 1).all(axis=0).any(axis=1)
-            kept = np.flatnonzero(hit)
+            kept = np.flatnonzero(bloom_holds(bloom.value, np.array(keys, np.uint64).reshape(-1, 4).view(np.int64), bits).any(axis=1))
             yield pd.DataFrame({
                 "key": pdf["key"].to_numpy()[np.array(at, int)[kept]], "line_no": [rows[r][0] for r in kept], "line": [rows[r][1] for r in kept],
                 "h": np.array([xxhash.xxh64_intdigest(rows[r][1]) for r in kept], np.uint64).view(np.int64),
@@ -187,13 +166,14 @@ def deduplicate(docs: DataFrame, min_words: int = 5, edit_words: int = 10) -> Da
     Other columns stay as they are (n_chars is not recounted here), but for clashes with those two, which are replaced. A null text stays null,
     with no lines. Texts that lose all their words become empty; no row goes.
     """
-    gone = repeated_lines(docs, min_words, edit_words).groupBy("key").agg(F.collect_set("line_no").alias("_gone"))
-    out = docs.withColumn("_row_key", row_key()).join(gone.withColumnRenamed("key", "_row_key"), "_row_key", "left")
+    key, gone = free_name(docs, "line_key"), free_name(docs, "line_gone")
+    lines = repeated_lines(docs, min_words, edit_words).groupBy("key").agg(F.collect_set("line_no").alias(gone)).withColumnRenamed("key", key)
+    out = docs.withColumn(key, row_key()).join(lines, key, "left")
     parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda _, i: ~F.array_contains(F.col("_gone"), i))
+    kept = F.filter(parts, lambda _, i: ~F.array_contains(F.col(gone), i))
     return (
         out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-        .drop("_gone", "_row_key")
+        .withColumn("n_dropped", F.coalesce(F.size(gone), F.lit(0)).cast("long"))
+        .withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+        .drop(gone, key)
     )

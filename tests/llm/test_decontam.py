@@ -44,9 +44,8 @@ def corpus(seed=3):
 def test_leaks_against_all_pairs(spark):
     docs, items, leaked = corpus()
     bench = spark.createDataFrame([*items, (None, None), (99, ""), (98, "one two")], "item_id long, text string")
-    for words in (10**6, 200):
-        got = decontam.leaks(spark.createDataFrame(docs, SCHEMA), bench, block_words=words).collect()
-        assert {(r.doc_id, r.item_id) for r in got} == leaked and len(got) == len(leaked)
+    got = decontam.leaks(spark.createDataFrame(docs, SCHEMA), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == leaked and len(got) == len(leaked)
     for r in got:
         a, b = words_of(dict(items)[r.item_id]), words_of(docs[r.doc_id][1])
         assert round(r.score * len(a)) == slow_align(a, b) == slow_align(a, b[r.first_word : r.last_word + 1])
@@ -105,3 +104,33 @@ def kept_grams(item, text):
     a, b = item.split(), text.split()
     there = {tuple(b[k : k + 3]) for k in range(len(b) - 2)}
     return sum(tuple(a[k : k + 3]) in there for k in range(len(a) - 2))
+
+
+def test_recall_by_share_of_edited_words(spark):
+    """Copies of random items with 10, 20 and 25 % of their words replaced, left out or put in, between common words."""
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"w{x}" for x in rng.zipf(1.3, n) % 4000]
+    items = [(i, word(int(rng.integers(12, 70)))) for i in range(40)]
+    texts, planted = [], []
+    for share in (0.1, 0.2, 0.25):
+        for i, item in items:
+            out = []
+            for x in item:
+                how = rng.integers(0, 3) if rng.random() < share else 3
+                out += [[word(1)[0]], [], [word(1)[0], x], [x]][how]
+            texts.append(" ".join(word(40) + out + word(40)))
+            planted.append((share, i))
+    want = {(d, i) for d, t in enumerate(texts) for i, x in items if 2 * slow_align([w.encode() for w in x], words_of(t)) >= len(x)}
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    got = decontam.leaks(spark.createDataFrame([(d, t, "i", "s") for d, t in enumerate(texts)], SCHEMA), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    for share, least in ((0.1, 0.97), (0.2, 0.9), (0.25, 0.75)):
+        mine = [(d, i) in want for d, (s, i) in enumerate(planted) if s == share]
+        assert np.mean(mine) >= least, share
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma", 5, 6, 7), (2, "other text", 5, 6, 7)], "doc_id long, text string, leak int, LEAK_ int, _bad int")
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    left = decontam.decontaminate(docs, bench)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(2, "other text", 5, 6, 7)]
