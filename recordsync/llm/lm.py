@@ -3,12 +3,15 @@
 Counts of words and word pairs are summed over all training documents by hash, each share of the
 hashes in a task of its own. A count becomes a level on a logarithmic scale; a gram of level q is
 entered into the filter q times, once with each number from 1 to q. Its level is read back by probing
-1, 2, 3, ... until a probe fails, so what is stored is never read as less than it was. The filters have
-a fixed size, which bounds what is broadcast; probabilities mix pair and word estimates.
+1, 2, 3, ... until a probe fails, so what is stored is never read as less than it was. The filters are sized by what
+was counted, to be a quarter full at most. A filter of pairs that is too large to broadcast is cut into slices by hash;
+texts are then read once for each slice, and each reading adds the tokens whose pair lies in it. Probabilities mix pair
+and word estimates.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,9 +25,7 @@ from recordsync.llm._common import materialise, row_key
 
 #: Hash of what no word can be: the end of a text, and what stands before its first word.
 END, START = xxhash.xxh64_intdigest(b" end"), xxhash.xxh64_intdigest(b" start")
-_BASE, _PROBES, _FLUSH = 1.5, 2, 2_000_000
-#: Least count that is entered, by order: pairs that occur once say little and are most of all pairs.
-_LEAST = {1: 1, 2: 2}
+_BASE, _PROBES, _FLUSH, _LEVELS = 1.5, 2, 2_000_000, 64
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -45,14 +46,14 @@ def pairs(words: np.ndarray) -> np.ndarray:
     return _mix(before * np.uint64(0x9E3779B97F4A7C15) + words)
 
 
-def level(counts: np.ndarray, least: int) -> np.ndarray:
-    """Quantised counts: 0 below ``least``, then one more for each factor of 1.5."""
-    return np.where(counts < least, 0, 1 + np.floor(np.log(np.maximum(counts, least) / least) / np.log(_BASE) + 1e-9)).astype(np.int64)
+def level(counts: np.ndarray) -> np.ndarray:
+    """Quantised counts: 0 for 0, then 1 and one more for each factor of 1.5."""
+    return np.where(counts < 1, 0, 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(_BASE) + 1e-9)).astype(np.int64)
 
 
-def _count_of(levels: np.ndarray, least: int) -> np.ndarray:
-    """Count in the middle of a level's range, 0 for level 0."""
-    return np.where(levels == 0, 0.0, least * _BASE ** (levels - 1) * (1 if least == 1 else 1.2))
+def _count_of(levels: np.ndarray) -> np.ndarray:
+    """The least count of a level, 0 for level 0."""
+    return np.where(levels == 0, 0.0, _BASE ** (levels - 1))
 
 
 def _bits(grams: np.ndarray, j: int, shares: int, bits: int) -> list[np.ndarray]:
@@ -76,13 +77,15 @@ def enter(grams: np.ndarray, levels: np.ndarray, shares: int, bits: int) -> np.n
     return np.packbits(filled, bitorder="little")
 
 
-def probe(grams: np.ndarray, data: np.ndarray, shares: int, bits: int) -> np.ndarray:
-    """Level of each gram: the number of successive probes that hit."""
+def probe(grams: np.ndarray, data: np.ndarray, shares: int, bits: int, slices: int = 0) -> np.ndarray:
+    """Level of each gram: the number of successive probes that hit. ``data`` is one of 2^``slices`` slices, and ``grams`` are all of it."""
     out, left, j = np.zeros(len(grams), np.int64), np.arange(len(grams)), 0
-    while len(left) and j < 80:
+    inside = (1 << bits - slices) - 1
+    while len(left) and j < _LEVELS - 1:
         j += 1
         hit = np.ones(len(left), bool)
         for at in _bits(grams[left], j, shares, bits):
+            at &= inside
             hit &= (data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
         left = left[hit]
         out[left] = j
@@ -91,11 +94,14 @@ def probe(grams: np.ndarray, data: np.ndarray, shares: int, bits: int) -> np.nda
 
 @dataclass
 class Model:
-    """Filters by order, the number of training tokens and of different ones, and the exact counts of the most frequent."""
+    """The word filter, sizes of both filters, the number of training tokens and of different ones, exact counts of the most
+    frequent, and the weight of pairs by level of the word before. The pairs' filter comes in slices (see :func:`pair_slice`).
+    """
 
-    filters: dict[int, np.ndarray]
+    words: np.ndarray
     shares: int
     bits: dict[int, int]
+    slices: int
     n: int
     distinct: int
     head: np.ndarray
@@ -106,38 +112,50 @@ class Model:
         """Additively smoothed log10 probability of a token by its count."""
         return np.log10((counts + 0.1) / (self.n + 0.1 * (self.distinct + 1)))
 
-    def _parts(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each token of all texts: count of the pair, count and level of the word before, and the word's own smoothed share."""
+    def levels(self, texts: list[np.ndarray], data: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each token of all texts whose pair lies in the slice ``data``: its text, and levels of the pair, the word before and the word."""
+        of = np.repeat(np.arange(len(texts)), [len(w) for w in texts])
         word, inverse = np.unique(np.concatenate(texts), return_inverse=True)
-        levels = probe(word, self.filters[1], self.shares, self.bits[1])
-        single = _count_of(levels, _LEAST[1])[inverse]
-        pair, place = np.unique(np.concatenate([pairs(w) for w in texts]), return_inverse=True)
-        both = _count_of(probe(pair, self.filters[2], self.shares, self.bits[2]), _LEAST[2])[place]
+        alone = probe(word, self.words, self.shares, self.bits[1])[inverse]
         ends = np.cumsum([len(w) for w in texts])
         before = np.arange(-1, len(inverse) - 1)
         before[np.concatenate([[0], ends[:-1]])] = ends - 1  # a text starts as often as it ends
-        return both, single[before], levels[inverse][before], (single + 0.1) / (self.n + 0.1 * (self.distinct + 1))
-
-    def scores(self, texts: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each of some texts, given by their tokens, from probes alone."""
-        both, ahead, at, alone = self._parts(texts)
-        share = self.mixing[np.minimum(at, len(self.mixing) - 1)]
-        each = np.log10(share * both / np.maximum(np.maximum(ahead, both), 1) + (1 - share) * alone)
-        return np.add.reduceat(each, np.cumsum([0, *(len(w) for w in texts[:-1])]))
-
-    def tune(self, texts: list[str | None], rounds: int = 20) -> None:
-        """Set the weight of pairs, by level of the word before, to what suits ``texts`` with each pair left out once (EM)."""
-        if not texts:
-            return
-        both, ahead, at, alone = self._parts([tokens(t) for t in texts])
-        pair = np.maximum(0, both - 1) / np.maximum(np.maximum(ahead, both) - 1, 1)
-        at = np.minimum(at, len(self.mixing) - 1)
-        n = np.bincount(at, minlength=len(self.mixing))
-        for _ in range(rounds):
-            share = self.mixing[at]
-            mine = share * pair / (share * pair + (1 - share) * alone)
-            self.mixing = np.where(n > 0, np.bincount(at, mine, len(self.mixing)) / np.maximum(n, 1), self.mixing)
-        self.mixing = np.minimum(self.mixing, 0.99)
+        both = np.concatenate([pairs(w) for w in texts])
+        mine = np.flatnonzero(both >> np.uint64(64 - self.slices) == number) if self.slices else np.arange(len(both))
+        pair, place = np.unique(both[mine], return_inverse=True)
+        return of[mine], probe(pair, data, self.shares, self.bits[2], self.slices)[place], alone[before[mine]], alone[mine]
+
+    def scores(self, texts: list[np.ndarray], data: np.ndarray, number: int) -> np.ndarray:
+        """What the tokens with a pair in one slice add to the log10 probability of each text, from probes alone. It is never above 0."""
+        of, both, ahead, alone = self.levels(texts, data, number)
+        share = self.mixing[ahead]
+        p = share * _ratio(both, ahead, 0) + (1 - share) * self.alone(alone)
+        return np.bincount(of, np.log10(p), len(texts))
+
+    def alone(self, levels: np.ndarray) -> np.ndarray:
+        """Smoothed share of a word by its level, 1 at most."""
+        return np.minimum(1, (_count_of(levels) + 0.1) / (self.n + 0.1 * (self.distinct + 1)))
+
+
+def _ratio(both: np.ndarray, ahead: np.ndarray, less: int) -> np.ndarray:
+    """Share of a pair among what follows its first word, by their levels, with ``less`` of its occurrences left out; 1 at most."""
+    pair, first = _count_of(both), _count_of(ahead)
+    return np.maximum(0, pair - less) / np.maximum(np.maximum(first, pair) - less, 1)
+
+
+def tune(model: Model, cells: np.ndarray, n: np.ndarray, rounds: int = 20) -> None:
+    """Set the weight of pairs by level of the word before, with each pair left out once (EM).
+
+    cells: levels of pair, word before and word (rows of three); n: how many training tokens have them.
+    """
+    both, ahead, alone = cells.T
+    pair, word = _ratio(both, ahead, 1), model.alone(alone)
+    total = np.bincount(ahead, n, _LEVELS)
+    for _ in range(rounds):
+        share = model.mixing[ahead]
+        mine = n * share * pair / (share * pair + (1 - share) * word)
+        model.mixing = np.where(total > 0, np.bincount(ahead, mine, _LEVELS) / np.maximum(total, 1), model.mixing)
+    model.mixing = np.minimum(model.mixing, 0.99)
 
 
 def _counter(shares: int):
@@ -167,20 +185,25 @@ def _summed(held: list[np.ndarray], shares: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["order", "share", "grams", "counts"])
 
 
-def _joiner(shares: int, bits: dict[int, int]):
-    def run(key: tuple[int, int], pdf: pd.DataFrame) -> pd.DataFrame:
-        order = int(key[0])
-        grams = np.concatenate([np.frombuffer(g, np.uint64) for g in pdf["grams"]])
-        counts = np.concatenate([np.frombuffer(c, np.uint32) for c in pdf["counts"]]).astype(np.int64)
-        at = np.argsort(grams, kind="stable")
-        grams, first = np.unique(grams[at], return_index=True)
-        counts = np.add.reduceat(counts[at], first)
-        part = enter(grams, level(counts, _LEAST[order]), shares, bits[order]).tobytes()
-        own = order == 1
-        return pd.DataFrame({
-            "order": [order], "share": [int(key[1])], "n": [counts.sum()], "distinct": [len(grams)], "part": [part],
-            "grams": [grams.tobytes() if own else None], "counts": [counts.tobytes() if own else None],
-        })
+def _join(key: tuple[int, int], pdf: pd.DataFrame) -> pd.DataFrame:
+    """All counts of one share, and how many entries they make."""
+    grams = np.concatenate([np.frombuffer(g, np.uint64) for g in pdf["grams"]])
+    counts = np.concatenate([np.frombuffer(c, np.uint32) for c in pdf["counts"]]).astype(np.int64)
+    at = np.argsort(grams, kind="stable")
+    grams, first = np.unique(grams[at], return_index=True)
+    counts = np.add.reduceat(counts[at], first)
+    return pd.DataFrame({
+        "order": [int(key[0])], "share": [int(key[1])], "n": [counts.sum()], "distinct": [len(grams)], "entries": [level(counts).sum()],
+        "grams": [grams.tobytes()], "counts": [counts.tobytes()],
+    })
+
+
+def _enter_all(shares: int, bits: dict[int, int]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for order, share, grams, counts in pdf.itertuples(index=False):
+                part = enter(np.frombuffer(grams, np.uint64), level(np.frombuffer(counts, np.int64)), shares, bits[order])
+                yield pd.DataFrame({"order": [order], "share": [share], "part": [part.tobytes()]})
 
     return run
 
@@ -191,72 +214,129 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"token": np.frombuffer(g, np.int64), "c": np.frombuffer(c, np.int64)})
 
 
-def train(docs: DataFrame, filter_bits: int = 28, head: int = 100_000, tuning_docs: int = 500) -> tuple[Model, DataFrame]:
-    """A model of the whole texts of ``docs`` and the exact count of each token (token, c).
+def _filter(parts: DataFrame, order: int, shares: int, bits: int, slices: int = 0, number: int = 0) -> np.ndarray:
+    """One of 2^``slices`` slices of a filter, put together from its parts."""
+    out = np.zeros(1 << bits - slices - 3, np.uint8)
+    first, end = number << shares - slices, number + 1 << shares - slices
+    rows = parts.where((F.col("order") == order) & (F.col("share") >= first) & (F.col("share") < end))
+    for r in rows.select("share", "part").toLocalIterator():
+        at = (r["share"] - first) * len(r["part"])
+        out[at : at + len(r["part"])] = np.frombuffer(r["part"], np.uint8)
+    return out
+
+
+@dataclass
+class Trained:
+    """A model, the exact count of each token (token, c), and the parts of the filters."""
+
+    model: Model
+    counts: DataFrame
+    parts: DataFrame
+
+    def slices(self) -> Iterator[tuple[int, np.ndarray]]:
+        """The slices of the pairs' filter, one after another."""
+        m = self.model
+        for number in range(1 << m.slices):
+            yield number, _filter(self.parts, 2, m.shares, m.bits[2], m.slices, number)
+
+
+def train(docs: DataFrame, head: int = 100_000, fill: float = 0.25, slice_bits: int = 29) -> Trained:
+    """A model of the whole texts of ``docs``.
 
-    filter_bits: the pair filter has two to that power of bits (32 MB for 28), the word filter an eighth; at
-    most ``head`` exact counts go to the driver besides, and ``tuning_docs`` texts (those of the least hash) that
-    set the weight of pairs. The corpus is counted in shares, four or more for each partition of ``docs``.
-    Null and empty texts consist of their end.
+    Filters take the least power of two of bits that leaves them at most ``fill`` full: two probes then let one in sixteen of the
+    grams that were never seen pass as seen once. What is broadcast has at most 2^``slice_bits`` bits (64 MB); a larger
+    filter of pairs is cut into slices, and a word filter of more than four times that size raises a ValueError. At
+    most ``head`` exact counts go to the driver besides. Weights of pairs come from all training tokens, tallied by their
+    levels. The corpus is counted in shares, four or more for each partition of ``docs``. Null and empty
+    texts consist of their end.
     """
     spark = docs.sparkSession
-    parts = docs.select("text").rdd.getNumPartitions()
-    shares = min(filter_bits - 13, max(4, int(np.ceil(np.log2(4 * max(1, parts))))))
-    bits = {1: filter_bits - 3, 2: filter_bits}
-    counted = docs.select(F.col("text").cast("string")).mapInPandas(_counter(shares), "order int, share int, grams binary, counts binary")
+    shares = max(4, int(np.ceil(np.log2(4 * max(1, docs.select("text").rdd.getNumPartitions())))))
+    texts = docs.select(F.col("text").cast("string"))
+    counted = texts.mapInPandas(_counter(shares), "order int, share int, grams binary, counts binary")
     merged = materialise(
-        counted.groupBy("order", "share").applyInPandas(
-            _joiner(shares, bits), "order int, share int, n long, distinct long, part binary, grams binary, counts binary"
-        )
+        counted.groupBy("order", "share").applyInPandas(_join, "order int, share int, n long, distinct long, entries long, grams binary, counts binary")
     )
+    sums = {r["order"]: r for r in merged.groupBy("order").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct"), F.sum("entries").alias("entries")).collect()}
+    need = {k: _PROBES * (sums[k]["entries"] if k in sums else 1) / -np.log(1 - fill) for k in (1, 2)}
+    bits = {k: max(shares + 6, int(np.ceil(np.log2(max(2, v))))) for k, v in need.items()}
+    if bits[1] > slice_bits + 2:
+        raise ValueError(f"the word filter takes 2^{bits[1]} bits; raise slice_bits or fill")
+    slices = min(shares, max(0, bits[2] - slice_bits))
+    parts = materialise(merged.select("order", "share", "grams", "counts").mapInPandas(_enter_all(shares, bits), "order int, share int, part binary"))
     counts = merged.where("`order` = 1").select("grams", "counts").mapInPandas(_counts, "token long, c long")
     top = counts.orderBy(F.desc("c"), "token").limit(head).toArrow()
     heads = top["token"].to_numpy().astype(np.int64).view(np.uint64)
     at = np.argsort(heads)
-    filters = {k: np.zeros(1 << b - 3, np.uint8) for k, b in bits.items()}
-    for r in merged.select("order", "share", "part").toLocalIterator():  # as large as the filters in all
-        size = len(r["part"])
-        filters[r["order"]][r["share"] * size : (r["share"] + 1) * size] = np.frombuffer(r["part"], np.uint8)
-    n, distinct = merged.where("`order` = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    model = Model(filters, shares, bits, n, distinct, heads[at], top["c"].to_numpy().astype(np.int64)[at], np.full(64, 0.1))
-    least = docs.select(row_key().alias("k"), F.col("doc_id")).orderBy("k").limit(tuning_docs).select("k").distinct()
-    chosen = docs.select(row_key().alias("k"), F.col("text").cast("string")).join(F.broadcast(least), "k").dropDuplicates(["k"]).orderBy("k")
-    model.tune([r["text"] for r in chosen.collect()])
-    return model, counts
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    n, distinct = (sums[1]["n"], sums[1]["distinct"]) if 1 in sums else (0, 0)
+    words = _filter(parts, 1, shares, bits[1])
+    model = Model(words, shares, bits, slices, n, distinct, heads[at], top["c"].to_numpy().astype(np.int64)[at], np.full(_LEVELS, 0.1))
+    trained = Trained(model, counts, parts)
+    shared = spark.sparkContext.broadcast(model)
+    tallies: dict[int, int] = {}
+    for number, data in trained.slices():
+        pair_filter = spark.sparkContext.broadcast(data)
+
+        def tally(batches: Iterator[pd.DataFrame], number: int = number, pair_filter=pair_filter) -> Iterator[pd.DataFrame]:
+            seen = np.zeros(_LEVELS**3, np.int64)
+            for pdf in batches:
+                for i in range(0, len(pdf), 256):
+                    _, both, ahead, alone = shared.value.levels([tokens(t) for t in pdf["text"].iloc[i : i + 256]], pair_filter.value, number)
+                    cell, n = np.unique((both * _LEVELS + ahead) * _LEVELS + alone, return_counts=True)
+                    seen[cell] += n
+            cell = np.flatnonzero(seen)
+            yield pd.DataFrame({"cell": cell, "n": seen[cell]})
+
+        # A bounded number of rows: one for each three levels.
+        for r in texts.mapInPandas(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+            tallies[r["cell"]] = tallies.get(r["cell"], 0) + r["n"]
+    cells = np.array(sorted(tallies), np.int64)
+    tune(model, np.stack([cells // _LEVELS**2, cells // _LEVELS % _LEVELS, cells % _LEVELS], axis=1), np.array([tallies[c] for c in cells.tolist()], float))
+    return trained
+
+
+def score(docs: DataFrame, trained: Trained) -> DataFrame:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` for each row of ``docs`` (doc_id, text).
 
     base_score: exact additive smoothing. Counts of frequent tokens are broadcast, a fixed number; each
-    text's other tokens are joined to ``counts``. score: the model's log10 probability. Null and empty texts
+    text's other tokens are joined to all counts. score: the model's log10 probability, never above 0. Null and empty texts
     have one token, their end. Repeated rows stay repeated; rows with null ids are scored like others.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        log_head = m.base(m.head_counts)
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                rows, rare, texts = [], [], [tokens(t) for t in part["text"]]
-                for i, words in enumerate(texts):
-                    word, times = np.unique(words, return_counts=True)
-                    place = np.minimum(np.searchsorted(m.head, word), max(0, len(m.head) - 1))
-                    known = m.head[place] == word if len(m.head) else np.zeros(len(word), bool)
-                    rows.append((len(words), times[known].sum(), (times[known] * log_head[place[known]]).sum()))
-                    rare.append((np.full((~known).sum(), i), word[~known].view(np.int64), times[~known]))
-                keys = part["key"].to_numpy()
-                whole = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score"])
-                whole = whole.assign(score=m.scores(texts), doc_id=part["doc_id"].array, key=keys, token=keys, tf=0, rows=1)
-                i, token, tf = (np.concatenate(x) for x in zip(*rare, strict=True))
-                more = pd.DataFrame({"doc_id": part["doc_id"].array[i], "key": keys[i], "token": token, "tf": tf, "rows": 0})
-                more = more.assign(n_tokens=0, n_known=0, base_score=0.0, score=0.0)
-                yield pd.concat([whole, more[whole.columns]])[_COLUMNS]
+    model, counts, context = trained.model, trained.counts, docs.sparkSession.sparkContext
+    shared = context.broadcast(model)
+
+    def reader(number: int, pair_filter):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            m = shared.value
+            log_head = m.base(m.head_counts)
+            for pdf in batches:
+                for at in range(0, len(pdf), 256):
+                    part = pdf.iloc[at : at + 256]
+                    texts, keys = [tokens(t) for t in part["text"]], part["key"].to_numpy()
+                    score = m.scores(texts, pair_filter.value, number)
+                    if number:  # all but the score has been told with the first slice
+                        zero = pd.DataFrame({"doc_id": part["doc_id"].array, "key": keys, "score": score, "token": keys})
+                        yield zero.assign(n_tokens=0, n_known=0, base_score=0.0, tf=0, rows=0)[_COLUMNS]
+                        continue
+                    rows, rare = [], []
+                    for i, words in enumerate(texts):
+                        word, times = np.unique(words, return_counts=True)
+                        place = np.minimum(np.searchsorted(m.head, word), max(0, len(m.head) - 1))
+                        known = m.head[place] == word if len(m.head) else np.zeros(len(word), bool)
+                        rows.append((len(words), times[known].sum(), (times[known] * log_head[place[known]]).sum()))
+                        rare.append((np.full((~known).sum(), i), word[~known].view(np.int64), times[~known]))
+                    whole = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score"])
+                    whole = whole.assign(score=score, doc_id=part["doc_id"].array, key=keys, token=keys, tf=0, rows=1)
+                    i, token, tf = (np.concatenate(x) for x in zip(*rare, strict=True))
+                    more = pd.DataFrame({"doc_id": part["doc_id"].array[i], "key": keys[i], "token": token, "tf": tf, "rows": 0})
+                    more = more.assign(n_tokens=0, n_known=0, base_score=0.0, score=0.0)
+                    yield pd.concat([whole, more[whole.columns]])[_COLUMNS]
+
+        return run
 
     rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), F.col("text").cast("string"))
-    found = rows.mapInPandas(run, "doc_id long, key long, n_tokens long, n_known long, base_score double, score double, token long, tf long, rows long")
+    schema = "doc_id long, key long, n_tokens long, n_known long, base_score double, score double, token long, tf long, rows long"
+    found = functools.reduce(DataFrame.unionByName, (rows.mapInPandas(reader(k, context.broadcast(data)), schema) for k, data in trained.slices()))
     c = F.coalesce("c", F.lit(0))
     below = model.n + 0.1 * (model.distinct + 1)
     joined = found.join(counts, (found["token"] == counts["token"]) & (found["tf"] > 0), "left")

@@ -72,8 +72,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document under a model of nine tenths of them; those without an id are not learned from."""
     docs = _table(spark, sf_dir, "documents")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(True))
-    model, counts = lm.train(docs.where(~held))
-    return lm.score(docs, model, counts).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return lm.score(docs, lm.train(docs.where(~held))).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 @_query
