@@ -7,13 +7,14 @@ complete distance decides. Equal fingerprints are one node from the start.
 Buckets that hold many different fingerprints (one large group of near copies) would give a
 number of pairs that grows with the square of the group. They take another exact way: for bounds of
 two bits, fingerprints share a point of their radius-1 balls if and only if they link, so all
-that share a point link to the least of them; for larger bounds the bucket is compared in tiles
-that emit a spanning forest.
+that share a point link to the least of them; for larger bounds all are compared with the least one first, and
+then only what is not connected yet.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordsync.llm._common import materialise, row_key
-from recordsync.llm.components import components
+from recordsync.llm._common import bloom_bits, bloom_filter, bloom_holds, free_name, materialise, row_key
+from recordsync.llm.components import components, linked, settled
 
 SEED = 42
 
@@ -100,29 +101,17 @@ def _probes(width: int, radius: int) -> F.Column:
     return F.concat(own, F.transform(F.filter(flips, lambda b: F.col("val").bitwiseAND(b) == 0), lambda b: F.col("val").bitwiseOR(b)))
 
 
-def _tiles(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
-    """Spanning forest of the links among the fingerprints of one tile pair."""
-    fps = np.array(rows["fp"].tolist(), np.int64).view(np.uint64)
-    nodes = rows["node"].to_numpy()
-    left, edges = np.arange(len(nodes)), []
-    while len(left):
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            i = front.pop()
-            near = np.bitwise_count(fps[left] ^ fps[i]).sum(axis=1) <= bits
-            edges += [(nodes[i], x) for x in nodes[left[near]]]
-            front += left[near].tolist()
-            left = left[~near]
-    return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
-
-
-def links(nodes: DataFrame, distance: int, radii: list[int], width: int, heavy: int = 256) -> DataFrame:
+def links(
+    nodes: DataFrame, distance: int, radii: list[int], width: int, heavy: int = 256, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None
+) -> DataFrame:
     """Links ``(a, b)`` among ``nodes`` (node, fp, segments): enough of those at ``distance`` bits or
     fewer to connect all that they connect.
 
     radii: ball radius (0 or 1) by segment. All such pairs are found if the radii, each plus one,
     add to more than ``distance`` (the pigeonhole bound), else those with a segment within its radius.
-    heavy: buckets with more fingerprints take the other exact way.
+    heavy: buckets with more fingerprints take the other exact way. verifier: gets the nodes (node) of all candidates and
+    gives a test of pairs that links have to pass as well. Fingerprints of several words are first told apart by their first
+    64 bits, at four standard deviations over what the bound lets expect: of pairs at the bound one in 30,000 is lost.
     """
     spark = nodes.sparkSession
     n_words = len(nodes.select("fp").head(1)[0][0]) if nodes.head(1) else 1
@@ -135,25 +124,32 @@ def links(nodes: DataFrame, distance: int, radii: list[int], width: int, heavy:
     )
     full = materialise(table.groupBy("seg", "val").count().where(F.col("count") > heavy))
     # With one word it is the whole fingerprint; else it spares most needless look-ups of whole ones.
-    bound = distance if n_words == 1 else min(64, round(64 * distance / (64 * n_words)) + 12)
+    share = distance / (64 * n_words)
+    bound = distance if n_words == 1 else min(64, math.ceil(64 * share + 4 * math.sqrt(64 * share * (1 - share))))
     p, t = probe.alias("p"), table.join(full, ["seg", "val"], "left_anti").alias("t")
     same = (F.col("p.seg") == F.col("t.seg")) & (F.col("p.val") == F.col("t.val")) & (F.col("p.node") != F.col("t.node"))
     pairs = p.join(t, same & (F.bit_count(F.col("p.chk").bitwiseXOR(F.col("t.chk"))) <= bound)).select(
         F.least("p.node", "t.node").alias("a"), F.greatest("p.node", "t.node").alias("b")
     )
-    pairs = pairs.distinct()
-    if n_words > 1:
+
+    def close(pairs: DataFrame) -> DataFrame:
         fp = nodes.select("node", "fp")
         apart = sum(F.bit_count(F.col("x.fp")[k].bitwiseXOR(F.col("y.fp")[k])) for k in range(n_words))
-        pairs = (
-            pairs.join(fp.alias("x"), F.col("a") == F.col("x.node"))
-            .join(fp.alias("y"), F.col("b") == F.col("y.node"))
-            .where(apart <= distance)
-            .select("a", "b")
-        )
-    if not full.head(1):
+        both = pairs.join(fp.alias("x"), F.col("a") == F.col("x.node")).join(fp.alias("y"), F.col("b") == F.col("y.node"))
+        return both.where(apart <= distance).select("a", "b")
+
+    pairs = pairs.distinct()
+    if n_words > 1:
+        pairs = materialise(close(pairs))
+    members = probe.join(full, ["seg", "val"]).select("node", "seg", "val").distinct()
+    some = bool(full.head(1))
+    keep: Callable[[DataFrame], DataFrame] = lambda pairs: pairs
+    if verifier:
+        there = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        keep = verifier((there.unionByName(members.select("node")) if some else there).distinct())
+        pairs = settled(pairs, keep)
+    if not some:
         return pairs
-    members = probe.join(full, ["seg", "val"]).select("node", "seg", "val", "count").distinct()
     if n_words == 1 and distance == 2:
         ball = F.concat(
             F.array("fp64"),
@@ -165,34 +161,27 @@ def links(nodes: DataFrame, distance: int, radii: list[int], width: int, heavy:
         least = points.groupBy("point").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
         return pairs.unionByName(points.join(least, "point").where("a <> node").select("a", F.col("node").alias("b")).distinct())
     # The bucket also holds those that look it up: all of these are compared.
-    tiles = F.ceil(F.col("n") / F.lit(2 * heavy)).cast("int")
-    size = members.groupBy("seg", "val").agg(F.count("*").alias("n"))
-    tiled = (
-        members.drop("count").join(size, ["seg", "val"]).join(nodes.select("node", "fp"), "node")
-        .withColumn("t", F.pmod(F.xxhash64("node"), tiles).cast("int"))
-        .withColumn("u", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        .select("seg", "val", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "node", "fp")
-    )
-    found = tiled.groupBy("seg", "val", "i", "j").applyInPandas(lambda rows: _tiles(rows, distance), "a long, b long")
-    return pairs.unionByName(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    entries = members.select(F.xxhash64("seg", "val").alias("bucket"), "node")
+    return pairs.unionByName(linked(entries, lambda pairs: keep(close(pairs))))
 
 
 def near_groups(
-    docs: DataFrame, shingle: int = 3, bits: int = 64, width: int = 32, distance: int = 2, radii: list[int] | None = None
+    docs: DataFrame, shingle: int = 3, bits: int = 64, width: int = 32, distance: int = 2, radii: list[int] | None = None, similarity: float = 0.0
 ) -> DataFrame:
     """``(key, doc_id, fp, component_id)``: the near-duplicate group of each document of ``docs`` (doc_id, text).
 
     Fingerprints of ``distance`` bits or fewer apart link; a group is all that links reach.
     component_id is its smallest doc_id. Null ids never win it, and it is null only where the whole
-    group has none. A null text is empty; texts without words have fingerprint zero and link like any
+    group has none. With ``similarity``, links also need sets of shingles of that Jaccard similarity. A null text is empty; texts without words have fingerprint zero and link like any
     other. Repeated rows and further columns change nothing; no rows give no rows.
     """
     radii = radii or [1] + [0] * (bits // width - 1)
     rows = materialise(fingerprints(docs, shingle, bits, width))
     node = F.col("fp")[0] if bits == 64 else F.xxhash64("fp")
     rows = rows.withColumn("node", node)
-    nodes = materialise(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("segments").alias("segments"), F.min("doc_id").alias("first")))
-    groups = components(links(nodes, distance, radii, width))
+    nodes = materialise(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("segments").alias("segments"), F.min("doc_id").alias("first"), F.min("key").alias("key")))
+    verifier = (lambda some: _similar(docs, nodes.join(some, "node").select("node", "key"), shingle, similarity)) if similarity else None
+    groups = components(links(nodes, distance, radii, width, verifier=verifier))
     rooted = nodes.select("node", "first").join(groups, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(rooted.join(named, "root").select("node", "component_id", "root"), "node").select(
@@ -200,23 +189,62 @@ def near_groups(
     )
 
 
-def deduplicate(
-    docs: DataFrame, shingle: int = 5, bits: int = 512, width: int = 24, similarity: float = 0.8, radius: int = 1
-) -> DataFrame:
+def _similar(docs: DataFrame, some: DataFrame, shingle: int, similarity: float) -> Callable[[DataFrame], DataFrame]:
+    """A test of pairs (a, b) of the nodes of ``some`` (node, key): whether their shingle sets are so similar.
+
+    Shingles are taken once, of the documents of ``some`` alone, told apart by 64-bit hashes.
+    """
+    some = materialise(some)
+    bits = bloom_bits(some.select("key"))
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom_filter(some.select("key"), bits))
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[bloom_holds(wanted.value, pdf["key"].to_numpy(np.int64), bits)]
+            yield pd.DataFrame({"key": pdf["key"], "grams": [np.unique(shingle_hashes(t, shingle)).tobytes() for t in pdf["text"]]})
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            good = []
+            for p, q in zip(pdf["p"], pdf["q"], strict=True):
+                x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pdf.loc[np.array(good, bool), ["a", "b"]]
+
+    taken = docs.select(row_key().alias("key"), F.col("text").cast("string").alias("text")).mapInPandas(take, "key long, grams binary")
+    sets = materialise(taken.join(some, "key").dropDuplicates(["node"]).select("node", "grams"))
+
+    def keep(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("p")), "a")
+        both = both.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("q")), "b")
+        return both.select("a", "b", "p", "q").mapInPandas(compare, "a long, b long")
+
+    return keep
+
+
+def near_bound(bits: int, similarity: float) -> int:
+    """Bits that fingerprints of sets of Jaccard ``similarity`` differ by: the mean and two standard deviations."""
+    p = float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+    return round(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, bits: int = 512, width: int = 20, similarity: float = 0.8, balls: int = 16) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: that of the smallest doc_id (nulls last, then by key).
 
-    Two documents link where their fingerprints differ in no more bits than two shingle sets of
-    Jaccard similarity ``similarity`` do on average. With 512 bits in 21 segments of 24 and balls
-    of radius 1, a pair at just 0.8 is a candidate with probability 0.90, at 0.9 with 0.999; the bound
-    drops about two of five at just 0.8, and no shingle similarity is computed. Rows that agree in
-    doc_id and text are one document, and one row of it stays. All columns are kept.
+    Two documents link where their sets of ``shingle``-word runs have at least that Jaccard similarity, computed from the whole
+    texts, and their fingerprints are near enough to be looked up: in ``bits`` bits they differ by no more than
+    two standard deviations over the mean at that similarity, and one of the segments of ``width`` bits is equal or, for
+    the first ``balls`` of these, one bit apart. For 0.8, 512 bits and 25 segments a pair at just 0.8 is found with
+    probability 0.92, at 0.85 with 0.99. Rows that agree in doc_id and text are one document, and one row of it stays. All
+    columns are kept, whatever their names.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    distance = round(bits * float(np.arccos(cosine)) / np.pi)
-    groups = materialise(near_groups(docs, shingle, bits, width, distance, [radius] * (bits // width)).select("key", "doc_id", "group_key"))
+    n = bits // width
+    groups = near_groups(docs, shingle, bits, width, near_bound(bits, similarity), [1] * min(balls, n) + [0] * max(0, n - balls), similarity)
+    groups = materialise(groups.select("key", "doc_id", "group_key"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     best = groups.groupBy("group_key").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1")
     losers = groups.join(best, "group_key").where(F.col("key") != F.col("best.key")).select("key").distinct()
-    keyed = docs.withColumn("_row_key", row_key())
-    kept = keyed.join(losers.withColumnRenamed("key", "_row_key"), "_row_key", "left_anti")
-    return kept.dropDuplicates(["_row_key"]).drop("_row_key")
+    key = free_name(docs, "near_key")
+    keyed = docs.withColumn(key, row_key())
+    return keyed.join(losers.withColumnRenamed("key", key), key, "left_anti").dropDuplicates([key]).drop(key)
