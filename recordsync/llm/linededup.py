@@ -160,8 +160,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, edit_words: int = 10) ->
     return places.select("key", "line_no", "h", order.alias("place")).join(keep, "h").where("only is null or place <> only").select("key", "line_no")
 
 
-def deduplicate(docs: DataFrame, min_words: int = 5, edit_words: int = 10) -> DataFrame:
-    """``docs`` with repeated lines taken out of text (see :func:`repeated_lines`), and n_lines and n_dropped.
+def deduplicate(docs: DataFrame, min_words: int = 5, edit_words: int = 10, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with repeated lines taken out of text (see :func:`repeated_lines`), and ``counts``: its lines, and those dropped.
 
     Other columns stay as they are (n_chars is not recounted here), but for clashes with those two, which are replaced. A null text stays null,
     with no lines. Texts that lose all their words become empty; no row goes.
@@ -172,8 +172,8 @@ def deduplicate(docs: DataFrame, min_words: int = 5, edit_words: int = 10) -> Da
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda _, i: ~F.array_contains(F.col(gone), i))
     return (
-        out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size(gone), F.lit(0)).cast("long"))
+        out.withColumn(counts[0], F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"))
+        .withColumn(counts[1], F.coalesce(F.size(gone), F.lit(0)).cast("long"))
         .withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
         .drop(gone, key)
     )

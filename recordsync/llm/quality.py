@@ -57,21 +57,23 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, max_pairs: int = 100_000, l2: float
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": [stats(t) for t in pdf["text"]]})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "h": pdf["h"], "y": pdf["y"], "x": [stats(t) for t in pdf["text"]]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = 20_000, max_pairs: int = 100_000) -> Ranking | None:
     """Fit on at most ``max_train`` rows of ``labels`` (doc_id and a 0/1 ``label``), those of the least hash of doc_id.
 
-    Null ids and labels are left out; of several labels for one id the greatest counts. None where no row is left.
+    Null ids and labels are left out; of several labels for one id the greatest counts, of several texts that of the least hash. None where no row is left.
     """
     chosen = (
         labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).where("_id is not null and y in (0, 1)")
         .groupBy("_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(max_train)
     )
     # At most max_train small rows: a bounded broadcast.
-    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text")
-    got = rows.mapInPandas(_features, "doc_id long, y int, x array<double>").dropDuplicates(["doc_id"]).toArrow().to_pandas()
+    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text", F.xxhash64("text").alias("h"))
+    each = rows.mapInPandas(_features, "doc_id long, h long, y int, x array<double>")
+    # Of several texts with one id, that of the least hash.
+    got = each.groupBy("doc_id").agg(F.min_by(F.struct("y", "x"), "h").alias("r")).select("doc_id", "r.*").toArrow().to_pandas()
     if got.empty:
         return None
     got = got.sort_values("doc_id")
@@ -81,7 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: i
 def rank(docs: DataFrame, ranking: Ranking | None) -> DataFrame:
     """``(doc_id, score, predicted)`` for each row of ``docs``; 0.5 and 1 without a ranking.
 
-    Only the whole text counts; a null one is empty. Repeated rows are scored alike.
+    Only the whole text counts, however long; a null one is empty. Repeated rows are scored alike; other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranking)  # a few hundred numbers
 

@@ -35,7 +35,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probabilities of every document from the chain fitted on its labelled ones."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     scored = toxicity.toxic_scores(docs.select("doc_id", "text"), docs, labels).drop("text")
-    return scored.withColumn("toxic", F.col("p_toxic") >= 0.5)
+    return scored.withColumn("toxic", F.coalesce(F.col("p_toxic") >= 0.5, F.lit(False)))
 
 
 @_query
@@ -92,12 +92,14 @@ def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op5_chat_perspectives"] = r"""
 with t as (
-    select conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations where conv_id is not null
+    select conv_id, turn, replace(replace(role, '<|', '<\|'), '|>', '|\>') as role, replace(replace(coalesce(text, ''), '<|', '<\|'), '|>', '|\>') as text
+    from conversations where conv_id is not null
 ), numbered as (
-    select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as no from t
+    select *, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text) as no from t
 ), seen as (
-    select p.speaker, n.conv_id, n.no, n.text, n.role = p.speaker as own,
-        case when n.role = p.speaker then '<|assistant|>' || chr(10) else '<|user name=' || n.role || '|>' || chr(10) end as head
+    select p.speaker, n.conv_id, n.no, n.text, n.role is not distinct from p.speaker as own,
+        case when n.role is not distinct from p.speaker then '<|assistant|>' || chr(10)
+            when n.role is null then '<|user|>' || chr(10) else '<|user name=' || n.role || '|>' || chr(10) end as head
     from numbered n join (select distinct conv_id, role as speaker from t) p using (conv_id)
 ), placed as (
     select *, length(head) + coalesce(sum(length(head) + length(text) + 8) over (

@@ -124,7 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], max
     """Fit a chain on at most ``max_train`` labelled documents, those of the least hash of doc_id.
 
     categories: name to boolean column over ``labels``, in the order of the chain. Rows of ``labels`` with a
-    null id or category are left out, and of rows with one id the greatest counts. None where no row is left.
+    null id or category are left out, and of rows with one id the greatest counts; of several texts with one id, that of
+    the least hash. Whole texts count: the driver gets four numbers for each different word of each. None where no row is left.
     """
     chosen = (
         labels.select(F.col("doc_id").alias("_id"), F.array(*(c.cast("int") for c in categories.values())).alias("y"))
@@ -136,13 +137,15 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], max
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "y": pdf["y"], "dense": [stats(t) for t in pdf["text"]],
+                "doc_id": pdf["doc_id"], "h": pdf["h"], "y": pdf["y"], "dense": [stats(t) for t in pdf["text"]],
                 "slots": [_slots_of(t).tobytes() for t in pdf["text"]],
             })
 
     # At most max_train small rows: a bounded broadcast.
-    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text")
-    got = rows.mapInPandas(features, "doc_id long, y array<int>, dense array<double>, slots binary").dropDuplicates(["doc_id"]).toArrow().to_pandas()
+    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text", F.xxhash64("text").alias("h"))
+    each = rows.mapInPandas(features, "doc_id long, h long, y array<int>, dense array<double>, slots binary")
+    # Of several texts with one id, that of the least hash.
+    got = each.groupBy("doc_id").agg(F.min_by(F.struct("y", "dense", "slots"), "h").alias("r")).select("doc_id", "r.*").toArrow().to_pandas()
     if got.empty:
         return None
     got = got.sort_values("doc_id")
@@ -150,15 +153,15 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], max
     return fit_rows(list(categories), np.array(got["y"].tolist()), np.array(got["dense"].tolist()).reshape(-1, N_STATS), slots, folds)
 
 
-def score(docs: DataFrame, chain: Chain | None, prefix: str = "p_") -> DataFrame:
+def score(docs: DataFrame, chain: Chain | None, prefix: str = "p_", names: list[str] | None = None) -> DataFrame:
     """``docs`` and a probability column for each category of ``chain``.
 
-    Whole texts count; a null text is scored as an empty one. Without a chain no column is added. Rows
+    Whole texts count; a null text is scored as an empty one. Without a chain the probabilities of ``names`` are null. Rows
     are scored on their own, so repeated rows and null ids change nothing; columns of ``docs`` that have
     the name of a probability are replaced.
     """
     if chain is None:
-        return docs
+        return docs.withColumns({f"{prefix}{n}": F.lit(None).cast("double") for n in names or []})
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # a fixed number of slots
     added = [f"{prefix}{n}" for n in chain.names]
     kept = [f for f in docs.schema.fields if f.name not in added]
@@ -193,7 +196,7 @@ def score(docs: DataFrame, chain: Chain | None, prefix: str = "p_") -> DataFrame
     return docs.mapInPandas(run, schema)
 
 
-def toxic_scores(docs: DataFrame, documents: DataFrame, labels: DataFrame, max_train: int = 12_000) -> DataFrame:
-    """``docs`` with p_low_quality and p_toxic, from a chain fitted on the labelled rows of ``documents``."""
+def toxic_scores(docs: DataFrame, documents: DataFrame, labels: DataFrame, max_train: int = 12_000, prefix: str = "p_") -> DataFrame:
+    """``docs`` with p_low_quality and p_toxic, from a chain fitted on the labelled rows of ``documents``; null where none is labelled."""
     categories = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
-    return score(docs, fit(documents, labels, categories, max_train))
+    return score(docs, fit(documents, labels, categories, max_train), prefix, list(categories))

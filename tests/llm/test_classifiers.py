@@ -51,7 +51,8 @@ def test_no_labels_and_empty_tables(spark):
     docs, labels = corpus(20)
     d, none = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([], SCHEMA)
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    assert toxicity.toxic_scores(d, d, lab.where("false")).count() == 20
+    unknown = toxicity.toxic_scores(d, d, lab.where("false")).collect()
+    assert len(unknown) == 20 and {r.p_toxic for r in unknown} == {None}
     assert toxicity.toxic_scores(none, d, lab).count() == 0
     one = toxicity.toxic_scores(d, d, lab.withColumn("toxic", F.lit(0))).collect()
     assert all(r.p_toxic < 0.5 for r in one)
@@ -76,3 +77,52 @@ def test_ranking_of_real_documents(spark):
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     out = quality.rank(docs, quality.fit(docs, labels.where(~held))).join(labels.where(held), "doc_id").collect()
     assert np.mean([r.predicted == r.quality for r in out]) > 0.97
+
+
+def plain_logistic(x, y, l2, steps=4000, rate=0.5):
+    """Weights of a penalised logistic regression by plain gradient steps."""
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        w += rate * (x.T @ (y - 1 / (1 + np.exp(-x @ w))) - l2 * w) / len(x)
+    return w
+
+
+def test_ranking_against_plain_gradient_steps():
+    """Weights from pairs equal those that plain steps find on the same pairs."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (60, 4))
+    y = (x @ [1, -2, 0.5, 0] + rng.normal(0, 1, 60) > 0).astype(int)
+    got = quality.fit_pairs(x, y, max_pairs=2000, l2=1.0, seed=5)
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6)
+    draw = np.random.default_rng(5)
+    d = z[draw.choice(np.flatnonzero(y == 1), 2000)] - z[draw.choice(np.flatnonzero(y == 0), 2000)]
+    assert np.allclose(got.weights, plain_logistic(d, np.ones(2000), 1.0), atol=1e-3)
+    s = z @ got.weights
+    right = lambda t: np.mean((s >= t) == (y == 1))
+    assert right(got.threshold) >= max(right(t) for t in np.quantile(s, np.linspace(0.005, 0.995, 199))) - 1e-9
+
+
+def test_chain_against_its_parts():
+    """The second link sees the first one's probabilities, each from a model that has not seen the row."""
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, (120, 2))
+    dense = np.column_stack([y[:, 0] + rng.normal(0, 0.5, 120), y[:, 1] + rng.normal(0, 0.5, 120)])
+    chain = toxicity.fit_rows(["a", "b"], y, dense, [np.empty((0, 4), np.int32)] * 120, folds=4, seed=3)
+    fold = np.random.default_rng(3).permutation(120) % 4
+    x = np.hstack([dense, np.zeros((120, 8))])
+    earlier = np.zeros(120)
+    for f in range(4):
+        earlier[fold == f] = toxicity._probability(toxicity._logistic(x[fold != f], y[fold != f, 0]), x[fold == f])
+    mean, scale, w = toxicity._logistic(np.column_stack([x, earlier]), y[:, 1])
+    assert np.allclose(chain.models[1][2], w) and np.allclose(chain.models[1][0], mean)
+    z = np.column_stack([np.clip((np.column_stack([x, earlier]) - mean) / scale, -3, 3), np.ones(120)])
+    p = 1 / (1 + np.exp(-z @ w))
+    assert np.abs(z.T @ (y[:, 1] - p) - np.append(w[:-1], 1e-6 * w[-1])).max() < 1e-3  # where the loss is least
+
+
+def test_fits_do_not_depend_on_partitions(spark):
+    docs, labels = corpus(120)
+    d = spark.createDataFrame(docs + [(i, t + " more words", None, None, None) for i, t, *_ in docs[:40]], SCHEMA)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    fits = [quality.fit(d.repartition(n), lab) for n in (1, 7)]
+    assert np.array_equal(fits[0].weights, fits[1].weights)

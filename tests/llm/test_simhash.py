@@ -113,3 +113,38 @@ def test_deduplicate(spark, heavy, monkeypatch):
     assert kept.columns == ["doc_id", "text", "fp", "node"]
     assert sorted(r.doc_id for r in kept.collect()) == [*range(101), 132]
     assert simhash.deduplicate(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def pairs_of_similarity(similarity, n, words, seed):
+    """Texts whose sets of word 5-grams have about that Jaccard similarity: an end of each second text is new."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        a = [f"w{x}" for x in rng.integers(0, 10**6, words)]
+        shingles = words - 4
+        new = int(shingles * (1 - similarity) / (1 + similarity))
+        out += [" ".join(a), " ".join([*a[: words - new], *(f"n{x}" for x in rng.integers(0, 10**6, new))])]
+    return out
+
+
+def jaccard(a, b, k=5):
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize(("similarity", "least"), [(0.8, 0.9), (0.85, 0.97), (0.9, 0.99), (0.77, 0.0)])
+def test_recall_of_near_copies(spark, similarity, least):
+    texts = pairs_of_similarity(similarity, 200, 60, 1) + pairs_of_similarity(similarity, 200, 300, 2)
+    near = [jaccard(texts[i], texts[i + 1]) >= 0.8 for i in range(0, len(texts), 2)]
+    assert np.mean(near) == (similarity >= 0.8)
+    rows = [(i, t, "f", "n") for i, t in enumerate(texts)]
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(i in kept for i in range(0, len(texts), 2))
+    gone = np.mean([i not in kept for i in range(1, len(texts), 2)])
+    assert gone >= least if similarity >= 0.8 else gone == 0
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, 6), (2, "a b c d e f", 5, 6)], "doc_id long, text string, near_key int, _row_key int")
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c d e f", 5, 6)]
