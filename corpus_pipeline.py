@@ -10,22 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordsync.llm import decontam, linededup, packing, simhash, toxicity
-from recordsync.llm._common import materialise, tokenizer_path
+from recordsync.llm._common import free_name, materialise, tokenizer_path
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a probability of toxicity under one half."""
+    """Documents with a probability of toxicity under one half; all where none is labelled."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.toxic_scores(docs, docs, labels)
-    return (scored.where("p_toxic < 0.5") if "p_toxic" in scored.columns else scored).select(docs.columns)
+    prefix = "p_"
+    while {f"{prefix}toxic", f"{prefix}low_quality"} & set(docs.columns):
+        prefix += "_"
+    scored = toxicity.toxic_scores(docs, docs, labels, prefix=prefix)
+    return scored.where(F.coalesce(F.col(f"{prefix}toxic") < 0.5, F.lit(True))).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat earlier ones; one whose words all go, goes."""
-    out = linededup.deduplicate(docs)
-    out = out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
+    lines, dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
+    out = linededup.deduplicate(docs, counts=(lines, dropped))
+    out = out.where((F.col(dropped) == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
 
 
@@ -52,7 +56,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Fitted models, alignment and tokenizers have no SQL; tests/llm hold the stages against brute force.
+#: Fitted models, alignment and tokenizers have no SQL; tests/llm hold the operators and the stages against brute force.
 ORACLE_SQL = None
 
 
