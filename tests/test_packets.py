@@ -145,6 +145,28 @@ def test_spool(spark, tmp_path):
     st.ingest_spool(spark, str(spool), *where, outbox=str(tmp_path / "outbox"))
     assert spark.read.parquet(where[0] + "/batch=*").count() == 2
     assert spark.read.parquet(str(tmp_path / "outbox/batch=*")).count() == 1
+    # A record of a known identity with another user id and signature is merged with what is stored.
+    more = old(6, KEY + bytes([1])) + old(13, b"bb") + old(2, signature(0x10)) + old(13, b"b") + old(2, signature())
+    (spool / "7.ready").write_text(text.armor(spark.createDataFrame([(bytearray(more),)], "content binary")).first().armored)
+    st.ingest_spool(spark, str(spool), *where)
+    now = st.stored_records(spark, where[0])
+    assert sorted(r.letters for r in now.collect()) == ["PUS", "PUSUS"]
+
+
+def test_repeated_batch_loses_nothing(spark, tmp_path):
+    """A batch whose end was not noted, as after a crash, is taken in again and gives the same."""
+    spool = tmp_path / "spool"
+    spool.mkdir()
+    where = [str(tmp_path / x) for x in ("table", "rejects", "checkpoint")]
+    for i, name in enumerate("ab"):
+        data = old(6, KEY + bytes([i])) + old(13, name.encode()) + old(2, signature())
+        (spool / f"{i}.ready").write_text(text.armor(spark.createDataFrame([(bytearray(data),)], "content binary")).first().armored)
+        st.ingest_spool(spark, str(spool), *where)
+    assert st.stored_records(spark, where[0]).count() == 2
+    for f in (tmp_path / "checkpoint" / "commits").glob("*1*"):
+        f.unlink()
+    st.ingest_spool(spark, str(spool), *where)
+    assert st.stored_records(spark, where[0]).count() == 2 and spark.read.parquet(where[0] + "/batch=*").count() == 2
 
 
 def test_log_file(spark, tmp_path):

@@ -36,6 +36,8 @@ def test_windows(spark, sf, files):
     got = st.last_values(st.collected(st.window_counts(stream(spark, files), "day", "40 days"), "update"), "start").where("num_adds + num_dels > 0")
     want = cl.histogram(log(spark, sf), "day").where("num_adds + num_dels > 0").select(F.col("lower").alias("start"), "num_adds", "num_dels")
     assert plain(got) == plain(want)
+    gaps = st.filled(got.where("day(start) % 3 <> 0"), "day")
+    assert gaps.where("num_adds + num_dels = 0").count() > 3 and gaps.where("num_adds > 0").count() == got.where("day(start) % 3 <> 0").count()
 
 
 def test_closed_windows_in_append_mode(spark, sf, files):
@@ -63,6 +65,34 @@ def test_summary_follows_the_log(spark, sf, files):
     assert plain(got) == plain(bk.digests(left).select("depth", "prefix", "n", "check"))
 
 
+def test_summary_goes_on_where_it_stopped(spark, sf, files, tmp_path):
+    """Some files, then the others in a second call, then a batch again as after a crash: the same as all at once."""
+    present = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(content_element(F.col("c_custkey").cast("string")).alias("hash"))
+    import glob
+    import shutil
+
+    (tmp_path / "log").mkdir()
+    parts = sorted(glob.glob(f"{files[0]}/part-*"))
+    where = {"folder": str(tmp_path / "state"), "checkpoint": str(tmp_path / "checkpoint")}
+
+    def follow():
+        events = st.follow(spark, str(tmp_path / "log"), files[1], files=1).withColumn("hash", content_element(F.col("hash").cast("string")))
+        return plain(st.tail_summary(events, bk.digests(present), present, **where))
+
+    for some in (parts[:2], parts[2:]):
+        for p in some:
+            shutil.copy(p, tmp_path / "log")
+        got = follow()
+    events = stream(spark, files).withColumn("hash", content_element(F.col("hash").cast("string")))
+    assert got == follow()
+    last = max(int(f.name) for f in (tmp_path / "checkpoint" / "commits").glob("[0-9]*"))
+    for f in (tmp_path / "checkpoint" / "commits").glob(f"*{last}*"):
+        f.unlink()
+    assert got == follow()
+    by_time = cl.last_events(spark.read.parquet(files[0]).withColumn("hash", content_element(F.col("hash").cast("string"))))
+    assert {r.depth for r in st.tail_summary(events, bk.digests(present), present).collect()} == {g[0] for g in got} and by_time.count() > 0
+
+
 def test_outbox_is_sent_once(spark, tmp_path):
     box, sent = str(tmp_path / "box"), []
     put = lambda rows: spark.createDataFrame(rows, "ts long, hash string").write.mode("append").parquet(box)
