@@ -44,6 +44,14 @@ def digests(rows: DataFrame, digest: str = "hash", depths: int = 4, width: int =
     return level.groupBy("depth", F.expr(f"substring(_bits, 1, depth * {width})").alias("prefix")).agg(F.sum("n").alias("n"), F.bit_xor("check").alias("check"))
 
 
+def depth_for(rows: DataFrame, per_bucket: int = 1000, width: int = 2, most: int = 60) -> int:
+    """The least depth at which a bucket holds about ``per_bucket`` rows or fewer, for digests that spread evenly; 1 at least."""
+    n, depth = rows.count(), 1
+    while n > per_bucket << depth * width and (depth + 1) * width <= most:
+        depth += 1
+    return depth
+
+
 def leaves(bucket_counts: DataFrame, threshold: int = 50, width: int = 2) -> DataFrame:
     """``(depth, prefix, n, is_leaf)``: the buckets of the adaptive tree.
 
@@ -83,9 +91,15 @@ def fold(tree: DataFrame, leaf: Column, combine: Column, width: int = 2) -> Data
 
 
 def set_digest(rows: DataFrame, group: str, item: Column) -> DataFrame:
-    """``(group, digest)``: MD5 of the sorted distinct items, each with its length before it."""
-    framed = F.transform(F.array_sort(F.collect_set(item)), lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x))
-    return rows.groupBy(group).agg(F.upper(F.md5(F.array_join(framed, ""))).alias("digest"))
+    """``(group, digest)`` of each group's distinct items.
+
+    Items are dealt to 4,096 parts by the first three hex digits of their MD5. A part's digest is the MD5 of its sorted items, each with
+    its length before it; the group's is the MD5 of its parts' digests in order. No task holds a whole group.
+    """
+    each = rows.select(group, item.alias("_item"), F.left(F.md5(item), F.lit(3)).alias("_part")).distinct()
+    framed = F.transform(F.array_sort(F.collect_list("_item")), lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x))
+    parts = each.groupBy(group, "_part").agg(F.md5(F.array_join(framed, "")).alias("_d"))
+    return parts.groupBy(group).agg(F.upper(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_part", "_d"))), lambda p: p["_d"]), ""))).alias("digest"))
 
 
 def inconsistent(bucket_counts: DataFrame, width: int = 2) -> DataFrame:

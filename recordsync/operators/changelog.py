@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordsync.functions.times import UNITS, next_boundary, second_text
-from recordsync.operators.order import numbered, running_max
+from recordsync.operators.order import spread
 
 
 def after(log: DataFrame, ts: Column, n: int = 5000) -> DataFrame:
@@ -39,13 +39,36 @@ def survivors(log: DataFrame, records: DataFrame) -> DataFrame:
 
 def incremental_dump(log: DataFrame, records: DataFrame, ts: Column, cap: int = 250_000) -> DataFrame:
     """The records added by the newest ``cap`` events at or after ``ts`` and still there at their end."""
-    return survivors(log.where(F.col("ts") >= ts).orderBy(F.desc("ts"), F.desc("seq")).limit(cap), records)
+    return survivors(newest(log.where(F.col("ts") >= ts), cap), records)
+
+
+def newest(log: DataFrame, n: int) -> DataFrame:
+    """The newest ``n`` events by ts, then seq.
+
+    Events are counted by hour first; only those of the hour that holds the last one to be kept are ranked.
+    """
+    binned = log.withColumn("_bin", F.date_trunc("hour", "ts"))
+    counts = binned.groupBy("_bin").agg(F.count("*").alias("_n"))  # a row for each hour
+    counts = counts.withColumn("_newer", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    kept = counts.where(F.col("_newer") < n).select("_bin", "_newer", (F.col("_newer") + F.col("_n") > n).alias("_cut"))
+    rows = binned.join(F.broadcast(kept), "_bin")
+    rank = F.row_number().over(Window.partitionBy("_bin").orderBy(F.desc("ts"), F.desc("seq")))
+    edge = rows.where("_cut").withColumn("_rank", rank).where(F.col("_rank") <= n - F.col("_newer"))
+    return rows.where("not _cut").select(log.columns).unionByName(edge.select(log.columns))
 
 
 def cancel_opposites(log: DataFrame) -> DataFrame:
-    """``(hash, op, n)``: what is left of each hash's updates after Adds and Deletes have cancelled in pairs."""
-    surplus = log.groupBy("hash").agg(F.sum(F.when(F.col("op") == "Add", 1).otherwise(-1)).alias("s")).where("s <> 0")
-    return surplus.select("hash", F.when(F.col("s") > 0, "Add").otherwise("Delete").alias("op"), F.abs("s").alias("n"))
+    """The events of ``log`` that are left when neighbours of one hash with opposite ops have cancelled in pairs, from the first on.
+
+    Of a run in which each op is the opposite of the one before, pairs go from its start: the last event stays where
+    the run is of odd length. Equal ops in a row never cancel.
+    """
+    along = Window.partitionBy("hash").orderBy("ts", "seq")
+    begins = F.coalesce(F.col("op") == F.lag("op").over(along), F.lit(True)).cast("int")
+    rows = log.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(along))
+    ends = Window.partitionBy("hash", "_run").orderBy("ts", "seq")
+    rows = rows.withColumn("_no", F.row_number().over(ends)).withColumn("_next", F.lead("op").over(ends))
+    return rows.where("_next is null and _no % 2 = 1").select(log.columns)
 
 
 def histogram(log: DataFrame, unit: str) -> DataFrame:
@@ -73,7 +96,7 @@ def recent(log: DataFrame, days: int = 31, cap: int = 90_000) -> DataFrame:
     """The newest ``cap`` events of the ``days`` before the midnight after the last event."""
     end = log.agg(next_boundary(F.max("ts"), "day").alias("_end"))
     inside = log.join(F.broadcast(end)).where(F.unix_micros("ts") > F.unix_micros("_end") - days * UNITS["day"] * 1_000_000)
-    return inside.drop("_end").orderBy(F.desc("ts"), F.desc("seq")).limit(cap)
+    return newest(inside.drop("_end"), cap)
 
 
 def statistics(log: DataFrame, records: DataFrame, days: int = 31, cap: int = 90_000) -> DataFrame:
@@ -85,11 +108,10 @@ def statistics(log: DataFrame, records: DataFrame, days: int = 31, cap: int = 90
     return rows[0].unionByName(rows[1]).unionByName(total)
 
 
-def unique_times(log: DataFrame, shares: int = 64) -> DataFrame:
+def unique_times(log: DataFrame) -> DataFrame:
     """``log`` with ts made strictly increasing by (ts, seq): each at least a microsecond after the one before."""
-    rows = numbered(log.withColumn("_us", F.unix_micros("ts")), "_us", "seq", name="_no", shares=shares)
-    rows = running_max(rows, F.col("_us") - F.col("_no"), "_us", "seq", name="_lead", shares=shares)
-    return rows.withColumn("ts", F.timestamp_micros(F.col("_lead") + F.col("_no"))).drop("_us", "_no", "_lead")
+    rows = spread(log.withColumn("_us", F.unix_micros("ts")), "_us", "seq", name="_ts")
+    return rows.withColumn("ts", F.timestamp_micros("_ts")).drop("_us", "_ts")
 
 
 def by_hash(log: DataFrame) -> DataFrame:

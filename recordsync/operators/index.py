@@ -71,9 +71,10 @@ def search_status(words: DataFrame, wanted: Sequence[str], rare_cap: int = 20_00
 
 
 def guarded_search(words: DataFrame, records: DataFrame, wanted: Sequence[str], rare_cap: int = 20_000, cap: int = 500, key: str = "hash") -> DataFrame:
-    """The matching records where :func:`search_status` is ok, else none."""
-    status = search_status(words, wanted, rare_cap, cap, key).where("status = 'ok'").select(F.lit(1).alias("_ok"))
-    return search(words, records, wanted, key).withColumn("_ok", F.lit(1)).join(F.broadcast(status), "_ok", "left_semi").drop("_ok")
+    """The matching records, each with ``status`` ok; where :func:`search_status` says otherwise, or nothing matches, one row of nulls with the status."""
+    status = search_status(words, wanted, rare_cap, cap, key).select("status")
+    rows = search(words, records, wanted, key).withColumn("_status", F.lit("ok"))
+    return status.join(rows, F.col("status") == F.col("_status"), "left").drop("_status")
 
 
 def multi_get(records: DataFrame, request: DataFrame, key: str = "hash") -> DataFrame:
@@ -120,9 +121,9 @@ def enrich(rows: DataFrame, issuer: str, records: DataFrame, id_col: str, name:
 
 def audit_postings(words: DataFrame, records: DataFrame, items: str = "words", key: str = "hash") -> DataFrame:
     """``(word, key, problem)``: pairs that should be there but are ``missing``, and ``dangling`` ones that should not."""
-    right = postings(records, F.col(items), "word", key)
-    missing = right.join(words, ["word", key], "left_anti").withColumn("problem", F.lit("missing"))
-    return missing.unionByName(words.select("word", key).join(right, ["word", key], "left_anti").withColumn("problem", F.lit("dangling")))
+    right = records.select(F.explode(items).alias("word"), key, F.lit(1).alias("_side"))
+    both = right.unionByName(words.select("word", key, F.lit(2).alias("_side"))).groupBy("word", key).agg(F.min("_side").alias("_a"), F.max("_side").alias("_b"))
+    return both.where("_a = _b").select("word", key, F.when(F.col("_a") == 1, "missing").otherwise("dangling").alias("problem"))
 
 
 def back_fill(records: DataFrame, existing: DataFrame, items: Column, name: str, key: str = "hash") -> DataFrame:
@@ -142,9 +143,18 @@ def limited(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     return (ordered if n < 0 else ordered.limit(n)).join(F.broadcast(total))
 
 
+def _drawn(rows: DataFrame, seed: int) -> list[Column]:
+    return [F.xxhash64(F.lit(seed), *rows.columns), *map(F.col, rows.columns)]
+
+
 def random_rows(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` rows drawn uniformly without repeats."""
-    return rows.orderBy(F.rand(seed)).limit(n)
+    """``n`` rows drawn uniformly without repeats: those of the least hash with ``seed``, however the rows are dealt."""
+    return rows.orderBy(*_drawn(rows, seed)).limit(n)
+
+
+def random_drop(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """``rows``, which are distinct, without ``n`` drawn at random."""
+    return rows.join(random_rows(rows, n, seed), rows.columns, "left_anti")
 
 
 def first_wins(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

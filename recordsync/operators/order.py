@@ -5,36 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordsync.sources.shared import stored
 
-def share_of(rows: DataFrame, by: str, shares: int = 64) -> Column:
-    """The number of the range that each value of the numeric column ``by`` falls in; ranges hold about as many rows.
 
-    Bounds are quantiles found beforehand, so the ranges stay the same however often they are computed.
-    Nulls are in range -1, before all others.
+def ranged(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``_share``: the number of the range of ``order`` (nulls first) that each falls in.
+
+    There are as many ranges as shuffles have partitions; all columns of the order draw their bounds, so equal leading
+    values do not meet in one task. The table is stored, so that ranges stay the same however often they are read.
     """
-    bounds = sorted({float(b) for b in rows.approxQuantile(by, [i / shares for i in range(1, shares)], 0.002)}) if shares > 1 else []
-    number = sum(((F.col(by) > F.lit(b)).cast("int") for b in bounds), F.lit(0))
-    return F.coalesce(number, F.lit(-1))
+    return stored(rows.repartitionByRange(*order).withColumn("_share", F.spark_partition_id()), "ranges")
+
+
+def _ahead(parts: DataFrame, value: Column, default: Column) -> DataFrame:
+    """``parts``, a row for each range, with ``_before``: the aggregate ``value`` over the ranges before it."""
+    before = value.over(Window.orderBy("_share").rowsBetween(Window.unboundedPreceding, -1))
+    return parts.withColumn("_before", F.coalesce(before, default))
 
 
-def numbered(rows: DataFrame, by: str, *ties: str, name: str = "no", shares: int = 64) -> DataFrame:
-    """``rows`` with their number from 1 in ascending order of the numeric column ``by``, then ``ties``.
+def numbered(rows: DataFrame, by: str, *ties: str, name: str = "no") -> DataFrame:
+    """``rows`` with their number from 1 in ascending order of ``by`` (nulls first), then ``ties``.
 
-    Rows are numbered within ranges of ``by``, in parallel; only the ranges' counts meet in one place.
+    Rows are numbered within ranges, in parallel; only the ranges' counts meet in one place.
     """
-    dealt = rows.withColumn("_share", share_of(rows, by, shares))
+    dealt = ranged(rows, by, *ties)
     inside = dealt.withColumn("_in", F.row_number().over(Window.partitionBy("_share").orderBy(by, *ties)))
     counts = dealt.groupBy("_share").agg(F.count("*").alias("_n"))
-    ahead = F.sum("_n").over(Window.orderBy("_share").rowsBetween(Window.unboundedPreceding, -1))
-    before = counts.select("_share", F.coalesce(ahead, F.lit(0)).alias("_before"))
+    before = _ahead(counts, F.sum("_n"), F.lit(0)).drop("_n")  # a row for each range
     return inside.join(F.broadcast(before), "_share").withColumn(name, F.col("_before") + F.col("_in")).drop("_share", "_in", "_before")
 
 
-def running_max(rows: DataFrame, value: Column, by: str, *ties: str, name: str, shares: int = 64) -> DataFrame:
-    """``rows`` with the greatest ``value`` up to each row in ascending order of ``by``, then ``ties``."""
-    dealt = rows.withColumn("_share", share_of(rows, by, shares)).withColumn("_v", value)
-    inside = dealt.withColumn("_in", F.max("_v").over(Window.partitionBy("_share").orderBy(by, *ties).rowsBetween(Window.unboundedPreceding, 0)))
-    tops = dealt.groupBy("_share").agg(F.max("_v").alias("_top"))
-    ahead = F.max("_top").over(Window.orderBy("_share").rowsBetween(Window.unboundedPreceding, -1))
-    before = tops.select("_share", ahead.alias("_before"))
-    return inside.join(F.broadcast(before), "_share").withColumn(name, F.greatest("_before", "_in")).drop("_share", "_v", "_in", "_before")
+def spread(rows: DataFrame, value: str, *ties: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the long ``value`` made strictly increasing in its order, then ``ties``: at least one more than the one before.
+
+    That is the greatest of value less number so far, plus the number. Numbers and greatest values run within ranges, in
+    parallel; what the ranges before add up to is one row for each.
+    """
+    dealt = ranged(rows, value, *ties)
+    along = Window.partitionBy("_share").orderBy(value, *ties)
+    inside = dealt.withColumn("_in", F.row_number().over(along)).withColumn("_lead", F.col(value) - F.col("_in"))
+    inside = inside.withColumn("_lead", F.max("_lead").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = inside.groupBy("_share").agg(F.count("*").alias("_n"), F.max("_lead").alias("_top"))
+    parts = _ahead(parts, F.sum("_n"), F.lit(0)).withColumn("_top", F.col("_top") - F.col("_before"))
+    top = F.max("_top").over(Window.orderBy("_share").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("_share", "_before", top.alias("_top"))
+    joined = inside.join(F.broadcast(parts), "_share")
+    return joined.withColumn(name, F.greatest(F.col("_lead") - F.col("_before"), F.col("_top")) + F.col("_before") + F.col("_in")).drop("_share", "_in", "_lead", "_before", "_top")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from recordsync.functions.ids import bit_prefix
 from recordsync.operators import buckets
 from recordsync.operators.buckets import PRIME
+from recordsync.sources.shared import stored
 
 
 def difference(here: DataFrame, there: DataFrame, digest: str = "hash") -> DataFrame:
@@ -61,8 +62,9 @@ def pruned_difference(here: DataFrame, there: DataFrame, here_summary: DataFrame
     return difference(a, b, digest)
 
 
-def actions(here: DataFrame, there: DataFrame, mbar: int = 5, full_factor: int = 30) -> DataFrame:
-    """``(depth, prefix, action)`` for each bucket that differs: send its elements (``full``) where it is small on either side, else a ``sketch``.
+def actions(here: DataFrame, there: DataFrame, mbar: int = 5, full_factor: int = 30, failed: DataFrame | None = None) -> DataFrame:
+    """``(depth, prefix, action)`` for each bucket that differs: send its elements (``full``) where it is small on either side or
+    at the last depth, else a ``sketch``; where that has ``failed`` (depth, prefix), ``descend`` into the buckets below.
 
     Small is under ``full_factor`` times ``mbar`` elements; a bucket that one side lacks counts as 0 there.
     """
@@ -70,7 +72,13 @@ def actions(here: DataFrame, there: DataFrame, mbar: int = 5, full_factor: int =
     b = there.select("depth", "prefix", F.col("n").alias("nb"), F.col("check").alias("cb"))
     both = a.join(b, ["depth", "prefix"], "full_outer").where("not (na <=> nb and ca <=> cb)")
     small = F.least(F.coalesce("na", F.lit(0)), F.coalesce("nb", F.lit(0))) < full_factor * mbar
-    return both.select("depth", "prefix", F.when(small, "full").otherwise("sketch").alias("action"))
+    if failed is None:
+        return both.select("depth", "prefix", F.when(small, "full").otherwise("sketch").alias("action"))
+    # A row: the last depth there is.
+    last = here.select("depth").unionByName(there.select("depth")).agg(F.max("depth").alias("_last"))
+    both = both.withColumn("_small", small).join(F.broadcast(last)).join(failed.select("depth", "prefix", F.lit(True).alias("_failed")), ["depth", "prefix"], "left")
+    action = F.when(F.col("_small") | (F.col("_failed") & (F.col("depth") == F.col("_last"))), "full").when(F.col("_failed"), "descend").otherwise("sketch")
+    return both.select("depth", "prefix", action.alias("action"))
 
 
 def fetch_plan(here: DataFrame, there: DataFrame, size: int = 100, digest: str = "hash") -> DataFrame:
@@ -83,9 +91,19 @@ def fetch_plan(here: DataFrame, there: DataFrame, size: int = 100, digest: str =
 
 
 def catch_up(summary: DataFrame, log: DataFrame, present: DataFrame, depths: int = 4, width: int = 2) -> DataFrame:
-    """``summary`` (depth, prefix, n, check) after the events of ``log``, given the elements ``present`` before them.
+    """``summary`` (depth, prefix, n, check) after the events of ``log``, given the elements ``present`` before them."""
+    return summed(summary.select("depth", "prefix", "n", "check").unionByName(changes(log, present, depths, width)))
 
-    Only what changes is added up: a hash that is added though present, or deleted though absent, changes nothing.
+
+def summed(parts: DataFrame) -> DataFrame:
+    """A summary from its parts: counts add up, checks are combined; empty buckets go."""
+    return parts.groupBy("depth", "prefix").agg(F.sum("n").alias("n"), F.bit_xor("check").alias("check")).where("n > 0")
+
+
+def changes(log: DataFrame, present: DataFrame, depths: int = 4, width: int = 2) -> DataFrame:
+    """``(depth, prefix, n, check)``: what the events of ``log`` add to a summary, n negative for what goes.
+
+    Only what changes is told: a hash that is added though present, or deleted though absent, changes nothing.
     """
     from recordsync.operators.changelog import last_events
 
@@ -94,7 +112,7 @@ def catch_up(summary: DataFrame, log: DataFrame, present: DataFrame, depths: int
     gone = last.where("op = 'Delete'").join(present.select("hash"), "hash", "left_semi").select("hash", F.lit(-1).alias("d"))
     level = added.unionByName(gone).select("d", F.xxhash64("hash").alias("x"), bit_prefix(F.col("hash"), max(1, depths * width)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(depths))).alias("depth"))
     delta = level.select("depth", F.expr(f"substring(b, 1, depth * {width})").alias("prefix"), F.col("d").cast("long").alias("n"), F.col("x").alias("check"))
-    return summary.select("depth", "prefix", "n", "check").unionByName(delta).groupBy("depth", "prefix").agg(F.sum("n").alias("n"), F.bit_xor("check").alias("check")).where("n > 0")
+    return delta.groupBy("depth", "prefix").agg(F.sum("n").alias("n"), F.bit_xor("check").alias("check"))
 
 
 def _interpolate(values: list[int], at: list[int], size: int) -> tuple[list[int], list[int]] | None:
@@ -260,21 +278,26 @@ def sketch_difference(here: DataFrame, there: DataFrame, m: int, size: int = 16)
 def reconcile(here: DataFrame, there: DataFrame, m: int = 5, depth: int = 3, digest: str = "hash", width: int = 2) -> DataFrame:
     """What :func:`difference` gives: by sketches where a bucket differs little, by its elements where it differs more."""
     found = sketch_difference(buckets.sketches(here, m, depth, digest, width), buckets.sketches(there, m, depth, digest, width), m)
-    found = found.persist()  # read twice; a lost part is computed again
+    found = stored(found, "sketches")
     rest = found.where("side = 'too many'").select("prefix")
     bits = bit_prefix(F.col(digest), depth * width) if depth else F.lit("")
     a, b = (x.withColumn("prefix", bits).join(rest, "prefix", "left_semi") for x in (here, there))
     return found.where("side <> 'too many'").select("hash", "side").unionByName(difference(a, b, digest))
 
 
-def reach(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """``(node, hop)``: the nodes that edges (src, dst) reach from ``start`` (node), with the fewest hops, at most ``hops``."""
-    seen = start.select("node", F.lit(0).alias("hop")).distinct()
-    front = seen
-    for hop in range(1, hops + 1):
+def reach(edges: DataFrame, start: DataFrame, hops: int | None = None) -> DataFrame:
+    """``(node, hop)``: the nodes that edges (src, dst) reach from ``start`` (node), with the fewest hops, at most ``hops`` if given.
+
+    Goes on until a step reaches nothing new. Each step's nodes are stored, which cuts the lineage.
+    """
+    edges = stored(edges.select("src", "dst").distinct(), "edges")
+    seen = front = stored(start.select("node", F.lit(0).alias("hop")).distinct(), "front")
+    hop = 0
+    while hops is None or hop < hops:
+        hop += 1
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        front = step.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop))
-        # Cuts the lineage where the cluster names a shared folder for it.
-        front = front.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else front
+        front = stored(step.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)), "front")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen

@@ -15,8 +15,9 @@ GRAMMAR_V3 = "^PS*([UA]S*)*$"
 
 
 def digest(children: DataFrame, record: str, item: Column) -> DataFrame:
-    """``(record, hash)``: MD5, in upper-case hex, of a record's items in sorted order, repeats kept."""
-    return children.groupBy(record).agg(F.upper(F.md5(F.array_join(F.array_sort(F.collect_list(item)), "\n"))).alias("hash"))
+    """``(record, hash)``: MD5, in upper-case hex, of a record's items in sorted order, repeats kept, each with its length before it."""
+    framed = F.transform(F.array_sort(F.collect_list(item)), lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x))
+    return children.groupBy(record).agg(F.upper(F.md5(F.array_join(framed, ""))).alias("hash"))
 
 
 def packet_digest(packets: Column) -> Column:
@@ -70,10 +71,14 @@ def only_new(records: DataFrame, base: DataFrame, key: str) -> DataFrame:
     return records.join(base, key, "left_anti")
 
 
-def duplicate_groups(rows: DataFrame, key: Column, value: str) -> DataFrame:
-    """``(key, n, members)`` of the keys that several rows have; members are distinct and sorted."""
-    out = rows.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(value)).alias("members"))
-    return out.where("n > 1")
+def duplicate_groups(rows: DataFrame, key: Column) -> DataFrame:
+    """``(key, n)`` of the keys that several rows have."""
+    return rows.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def duplicate_members(rows: DataFrame, key: Column, value: str) -> DataFrame:
+    """``(key, n, value)``: a row for each row of ``rows`` whose key several rows have."""
+    return rows.select(key.alias("key"), value).join(duplicate_groups(rows, key), "key").select("key", "n", value)
 
 
 def primary_first(rows: DataFrame, record: str, primary: Column, time: str, position: str) -> DataFrame:
@@ -93,6 +98,22 @@ def latest(rows: DataFrame, record: str, time: str, value: str, position: str) -
     return rows.groupBy(record).agg(best.alias("_b")).select(record, "_b.*")
 
 
+def merged_packets(records: DataFrame) -> DataFrame:
+    """``(identity, packets)``: the records (identity, packets) of each identity as one in canonical form.
+
+    A signature belongs to the packet before it that is none. Equal parents are one, with the distinct signatures of all; the
+    key comes first, then user ids and attributes, then subkeys, each by body. A record must begin with what is no signature.
+    """
+    parent = lambda p, i: F.element_at(F.filter(F.slice("packets", F.lit(1), i + 1), lambda x: x["tag"] != 2), -1)
+    pairs = F.transform("packets", lambda p, i: F.struct(parent(p, i).alias("parent"), F.when(p["tag"] == 2, p).alias("child")))
+    each = records.select("identity", F.explode(pairs).alias("pair")).select("identity", "pair.parent", "pair.child").distinct()
+    groups = each.groupBy("identity", "parent").agg(F.array_sort(F.collect_list("child")).alias("children"))
+    rank = F.when(F.col("parent.tag") == 6, 0).when(F.col("parent.tag") == 14, 2).otherwise(1)
+    row = F.struct(rank.alias("rank"), F.col("parent.tag").alias("tag"), F.col("parent.body").alias("body"), "parent", "children")
+    whole = groups.groupBy("identity").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return whole.select("identity", F.flatten(F.transform("rows", lambda r: F.concat(F.array(r["parent"]), r["children"]))).alias("packets"))
+
+
 def with_valid_children(parents: DataFrame, children: DataFrame, valid: Column, key: str) -> DataFrame:
     """Parents that have a valid child."""
     return parents.join(children.where(valid).select(key), key, "left_semi")

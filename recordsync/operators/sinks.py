@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recordsync.functions.ids import to_big_endian
 from recordsync.operators import records as rec
 from recordsync.operators.order import numbered
+from recordsync.sources.shared import whole_parts
 
 
 def shard_plan(records: DataFrame, size: int, key: str = "hash") -> DataFrame:
@@ -28,7 +29,14 @@ def dump_shards(records: DataFrame, folder: str, size: int, key: str = "hash") -
 def manifest(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
     """``(file, bytes, md5)`` of each file of a dump."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.md5("content").alias("md5"))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.md5("content").alias("md5"), "path", F.col("modificationTime").alias("written"))
+
+
+def manifest_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """One row ``(n_files, n_records, n_shards, started, ended)`` of a dump in shards; the times are those of its first and last file."""
+    files = manifest(spark, folder).agg(F.count("*").alias("n_files"), F.min("written").alias("started"), F.max("written").alias("ended"))
+    rows = spark.read.parquet(folder).agg(F.count("*").alias("n_records"), F.count_distinct("shard").alias("n_shards"))
+    return files.join(F.broadcast(rows)).select("n_files", "n_records", "n_shards", "started", "ended")
 
 
 def packet_bytes(packets: Column) -> Column:
@@ -54,22 +62,24 @@ def apply_versioned(spark: SparkSession, folder: str, deletes: DataFrame, adds:
     """Apply a batch to the table in ``folder`` and return the new version.
 
     Versions are folders ``v=N``; one counts once its ``_SUCCESS`` file is there, which is written last, so readers
-    see a whole batch or none of it. One writer at a time.
+    see a whole batch or none of it. The batch's changes are written before it, to ``<folder>-log/version=N``, and count with it (see
+    :func:`version_log`), so a crash between the two loses nothing: the batch is written again under the same number. One writer at a time.
     """
     old = current_version(spark, folder)
     base = spark.read.parquet(f"{folder}/v={old}") if old else adds.where("false")
+    rec.update_log(deletes, adds, key).write.mode("overwrite").parquet(f"{folder}-log/version={old + 1}")
     rec.apply_updates(base, deletes, adds, key).write.mode("overwrite").parquet(f"{folder}/v={old + 1}")
-    changes = rec.update_log(deletes, adds, key).withColumn("version", F.lit(old + 1))
-    changes.write.mode("append").parquet(f"{folder}-log")
     return old + 1
 
 
+def version_log(spark: SparkSession, folder: str) -> DataFrame:
+    """``(key, op, version)``: the changes of all whole versions of a table."""
+    return spark.read.parquet(f"{folder}-log").where(F.col("version") <= current_version(spark, folder))
+
+
 def current_version(spark: SparkSession, folder: str) -> int:
     """The newest whole version of a table, 0 for none."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/v=*/_SUCCESS"))
-    return max((int(s.getPath().getParent().getName()[2:]) for s in done or []), default=0)
+    return max(whole_parts(spark, folder, "v"), default=0)
 
 
 #: Steps of a clean job, in order; deduplicating calls for merging again.

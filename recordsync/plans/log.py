@@ -40,12 +40,24 @@ def log_net(spark, sf):
     return cl.net(log(spark, sf))
 
 
-@query("cancel_pairs", f"""with {_LOG}, n as (select hash, sum(case op when 'Add' then 1 else -1 end)::bigint as s from log group by hash)
-    select hash, case when s > 0 then 'Add' else 'Delete' end as op, abs(s) as n from n where s <> 0""")
+@query(
+    "cancel_pairs",
+    f"""with {_LOG}, m as (select *, coalesce(op = lag(op) over (partition by hash order by ts, seq), true) as begins from log),
+    r as (select *, sum(begins::int) over (partition by hash order by ts, seq) as run from m),
+    n as (select *, row_number() over (partition by hash, run order by ts, seq) as no, count(*) over (partition by hash, run) as n from r)
+    select ts, seq, op, hash from n where no = n and n % 2 = 1""",
+)
 def cancel_pairs(spark, sf):
+    """What is left of each user's events after neighbours with opposite ops have cancelled."""
     return cl.cancel_opposites(log(spark, sf))
 
 
+@query("newest_events", f"with {_LOG} select seq, op, hash from log order by ts desc, seq desc limit 3000")
+def newest_events(spark, sf):
+    """The newest 3,000 events, a cap of reports and dumps."""
+    return cl.newest(log(spark, sf), 3000).select("seq", "op", "hash")
+
+
 def _bins(unit: str, source: str = "log") -> str:
     size = times.UNITS[unit] * 1_000_000
     return f"""

@@ -77,9 +77,13 @@ def peer_table(spark, sf):
     return page_rows(pages, "page_id", F.col("html"), "<h2>Gossip Peers")
 
 
-@query("escape_fields", "select doc_id, md5(replace(replace(text, '%', '%%'), ':', '%3A')) as escaped from documents where regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query(
+    "escape_fields",
+    r"""select doc_id, md5(coalesce(array_to_string(list_transform(regexp_extract_all(text, '(?s)[\x00-\x7F]+|[^\x00-\x7F]'), lambda c:
+        case when ascii(c) < 128 then replace(replace(c, '%', '%%'), ':', '%3A') else regexp_replace(hex(encode(c)), '(..)', '%\1', 'g') end), ''), text)) as escaped from documents""",
+)
 def escape_fields(spark, sf):
-    docs = table(spark, sf, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", F.md5(text.escape_field(F.col("text"))).alias("escaped"))
 
 
@@ -118,6 +122,20 @@ def shard_plan(spark, sf):
     return sinks.shard_plan(table(spark, sf, "documents").select(ids.content_element(F.col("text")).alias("hash"), "doc_id"), 150)
 
 
+@query(
+    "dump_manifest",
+    """with d as (select (row_number() over (order by upper(md5(text)), doc_id) - 1) // 150 as shard from documents)
+    select count(distinct shard) as n_shards, count(*) as n_records, count(distinct shard) as n_files, true as timed from d""",
+)
+def dump_manifest(spark, sf):
+    """Totals of a dump in shards of 150 documents, written and looked at again."""
+    from recordsync.sources.shared import shared_folder
+
+    folder = shared_folder(spark, "dump")
+    sinks.dump_shards(table(spark, sf, "documents").select(ids.content_element(F.col("text")).alias("hash"), "doc_id"), folder, 150)
+    return sinks.manifest_totals(spark, folder).select("n_shards", "n_records", "n_files", (F.col("started") <= F.col("ended")).alias("timed"))
+
+
 @query("diff_log_lines", """with a as (select distinct upper(md5(text)) as hash from documents where doc_id % 7 <> 0), b as (select distinct upper(md5(text)) as hash from documents where doc_id % 11 <> 0)
     select hash as line from b where hash not in (select hash from a)""")
 def diff_log_lines(spark, sf):

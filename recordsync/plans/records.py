@@ -23,7 +23,7 @@ def _child():
     return F.concat_ws(":", F.lpad(F.col("l_suppkey").cast("string"), 8, "0"), F.col("l_linenumber").cast("string"))
 
 
-@query("content_digest", f"select l_orderkey, upper(md5(string_agg({_ITEM}, chr(10) order by {_ITEM}))) as hash from lineitem group by l_orderkey")
+@query("content_digest", f"select l_orderkey, upper(md5(string_agg(length({_ITEM}) || ':' || {_ITEM}, '' order by {_ITEM}))) as hash from lineitem group by l_orderkey")
 def content_digest(spark, sf):
     return rec.digest(table(spark, sf, "lineitem"), "l_orderkey", _item())
 
@@ -108,9 +108,10 @@ def dump_only_new(spark, sf):
     return rec.only_new(orders, orders.where("o_orderkey % 3 <> 1"), "o_orderkey")
 
 
-@query("dup_groups", "select md5(text) as key, count(*) as n, array_to_string(list_sort(list(distinct doc_id)), ',') as members from documents group by 1 having count(*) > 1")
+@query("dup_groups", "select md5(text) as key, count(*) over (partition by md5(text)) as n, doc_id from documents qualify count(*) over (partition by md5(text)) > 1")
 def dup_groups(spark, sf):
-    return rec.duplicate_groups(table(spark, sf, "documents"), F.md5("text"), "doc_id").withColumn("members", F.array_join("members", ","))
+    """The documents whose text others have as well, with their group's key and size."""
+    return rec.duplicate_members(table(spark, sf, "documents"), F.md5("text"), "doc_id")
 
 
 _PRIMARY = "o_orderpriority in ('1-URGENT', '2-HIGH')"
@@ -156,15 +157,16 @@ def _letters(spark, sf):
 @query(
     "grammar_ok",
     f"""with s as (select user_id, string_agg({_LETTER}, '' order by ts, event_id) as letters from events group by 1)
-    select user_id, regexp_matches(letters, '^.S*([UA]S*)*(KS*)*') as prefix_ok, regexp_full_match('P' || substr(letters, 1, 3), 'PS*([UA]S*)*(KS*)*') as v4,
-        regexp_full_match('P' || substr(letters, 1, 3), 'PS*([UA]S*)*') as v3 from s""",
+    select user_id, regexp_full_match('P' || letters, 'PS*([UA]S*)*(KS*)*') as v4, regexp_full_match('P' || letters, 'PS*([UA]S*)*') as v3,
+        length(letters) - length(regexp_extract(letters, '^S*([UA]S*)*(KS*)*')) as n_after from s""",
 )
 def grammar_ok(spark, sf):
-    """Whether the first events of each user, after a leading key, follow the grammar of either version."""
+    """Whether all events of each user, after a leading key, follow the grammar of either version, and how many stand after the first breach."""
     rows = _letters(spark, sf).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "letter"))).alias("e"))
     letters = F.array_join(F.transform("e", lambda e: e["letter"]), "")
-    first = F.concat(F.lit("P"), F.substring(letters, 1, 3))
-    return rows.select("user_id", letters.rlike("^.S*([UA]S*)*(KS*)*").alias("prefix_ok"), rec.well_formed(first, F.lit(4)).alias("v4"), rec.well_formed(first, F.lit(3)).alias("v3"))
+    whole = F.concat(F.lit("P"), letters)
+    after = F.length(letters) - F.length(F.regexp_extract(letters, "^S*([UA]S*)*(KS*)*", 0))
+    return rows.select("user_id", rec.well_formed(whole, F.lit(4)).alias("v4"), rec.well_formed(whole, F.lit(3)).alias("v3"), after.cast("long").alias("n_after"))
 
 
 @query(

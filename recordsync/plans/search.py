@@ -90,22 +90,25 @@ def search_capped(spark, sf):
     "search_guarded",
     f"""
     with p as ({_POSTINGS}), hit as (select hash from p where word in ('scum', 'the') group by hash having count(*) = 2)
-    select doc_id, upper(md5(text)) as hash from documents
-    where upper(md5(text)) in (select hash from hit) and (select count(*) from hit) < 500 and (select count(*) from p where word = 'scum') <= 20000
+    , s as (select case when least((select count(*) from p where word = 'scum'), (select count(*) from p where word = 'the')) > 20000 then 'not specific enough'
+        when (select count(*) from hit) >= 500 then 'too many' else 'ok' end as status)
+    select status, doc_id, h as hash from s left join (select doc_id, upper(md5(text)) as h from documents where upper(md5(text)) in (select hash from hit)) on status = 'ok'
     """,
 )
 def search_guarded(spark, sf):
+    """The answer of a search, or the reason why there is none."""
     docs = table(spark, sf, "documents").withColumn("hash", content_element(F.col("text"))).select("doc_id", "hash")
     return index.guarded_search(_postings(spark, sf), docs, ["scum", "the"])
 
 
-_REQUEST = "select distinct upper(md5(text)) as hash from documents where doc_id % 50 = 7 union all select upper(md5(doc_id::varchar)) from documents where doc_id % 50 = 8"
+_REQUEST = "select distinct upper(md5(text)) as hash from documents where doc_id % 100 = 0 union all select upper(md5(doc_id::varchar)) from documents where doc_id % 100 = 0"
 
 
 def _request(spark, sf):
+    """The queries: hashes of the texts, and of the ids, of all documents whose id is divisible by 100."""
     docs = table(spark, sf, "documents")
-    there = docs.where("doc_id % 50 = 7").select(content_element(F.col("text")).alias("hash"))
-    return there.unionByName(docs.where("doc_id % 50 = 8").select(content_element(F.col("doc_id").cast("string")).alias("hash")))
+    there = docs.where("doc_id % 100 = 0").select(content_element(F.col("text")).alias("hash"))
+    return there.unionByName(docs.where("doc_id % 100 = 0").select(content_element(F.col("doc_id").cast("string")).alias("hash")))
 
 
 @query("multi_get", f"select doc_id, upper(md5(text)) as hash from documents where upper(md5(text)) in ({_REQUEST})")
@@ -141,20 +144,20 @@ _ORDERS = r"""
 """
 
 
-@query("id_lookup", f"with {_ORDERS} select main as id, hash from o where main % 97 = 5")
+@query("id_lookup", f"with {_ORDERS} select main as id, hash from o")
 def id_lookup(spark, sf):
     orders = _orders(spark, sf)
-    ids = table(spark, sf, "part").where("p_partkey % 97 = 5").select(F.col("p_partkey").alias("id"))
+    ids = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
     return index.by_id(index.id_postings(orders, "main"), orders, ids).select("id", "hash")
 
 
 @query(
     "id_or_subid_lookup",
-    f"with {_ORDERS} select main as id, hash from o where main % 97 = 5 union all select id, hash from s where id % 97 = 5",
+    f"with {_ORDERS} select main as id, hash from o union all select id, hash from s",
 )
 def id_or_subid_lookup(spark, sf):
     orders = _orders(spark, sf)
-    ids = table(spark, sf, "part").where("p_partkey % 97 = 5").select(F.col("p_partkey").alias("id"))
+    ids = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
     return index.by_id(index.id_postings(orders, "main"), orders, ids, index.id_postings(orders, "main", "subs")).select("id", "hash")
 
 
@@ -236,6 +239,26 @@ def random_elements(spark, sf):
     return index.random_rows(table(spark, sf, "documents").select("doc_id"), 500, seed=4)
 
 
+@query("random_dropped", "select count(*) - 500 as n, count(*) filter (doc_id < 0) as strange from documents having count(*) > 500 union all select 0, 0 from documents having count(*) <= 500")
+def random_dropped(spark, sf):
+    """How many documents are left when five hundred drawn at random have gone."""
+    ids = table(spark, sf, "documents").select("doc_id")
+    left = index.random_drop(ids, 500, seed=4)
+    return left.agg(F.count("*").alias("n"), F.count_if(F.col("doc_id") < 0).alias("strange"))
+
+
+@query("index_written", f"with p as ({_POSTINGS}) select doc_id, upper(md5(text)) as hash from documents where upper(md5(text)) in (select hash from p where word in ('and', 'is', 'the', 'of') group by hash having count(*) = 4)")
+def index_written(spark, sf):
+    """A search over index tables that were written, sorted by word, and read back."""
+    from recordsync.sources.shared import shared_folder
+
+    docs = _records(spark, sf).select("hash", "doc_id", "words")
+    folder = shared_folder(spark, "index")
+    index.write_index({"words": index.postings(docs, F.col("words"), "word"), "ids": docs.select("hash", "doc_id")}, folder, 8)
+    words, ids = (spark.read.parquet(f"{folder}/{name}") for name in ("words", "ids"))
+    return index.search(words, ids, ["the", "and", "of", "is"]).select("doc_id", "hash")
+
+
 @query("first_wins", "select md5(text) as k, min(doc_id) as doc_id, arg_min(source, doc_id) as source from documents group by 1")
 def first_wins(spark, sf):
     docs = table(spark, sf, "documents").select(F.md5("text").alias("k"), "doc_id", "source")

@@ -66,7 +66,7 @@ def bucket_fold(spark, sf):
     return bk.fold(bk.leaves(bk.counts(_docs(spark, sf))), F.max("n"), F.max("value"))
 
 
-@query("bucket_digest", "select lang, upper(md5(string_agg(32 || ':' || hash, '' order by hash))) as digest from (select distinct lang, upper(md5(text)) as hash from documents) group by lang")
+@query("bucket_digest", "with p as (select lang, md5(hash)[1:3] as part, md5(string_agg(32 || ':' || hash, '' order by hash)) as d from (select distinct lang, upper(md5(text)) as hash from documents) group by all) select lang, upper(md5(string_agg(d, '' order by part))) as digest from p group by lang")
 def bucket_digest(spark, sf):
     return bk.set_digest(_docs(spark, sf), "lang", F.col("hash"))
 
@@ -103,12 +103,14 @@ def reconcile_exact(spark, sf):
 @query("reconcile_pruned", f"with {_DIFF} select * from diff")
 def reconcile_pruned(spark, sf):
     a, b = _sides(spark, sf)
-    return rc.pruned_difference(a, b, bk.digests(a), bk.digests(b))
+    depths = bk.depth_for(table(spark, sf, "documents"), 100)
+    return rc.pruned_difference(a, b, bk.digests(a, depths=depths), bk.digests(b, depths=depths))
 
 
 @query("reconcile_sketch", f"with {_DIFF} select * from diff")
 def reconcile_sketch(spark, sf):
-    return rc.reconcile(*_sides(spark, sf))
+    # About three differences a bucket, so that most are solved from sketches.
+    return rc.reconcile(*_sides(spark, sf), m=8, depth=bk.depth_for(table(spark, sf, "documents"), 16))
 
 
 @query("summary_check", f"with {_DIFF} select hash, side from diff where side = 'here'")
@@ -129,6 +131,21 @@ def recon_action(spark, sf):
     return rc.actions(bk.digests(a), bk.digests(b))
 
 
+@query(
+    "recon_descend",
+    f"""with {_A}, {_B}, x as (select d::int as depth, ({_BITS})[1:d * 2] as prefix, list_sort(list(hash)) as l, count(*) as n from a, range(0, 5) as t(d) group by all),
+    y as (select d::int as depth, ({_BITS})[1:d * 2] as prefix, list_sort(list(hash)) as l, count(*) as n from b, range(0, 5) as t(d) group by all),
+    failed as (select x.depth, x.prefix from x join y using (depth, prefix) where abs(x.n - y.n) > 2)
+    select depth, prefix, case when least(coalesce(x.n, 0), coalesce(y.n, 0)) < 30 or (f.depth is not null and depth = 4) then 'full' when f.depth is not null then 'descend' else 'sketch' end as action
+    from x full join y using (depth, prefix) left join failed f using (depth, prefix) where x.l is distinct from y.l""",
+)
+def recon_descend(spark, sf):
+    """What to do with each differing bucket when sketches have failed where sizes are more than two apart."""
+    a, b = (bk.digests(x) for x in _sides(spark, sf))
+    failed = a.alias("a").join(b.alias("b"), ["depth", "prefix"]).where("abs(a.n - b.n) > 2").select("depth", "prefix")
+    return rc.actions(a, b, 5, 6, failed)
+
+
 @query("fetch_plan", f"with {_DIFF} select hash, ((row_number() over (order by hash) - 1) // 20)::bigint as bundle from diff where side = 'there'")
 def fetch_plan(spark, sf):
     return rc.fetch_plan(*_sides(spark, sf), size=20)
@@ -182,17 +199,17 @@ def set_relation(spark, sf):
     return rc.relation(*_sides(spark, sf))
 
 
-_EDGES = "edges as (select distinct 's' || l_suppkey as src, 'p' || l_partkey as dst from lineitem where l_quantity >= 49 union select distinct 'p' || l_partkey, 's' || l_suppkey from lineitem where l_quantity >= 49)"
+_EDGES = "edges as (select distinct 's' || l_suppkey as src, 'p' || l_partkey as dst from lineitem union select distinct 'p' || l_partkey, 's' || l_suppkey from lineitem)"
 
 
 @query(
     "reachability",
-    f"""with recursive {_EDGES}, r as (select 's1' as node, 0 as hop union select dst, hop + 1 from r join edges on src = node where hop < 3)
+    f"""with recursive {_EDGES}, r as (select 's1' as node, 0 as hop union select dst, hop + 1 from r join edges on src = node where hop < 10)
     select node, min(hop) as hop from r group by node""",
 )
 def reachability(spark, sf):
-    """Suppliers and parts within three steps of one supplier."""
-    lines = table(spark, sf, "lineitem").where("l_quantity >= 49")
+    """Suppliers and parts that one supplier reaches, and in how many steps."""
+    lines = table(spark, sf, "lineitem")
     s, p = F.concat(F.lit("s"), F.col("l_suppkey")), F.concat(F.lit("p"), F.col("l_partkey"))
     edges = lines.select(s.alias("src"), p.alias("dst")).unionByName(lines.select(p.alias("src"), s.alias("dst"))).distinct()
-    return rc.reach(edges, spark.range(1).select(F.lit("s1").alias("node")), 3)
+    return rc.reach(edges, spark.range(1).select(F.lit("s1").alias("node")))

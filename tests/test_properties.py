@@ -85,11 +85,11 @@ def test_numbers_and_unique_times(spark):
     rng = np.random.default_rng(3)
     rows = [(i, int(t)) for i, t in enumerate(rng.integers(0, 400, 3000))] + [(5000, None)]
     df = spark.createDataFrame(rows, "seq long, v long")
-    got = {r.seq: r.no for r in order.numbered(df, "v", "seq", shares=7).collect()}
+    got = {r.seq: r.no for r in order.numbered(df, "v", "seq").collect()}
     ranked = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
     assert got == {seq: i + 1 for i, (seq, _) in enumerate(ranked)}
     log = df.where("v is not null").select("seq", F.timestamp_micros("v").alias("ts"))
-    out = sorted((r.us, r.seq) for r in cl.unique_times(log, 7).select("seq", F.unix_micros("ts").alias("us")).collect())
+    out = sorted((r.us, r.seq) for r in cl.unique_times(log).select("seq", F.unix_micros("ts").alias("us")).collect())
     last, want = -1, []
     for seq, v in ranked[1:]:
         last = max(v, last + 1)
@@ -126,11 +126,18 @@ def test_versions_and_shards(spark, tmp_path):
     assert sinks.apply_versioned(spark, folder, rows({}), rows({"a": 1, "b": 1})) == 1
     assert sinks.apply_versioned(spark, folder, rows({"a": 1}), rows({"b": 2, "c": 2})) == 2
     assert sorted(map(tuple, spark.read.parquet(f"{folder}/v=2").collect())) == [("b", 2), ("c", 2)]
-    assert spark.read.parquet(f"{folder}-log").count() == 5
+    assert sinks.version_log(spark, folder).count() == 5
+    # A crash after the log of a batch and before its table: the batch does not count, and its repeat replaces what is there.
+    rec.update_log(rows({"b": 2}), rows({"z": 1}), "hash").write.parquet(f"{folder}-log/version=3")
+    assert sinks.current_version(spark, folder) == 2 and sinks.version_log(spark, folder).count() == 5
+    assert sinks.apply_versioned(spark, folder, rows({"b": 2}), rows({"d": 1})) == 3
+    assert sorted((r.hash, r.op) for r in sinks.version_log(spark, folder).where("version = 3").collect()) == [("b", "Delete"), ("d", "Add")]
     sinks.dump_shards(table(spark, range(25)), str(tmp_path / "dump"), 10)
     shards = spark.read.parquet(str(tmp_path / "dump")).groupBy("shard").agg(F.count("*").alias("n"), F.max("hash").alias("m")).orderBy("shard").collect()
     assert [r.n for r in shards] == [10, 10, 5] and sorted(r.m for r in shards) == [r.m for r in shards]
     assert sinks.manifest(spark, str(tmp_path / "dump")).count() == 3
+    totals = sinks.manifest_totals(spark, str(tmp_path / "dump")).first()
+    assert (totals.n_files, totals.n_records, totals.n_shards) == (3, 25, 3) and totals.started <= totals.ended
     sinks.diff_log(table(spark, range(9)).withColumn("peer", F.lit("p")), str(tmp_path / "diff"))
     assert spark.read.text(str(tmp_path / "diff" / "peer=p")).count() == 9
 
@@ -144,6 +151,69 @@ def test_clean_skips_what_was_applied(spark):
     assert sinks.clean(df, ["canonicalise", "merge"])[0].count() == 3
 
 
+def plain_cancel(ops):
+    """Neighbours with opposite ops cancel, from the first on: the places of what is left."""
+    left, i = [], 0
+    while i < len(ops):
+        if i + 1 < len(ops) and ops[i] != ops[i + 1]:
+            i += 2
+        else:
+            left.append(i)
+            i += 1
+    return left
+
+
+def test_neighbours_cancel(spark):
+    rng = np.random.default_rng(4)
+    cases = [["Add", "Add", "Delete", "Delete"], ["Add", "Delete", "Add"], ["Add", "Delete", "Delete", "Add"], ["Add"]] + [rng.choice(["Add", "Delete"], rng.integers(1, 12)).tolist() for _ in range(60)]
+    rows = [(h, i, op) for h, ops in enumerate(cases) for i, op in enumerate(ops)]
+    log = spark.createDataFrame(rows, "hash int, seq int, op string").withColumn("ts", F.timestamp_seconds("seq"))
+    got = sorted((r.hash, r.seq) for r in cl.cancel_opposites(log).collect())
+    assert got == [(h, i) for h, ops in enumerate(cases) for i in plain_cancel(ops)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 37, 100, 5000])
+def test_newest_events(spark, n):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(t)) for i, t in enumerate(rng.integers(0, 9000, 400))]
+    log = spark.createDataFrame(rows, "seq int, s long").select("seq", F.timestamp_seconds("s").alias("ts"))
+    got = sorted(r.seq for r in cl.newest(log, n).collect())
+    assert got == sorted(seq for seq, _ in sorted(rows, key=lambda r: (-r[1], -r[0]))[:n])
+
+
+def test_digests_frame_their_items(spark):
+    df = spark.createDataFrame([(1, "a\nb"), (2, "a"), (2, "b"), (3, "b"), (3, "a")], "record int, item string")
+    got = {r.record: r.hash for r in rec.digest(df, "record", F.col("item")).collect()}
+    assert got[2] == got[3] != got[1] and got[2] == hashlib.md5(b"1:a1:b").hexdigest().upper()
+
+
+def test_random_rows_do_not_depend_on_partitions(spark):
+    ids = spark.range(300)
+    one, two = ({r.id for r in index.random_rows(ids.repartition(n), 50, 7).collect()} for n in (1, 9))
+    assert one == two and len(one) == 50 and {r.id for r in index.random_drop(ids, 50, 7).collect()} == set(range(300)) - one
+
+
+def test_reach_goes_on_to_the_end(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(12, 3), (50, 51)], "src long, dst long")
+    start = spark.createDataFrame([(0,)], "node long")
+    assert {(r.node, r.hop) for r in rc.reach(edges, start).collect()} == {(i, i) for i in range(13)}
+    assert rc.reach(edges, start, 2).count() == 3
+
+
+def test_index_is_written_and_read(spark, tmp_path):
+    words = spark.createDataFrame([(w, h) for h in range(30) for w in (["a", "b"] if h % 2 else ["a"])], "word string, hash long")
+    index.write_index({"words": words}, str(tmp_path), 3)
+    back = spark.read.parquet(str(tmp_path / "words"))
+    assert sorted(r.hash for r in index.match_all(back, ["a", "b"]).collect()) == list(range(1, 30, 2))
+
+
+def test_audit_of_postings(spark):
+    records = spark.createDataFrame([("x", ["a", "b"]), ("y", ["a"])], "hash string, words array<string>")
+    words = spark.createDataFrame([("a", "x"), ("a", "z"), ("a", "x")], "word string, hash string")
+    got = sorted(map(tuple, index.audit_postings(words, records).collect()))
+    assert got == [("a", "y", "missing"), ("a", "z", "dangling"), ("b", "x", "missing")]
+
+
 def test_empty_tables(spark):
     none = table(spark, [])
     assert bk.counts(none).count() == 0 and rc.difference(none, none).count() == 0 and rc.reconcile(none, none).count() == 0
