@@ -30,7 +30,7 @@ def next_boundary(ts: Column, unit: str) -> Column:
 
 def expiry(created: Column, seconds: Column) -> Column:
     """Creation plus a validity period; null if either is, or the period is 0 (never)."""
-    return F.timestamp_micros(F.unix_micros(created) + F.nullif(seconds, F.lit(0)) * 1_000_000)
+    return F.timestamp_micros(F.unix_micros(created) + F.nullif(seconds.cast("long"), F.lit(0)) * 1_000_000)
 
 
 def is_expired(created: Column, seconds: Column, now: Column) -> Column:

@@ -151,3 +151,29 @@ def sketches(rows: DataFrame, m: int, depth: int, digest: str = "hash", width: i
     keyed = rows.select(F.col(digest).alias("hash")).distinct().select("hash", (bit_prefix(F.col("hash"), depth * width) if depth else F.lit("")).alias("prefix"))
     # At most as many rows for a bucket as there are partitions.
     return keyed.mapInPandas(partial, schema).groupBy("prefix").applyInPandas(combine, schema)
+
+
+def _product(table: DataFrame, m: int) -> DataFrame:
+    """``(prefix, n, samples)``: the rows (prefix, n, samples) of each prefix multiplied, those with negative n by their inverses."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [1] * (m + 1)
+        for n, samples in zip(pdf["n"], pdf["samples"], strict=True):
+            out = [a * pow(int(b), 1 if n > 0 else -1, PRIME) % PRIME for a, b in zip(out, samples, strict=True)]
+        return pd.DataFrame({"prefix": [pdf["prefix"].iloc[0]], "n": [int(pdf["n"].sum())], "samples": [[str(x) for x in out]]})
+
+    return table.groupBy("prefix").applyInPandas(run, "prefix string, n long, samples array<string>")
+
+
+def updated_sketches(held: DataFrame, added: DataFrame, removed: DataFrame, m: int, depth: int, digest: str = "hash", width: int = 2) -> DataFrame:
+    """Sketches after elements have been ``added`` to a set and others ``removed``, from what changes alone. Empty buckets go."""
+    plus, minus = sketches(added, m, depth, digest, width), sketches(removed, m, depth, digest, width)
+    parts = held.select("prefix", "n", "samples").unionByName(plus).unionByName(minus.withColumn("n", -F.col("n")))
+    return _product(parts, m).where("n > 0")  # three rows of a bucket at most
+
+
+def consistent_sketches(upper: DataFrame, lower: DataFrame, m: int = 5, width: int = 2) -> DataFrame:
+    """``(prefix, n, consistent)``: whether each bucket's sketch, and its count, is what those of the level below it make."""
+    below = _product(lower.withColumn("prefix", F.expr(f"substring(prefix, 1, length(prefix) - {width})")), m)
+    same = F.col("u.samples").eqNullSafe(F.col("b.samples")) & F.col("u.n").eqNullSafe(F.col("b.n"))
+    return upper.alias("u").join(below.alias("b"), "prefix", "full_outer").select("prefix", F.coalesce("u.n", F.lit(0)).alias("n"), same.alias("consistent"))

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordsync.functions.ids import content_element, other_ids
+from recordsync.functions.ids import big_endian, content_element, fingerprint_v4, other_ids
 from recordsync.functions.text import word_set
 from recordsync.operators.order import numbered
+from recordsync.operators.records import packet_digest
 
 
 def metadata(records: DataFrame, text: str = "text") -> DataFrame:
@@ -17,8 +18,25 @@ def metadata(records: DataFrame, text: str = "text") -> DataFrame:
     return records.withColumn("hash", content_element(F.col(text))).withColumn("words", word_set(F.col(text)))
 
 
-def postings(table: DataFrame, item: Column, name: str, key: str = "hash") -> DataFrame:
-    """Distinct pairs ``(name, key)`` of the items of an array column and the record's key."""
+def packet_id(body: Column) -> Column:
+    """Fingerprint of a version 4 key or subkey body; its last 16 or 8 digits are the ids."""
+    return fingerprint_v4(body)
+
+
+def packet_metadata(records: DataFrame) -> DataFrame:
+    """``records`` (packets) with hash, words of the user ids, id and sub_ids (eight digits, version 4) and ctime: what every index is made from."""
+    short = lambda p: F.right(packet_id(p["body"]), F.lit(8))
+    named = F.transform(F.filter("packets", lambda p: p["tag"] == 13), lambda p: F.decode(p["body"], "UTF-8"))
+    key = F.get("packets", F.lit(0))
+    rows = records.withColumn("hash", packet_digest(F.col("packets"))).withColumn("words", word_set(F.array_join(named, " ")))
+    rows = rows.withColumn("id", short(key)).withColumn("sub_ids", other_ids(F.col("id"), F.transform(F.filter("packets", lambda p: p["tag"] == 14), short)))
+    return rows.withColumn("ctime", F.timestamp_seconds(big_endian(F.substring(key["body"], 2, 4))))
+
+
+def postings(table: DataFrame, item: Column, name: str, key: str = "hash", only: Sequence[str] | None = None) -> DataFrame:
+    """Distinct pairs ``(name, key)`` of the items of an array column, or those among ``only``, and the record's key."""
+    if only is not None:
+        item = F.array_intersect(item, F.array(*map(F.lit, only)).cast("array<string>"))
     return table.select(F.explode(item).alias(name), key).distinct()
 
 
@@ -108,6 +126,17 @@ def refine(found: DataFrame, wanted: Column, main: str, subs: str) -> DataFrame:
     return found.where((F.col(main) == wanted) | F.array_contains(F.col(subs), wanted))
 
 
+def refine_text(found: DataFrame, wanted: str, main: str, subs: str) -> DataFrame:
+    """After a look-up by short id: rows whose fingerprint ``main``, or one of ``subs``, ends in ``wanted``, an id of 8 or 16 hex digits or a fingerprint of 40.
+
+    Fingerprints of 32 digits, those of version 3, are refused, as are texts of other lengths.
+    """
+    if len(wanted) not in (8, 16, 40):
+        raise ValueError("128-bit fingerprints are not supported" if len(wanted) == 32 else f"no id: {wanted}")
+    n = F.lit(len(wanted))
+    return found.where((F.right(main, n) == wanted) | F.exists(subs, lambda s: F.right(s, n) == wanted))
+
+
 def unique_name(records: DataFrame, id_col: str, name: str) -> DataFrame:
     """``(id, name)`` of ids that exactly one record has."""
     one = records.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("_n"), F.first(name).alias(name))

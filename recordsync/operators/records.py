@@ -129,14 +129,16 @@ def self_signatures(signatures: DataFrame) -> DataFrame:
     return signatures.where("sigtype between 16 and 19 and n_issuers = 1 and issuer = id")
 
 
-def report_lines(info: DataFrame, uids: DataFrame) -> DataFrame:
-    """``(record, no, line)``: ``info``, ``pub`` and ``uid`` lines.
+def report_lines(info: DataFrame, uids: DataFrame, attributes: DataFrame | None = None) -> DataFrame:
+    """``(record, no, line)``: ``pub``, ``uid`` and ``uat`` lines.
 
-    info: record, fields (array of texts); uids: record, pos, fields. Line 0 of a record is its ``pub`` line.
+    info: record, fields (array of texts); uids: record, pos, fields; attributes: record, pos. Line 0 of a record is its ``pub`` line.
     """
     pub = info.select("record", F.lit(0).cast("long").alias("no"), F.concat_ws(":", F.lit("pub"), F.array_join("fields", ":", "")).alias("line"))
     uid = uids.select("record", F.col("pos").cast("long").alias("no"), F.concat_ws(":", F.lit("uid"), F.array_join("fields", ":", "")).alias("line"))
-    return pub.unionByName(uid)
+    if attributes is None:
+        return pub.unionByName(uid)
+    return pub.unionByName(uid).unionByName(attributes.select("record", F.col("pos").cast("long").alias("no"), F.lit("uat::::").alias("line")))
 
 
 def report_head(info: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,27 +82,49 @@ def current_version(spark: SparkSession, folder: str) -> int:
     return max(whole_parts(spark, folder, "v"), default=0)
 
 
-#: Steps of a clean job, in order; deduplicating calls for merging again.
-STEPS = ("canonicalise", "deduplicate", "merge")
+def _canonicalise(records: DataFrame, identity: str) -> DataFrame:
+    return records.where(rec.well_formed(F.col("letters"), F.lit(4)))
 
 
-def clean(records: DataFrame, applied: Sequence[str], identity: str = "identity") -> tuple[DataFrame, list[str]]:
-    """``records`` (record, identity, letters, children) after the steps that ``applied`` lacks, and the steps that now are.
+def _deduplicate(records: DataFrame, identity: str) -> DataFrame:
+    return records.withColumn("children", F.array_sort(F.array_distinct("children")))
 
-    Records whose letters break the grammar go; children are made distinct; records of one identity become one, under
-    the least record id.
+
+def _merge(records: DataFrame, identity: str) -> DataFrame:
+    merged = records.select("record", identity, "letters", F.explode_outer("children").alias("child")).groupBy(identity)
+    return merged.agg(F.min("record").alias("record"), F.min_by("letters", "record").alias("letters"), F.array_sort(F.collect_set("child")).alias("children")).select("record", identity, "letters", "children")
+
+
+#: Steps of a clean job by name, in order; deduplicating calls for merging again.
+STEPS: dict[str, Callable[[DataFrame, str], DataFrame]] = {"canonicalise": _canonicalise, "deduplicate": _deduplicate, "merge": _merge}
+
+
+def clean(records: DataFrame, applied: Sequence[str], identity: str = "identity", steps: dict[str, Callable[[DataFrame, str], DataFrame]] = STEPS) -> tuple[DataFrame, list[str]]:
+    """``records`` (record, identity, letters, children) after the ``steps`` that ``applied`` lacks, and the steps that now are.
+
+    With the usual steps, records whose letters break the grammar go; children are made distinct; records of one identity
+    become one, under the least record id. Other steps are functions of a table and the identity's name.
     """
-    left = [s for s in STEPS if s not in applied]
-    if "deduplicate" in left and "merge" not in left:
+    left = [s for s in steps if s not in applied]
+    if "deduplicate" in left and "merge" in steps and "merge" not in left:
         left.append("merge")
     for step in left:
-        if step == "canonicalise":
-            records = records.where(rec.well_formed(F.col("letters"), F.lit(4)))
-        elif step == "deduplicate":
-            records = records.withColumn("children", F.array_sort(F.array_distinct("children")))
-        else:
-            merged = records.select("record", identity, "letters", F.explode_outer("children").alias("child")).groupBy(identity)
-            records = merged.agg(F.min("record").alias("record"), F.min_by("letters", "record").alias("letters"), F.array_sort(F.collect_set("child")).alias("children")).select("record", identity, "letters", "children")
-    return records, [s for s in STEPS if s in applied or s in left]
+        records = steps[step](records, identity)
+    return records, [s for s in steps if s in applied or s in left]
+
 
+def clean_versioned(spark: SparkSession, folder: str, identity: str = "identity", steps: dict[str, Callable[[DataFrame, str], DataFrame]] = STEPS) -> int:
+    """Clean the newest version of a table (see :func:`apply_versioned`) and return the version that is clean.
 
+    The steps that a version has been through are kept in ``<folder>-steps/version=N`` and written before it; steps that are
+    noted are skipped, and where all are, no new version is written.
+    """
+    old = current_version(spark, folder)
+    noted = old in whole_parts(spark, f"{folder}-steps", "version")
+    applied = [r["step"] for r in spark.read.parquet(f"{folder}-steps/version={old}").collect()] if noted else []
+    out, now = clean(spark.read.parquet(f"{folder}/v={old}"), applied, identity, steps)
+    if set(now) == set(applied):
+        return old
+    spark.createDataFrame([(s,) for s in now], "step string").write.mode("overwrite").parquet(f"{folder}-steps/version={old + 1}")
+    out.write.mode("overwrite").parquet(f"{folder}/v={old + 1}")
+    return old + 1

@@ -128,12 +128,6 @@ def armor_round_trip(spark, sf):
     return raw.join(back, "path").select(F.col("path").cast("long").alias("c_custkey"), (F.col("content") == F.col("back")).alias("same"), "error")
 
 
-@query("packet_digest")
-def packet_digest(spark, sf):
-    """Content digest of each record; a test holds it against a plain computation."""
-    return _records(spark, sf).select("c_custkey", rec.packet_digest(F.col("packets")).alias("hash"))
-
-
 @query("first_records", "select (c_custkey // 200)::varchar as file, row_number() over (partition by c_custkey // 200 order by c_custkey)::bigint as rec from customer order by file, rec limit 20")
 def first_records(spark, sf):
     """The first twenty records of the dumps."""

@@ -18,8 +18,8 @@ def _records(spark, sf):
     return index.metadata(table(spark, sf, "documents"))
 
 
-def _postings(spark, sf):
-    return index.postings(_records(spark, sf), F.col("words"), "word")
+def _postings(spark, sf, only=None):
+    return index.postings(_records(spark, sf), F.col("words"), "word", only=only)
 
 
 @query(
@@ -32,7 +32,8 @@ def _postings(spark, sf):
 def word_search_all(spark, sf):
     """Records that hold all of four words."""
     docs = table(spark, sf, "documents").withColumn("hash", content_element(F.col("text")))
-    return index.search(_postings(spark, sf), docs, ["the", "and", "of", "is", "the"]).select("doc_id", "hash", "n_chars")
+    wanted = ["the", "and", "of", "is", "the"]
+    return index.search(_postings(spark, sf, wanted), docs, wanted).select("doc_id", "hash", "n_chars")
 
 
 @query("word_df", f"with p as ({_POSTINGS}) select word, count(*) as n from p group by word")
@@ -80,7 +81,7 @@ def record_metadata(spark, sf):
 )
 def search_capped(spark, sf):
     """Status of four searches with caps of 400 and 20."""
-    words = _postings(spark, sf)
+    words = _postings(spark, sf, ["the", "and", "loser", "nosuchword", "scum", "trash", "idiot"])
     asked = [["the", "and"], ["loser", "the"], ["nosuchword", "the"], ["scum", "trash", "idiot"]]
     out = [index.search_status(words, w, 400, 20).select(F.lit(no).alias("no"), "*") for no, w in enumerate(asked)]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
@@ -98,7 +99,7 @@ def search_capped(spark, sf):
 def search_guarded(spark, sf):
     """The answer of a search, or the reason why there is none."""
     docs = table(spark, sf, "documents").withColumn("hash", content_element(F.col("text"))).select("doc_id", "hash")
-    return index.guarded_search(_postings(spark, sf), docs, ["scum", "the"])
+    return index.guarded_search(_postings(spark, sf, ["scum", "the"]), docs, ["scum", "the"])
 
 
 _REQUEST = "select distinct upper(md5(text)) as hash from documents where doc_id % 100 = 0 union all select upper(md5(doc_id::varchar)) from documents where doc_id % 100 = 0"
@@ -281,7 +282,14 @@ def key_scan(spark, sf):
     return table(spark, sf, "documents").select(content_element(F.col("text")).alias("hash"), "doc_id")
 
 
-@query("word_set_bytes")
+@query(
+    "word_set_bytes",
+    r"""with c as (select doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?s)[\x00-\x7F]+|[^\x00-\x7F]'), lambda x: case when unicode(x) < 128 then lower(x)
+        when unicode(x) < 2048 then chr((case when unicode(x) // 64 in (23, 31) then 192 else 224 end + unicode(x) // 64)::int) || ' '
+        when unicode(x) < 65536 then chr((224 + unicode(x) // 4096)::int) || ' ' else chr((240 + unicode(x) // 262144)::int) || ' ' end), '') as t from documents),
+    w as (select unnest(list_distinct(regexp_extract_all(t, '[a-z0-9À-ÿ]+'))) as word from c)
+    select word, count(*) as n from w group by word""",
+)
 def word_set_bytes(spark, sf):
     """Words by bytes, as byte-oriented indexes cut them, with document counts."""
     docs = table(spark, sf, "documents")
