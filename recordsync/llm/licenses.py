@@ -1,10 +1,11 @@
 """License scans by diagonal voting, in DataFrame operations alone.
 
 All rolling word 3-grams of a text are hashed and joined to the places of the same hashes in the
-templates. A hit votes for its diagonal: its place in the text less its place in the template. Votes of
+templates, where the words have to be the same as well. A hit votes for its diagonal: its place in the text less its place in the template. Votes of
 one diagonal are a passage that runs in step with the template; neighbouring diagonals are merged, since
 a word put in or left out moves the rest by one. A merged span counts if enough of the template stands in it. Where
-copies follow one another, their diagonals merge too; such a span is cut into stretches of a copy's length.
+copies follow one another, their diagonals merge too; such a span is cut into stretches of a copy's length. Short
+templates, of which a word makes another license, must stand whole on one diagonal.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from recordsync.llm._common import row_key
 
 K = 3
+#: Wordings of fewer words must stand whole.
+SHORT = 10
 
 # License phrases by label; all of a phrase's words must stand in a row.
 PHRASES = [
@@ -35,6 +38,17 @@ WORDINGS = [
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("all-rights-reserved", "all rights reserved"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software "
+        "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom "
+        "the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission "
+        "notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache "
+        "org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the "
+        "above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of "
+        "the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability"),
 ]
 
 
@@ -45,18 +59,19 @@ def words(text: Column) -> Column:
 
 
 def _grams(w: Column) -> Column:
-    """Hash of each run of ``K`` words."""
+    """Hash of each run of ``K`` words, and the run itself."""
     last = F.size(w) - K
     at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(K))))
+    run = lambda i: [F.get(w, i + j) for j in range(K)]
+    return F.transform(at, lambda i: F.struct(F.xxhash64(*run(i)).alias("hash"), F.concat_ws(" ", *run(i)).alias("words")))
 
 
 def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, wordings: list[tuple[str, str]] = WORDINGS, part: float = 0.7, slack: int = 3) -> DataFrame:
     """``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans)`` for each row of ``docs``.
 
     n_base, first_word, last_word, base_labels: places of whole ``phrases``, their least and greatest start
-    (words from 0, null without any) and their labels. A wording counts where merged diagonals, ``slack``
-    apart at most, cover at least ``part`` of its words within a stretch of text not over a half longer. score: the largest
+    (words from 0, null without any) and their labels. A wording of ``SHORT`` words or more counts where merged diagonals, ``slack``
+    apart at most, cover at least ``part`` of its words within a stretch of text not over a half longer, a shorter one where it stands whole. score: the largest
     covered part of any template. spans: (label, first_word, last_word, part) of all that counts; of stretches that overlap in one merged span, the first. Label lists are sorted and
     comma-joined, empty without any. Templates of fewer than three words match nothing. Null and empty texts have no words.
     Repeated rows give equal rows; other columns are not looked at.
@@ -64,26 +79,28 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, wordings: li
     spark = docs.sparkSession
     rows = [(i, label, text, i < len(phrases)) for i, (label, text) in enumerate([*phrases, *wordings])]
     template = spark.createDataFrame(rows, "template int, label string, text string, whole boolean").withColumn("w", words(F.col("text")))
-    template = template.select("template", "label", "whole", F.size("w").alias("size"), F.posexplode(_grams(F.col("w"))).alias("offset", "gram"))
+    template = template.select("template", "label", "whole", F.size("w").alias("size"), F.posexplode(_grams(F.col("w"))).alias("offset", "t"))
+    template = template.withColumn("exact", F.col("whole") | (F.col("size") < SHORT))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), words(F.col("text")).alias("w"))
     # The templates are the constants above, or the caller's lists: a broadcast of a few hundred rows.
-    hits = keyed.select("key", F.posexplode(_grams(F.col("w"))).alias("pos", "gram")).join(F.broadcast(template), "gram")
-    votes = hits.groupBy("key", "template", "label", "whole", "size", (F.col("pos") - F.col("offset")).alias("diagonal")).agg(
+    same = (F.col("gram.hash") == F.col("t.hash")) & (F.col("gram.words") == F.col("t.words"))
+    hits = keyed.select("key", F.posexplode(_grams(F.col("w"))).alias("pos", "gram")).join(F.broadcast(template), same)
+    votes = hits.groupBy("key", "template", "label", "whole", "exact", "size", (F.col("pos") - F.col("offset")).alias("diagonal")).agg(
         F.collect_set("offset").alias("offsets"), F.min("pos").alias("low"), (F.max("pos") + K - 1).alias("high")
     )
     along = Window.partitionBy("key", "template").orderBy("diagonal")
-    fresh = F.coalesce(F.col("whole") | (F.col("diagonal") - F.lag("diagonal").over(along) > slack), F.lit(True))
-    named = ["key", "template", "label", "whole", "size", "group"]
+    fresh = F.coalesce(F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(along) > slack), F.lit(True))
+    named = ["key", "template", "label", "whole", "exact", "size", "group"]
     limit = F.floor(1.5 * F.col("size") + slack).cast("int")
     all_of = Window.partitionBy("key", "template", "group")
     votes = votes.withColumn("group", F.sum(fresh.cast("int")).over(along))
-    votes = votes.withColumn("long", ~F.col("whole") & (F.max("high").over(all_of) - F.min("low").over(all_of) + 1 > limit))
+    votes = votes.withColumn("long", ~F.col("exact") & (F.max("high").over(all_of) - F.min("low").over(all_of) + 1 > limit))
     merged = (
         votes.where(~F.col("long")).groupBy(*named)
         .agg(F.array_distinct(F.flatten(F.collect_list("offsets"))).alias("offsets"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("diagonal").alias("diagonal"))
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("offsets", lambda o: F.sequence(o, o + K - 1)))))
-    spans = merged.withColumn("part", covered / F.col("size")).where(F.when(F.col("whole"), F.col("part") == 1).otherwise(F.col("part") >= part))
+    spans = merged.withColumn("part", covered / F.col("size")).where(F.when(F.col("exact"), F.col("part") == 1).otherwise(F.col("part") >= part))
     spans = spans.select("key", "label", "whole", "diagonal", "low", "high", "part", F.col("part").alias("best"))
     # In a longer span, every hit starts a stretch; a stretch has the first hit of each offset.
     most = max((int(1.5 * len(text.split()) + slack) for _, text in wordings), default=0)

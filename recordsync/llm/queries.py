@@ -162,7 +162,7 @@ with d as (
     select doc_id, template, label, whole, size, pos - off as diagonal, list(distinct off) as offs, min(pos) as low, max(pos) + 2 as high
     from dg join tg using (gram) group by all
 ), steps as (
-    select *, coalesce(whole or diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal) > 3, true)::int as fresh from votes
+    select *, coalesce(whole or size < 10 or diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal) > 3, true)::int as fresh from votes
 ), grouped as (
     select *, sum(fresh) over (partition by doc_id, template order by diagonal) as grp from steps
 ), merged as (
@@ -171,7 +171,7 @@ with d as (
 ), spans as (
     select *, len(list_distinct(flatten([[o, o + 1, o + 2] for o in offs]))) / size as part from merged
 ), counted as (
-    select * from spans where case when whole then part = 1 else part >= 0.7 and high - low + 1 <= 1.5 * size + 3 end
+    select * from spans where case when whole or size < 10 then part = 1 else part >= 0.7 and high - low + 1 <= 1.5 * size + 3 end
 ), found as (
     select doc_id, count(*) filter (whole) as n_base, min(diagonal) filter (whole) as first_word, max(diagonal) filter (whole) as last_word,
         coalesce(array_to_string(list_sort(list(distinct label) filter (whole)), ','), '') as base_labels,

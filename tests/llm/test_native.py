@@ -59,6 +59,11 @@ def brute_wordings(text, slack=3, part=0.7):
             score = 1.0
     for label, wording in licenses.WORDINGS:
         t = wording.split()
+        if len(t) < licenses.SHORT:
+            if any(w[i : i + len(t)] == t for i in range(len(w))):
+                labels.add(label)
+                score = 1.0
+            continue
         hits = sorted((i - o, i, o) for i in range(len(w) - 2) for o in range(len(t) - 2) if w[i : i + 3] == t[o : o + 3])
         chains = []
         for k, h in enumerate(hits):
@@ -91,6 +96,15 @@ def test_repeated_wordings(spark):
             assert [(x.first_word, x.last_word) for x in spans] == [(3 * k, 3 * k + 2) for k in range(n)]
 
 
+def test_a_word_makes_another_license(spark):
+    texts = {
+        "cc-by": "Creative Commons Attribution 4.0 International", "cc-by-nc": "Creative Commons Attribution-NonCommercial 4.0 International", "": "Creative Commons Attribution thing 4.0 International",
+        "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, as published",
+    }
+    out = licenses.scan(spark.createDataFrame([(i, t, "", "", "") for i, t in enumerate(texts.values())], SCHEMA)).collect()
+    assert {r.doc_id: r.labels for r in out} == dict(enumerate(texts))
+
+
 def test_native_plans(spark, sf):
     from recordsync.llm.queries import QUERIES
 
