@@ -36,6 +36,22 @@ def pair_hashes(words: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
+def held_pairs(texts: list[str | None], data: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The different word pairs of each text that a Bloom filter holds, or seems to; texts are taken together, some at a time."""
+    out: list[np.ndarray] = []
+    for at in range(0, len(texts), 256):
+        words = [words_of(t) for t in texts[at : at + 256]]
+        hashes = np.array([h for w in words for h in map(xxhash.xxh64_intdigest, w)], np.uint64)
+        ends = np.cumsum([len(w) for w in words])
+        pairs = pair_hashes(hashes)
+        held = bloom_holds(data, pairs, bits)
+        held[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(hashes))] - 1] = False  # pairs over the end of a text
+        hit = np.flatnonzero(held)
+        cuts = np.searchsorted(hit, ends)
+        out += [np.unique(p) for p in np.split(pairs[hit], cuts[:-1])]
+    return out
+
+
 def _least(n: int, threshold: float) -> int:
     """The least score that counts for an item of ``n`` words. It is 2 at least, so that a word pair is kept."""
     return max(2, math.ceil(threshold * n - 1e-9))
@@ -98,7 +114,7 @@ def _frequencies(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [p[bloom_holds(shared.value, p, bits)] for p in (np.unique(pair_hashes(word_hashes(t))) for t in pdf["text"])]
+            found = held_pairs(pdf["text"].tolist(), shared.value, bits)
             pair, n = np.unique(np.concatenate([np.empty(0, np.int64), *found]), return_counts=True)
             yield pd.DataFrame({"pair": pair, "n": n})
 
@@ -135,7 +151,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> Data
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [p[bloom_holds(shared.value, p, bits)] for p in (np.unique(pair_hashes(word_hashes(t))) for t in pdf["text"])]
+            found = held_pairs(pdf["text"].tolist(), shared.value, bits)
             yield pdf.assign(pairs=found)[[len(p) > 0 for p in found]]
 
     some = texts.where("text is not null").withColumn("key", F.xxhash64("doc_id", "text_key"))
