@@ -55,8 +55,8 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def bloom_bits(hashes: DataFrame, most: int = 28) -> int:
-    """How many bits, as a power of two, a Bloom filter of so many longs takes to let about one in a hundred others through; ``most`` at most."""
-    return min(most, max(16, math.ceil(math.log2(16 * hashes.count() + 1))))
+    """How many bits, as a power of two, a Bloom filter of so many longs takes to let about one in a thousand others through; ``most`` at most."""
+    return min(most, max(16, math.ceil(math.log2(64 * hashes.count() + 1))))
 
 
 def _marks(hashes: np.ndarray, bits: int) -> np.ndarray:
