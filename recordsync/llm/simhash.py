@@ -109,7 +109,8 @@ def links(
 
     radii: ball radius (0 or 1) by segment. All such pairs are found if the radii, each plus one,
     add to more than ``distance`` (the pigeonhole bound), else those with a segment within its radius.
-    heavy: buckets with more fingerprints take the other exact way. verifier: gets the nodes (node) of all candidates and
+    heavy: buckets with more fingerprints take the other exact way; with several words all fingerprints in such a bucket's ball
+    do, and no pair with one in it goes the common way. verifier: gets the nodes (node) of all candidates and
     gives a test of pairs that links have to pass as well. Fingerprints of several words are first told apart by their first
     64 bits, at four standard deviations over what the bound lets expect: of pairs at the bound one in 30,000 is lost.
     """
@@ -118,11 +119,14 @@ def links(
     radius = F.element_at(F.array(*map(F.lit, radii)), F.col("seg") + 1)
     check = F.col("fp")[0].alias("chk")
     table = nodes.select("node", check, F.posexplode("segments").alias("seg", "val"))
-    probe = table.select(
+    full = materialise(table.groupBy("seg", "val").count().where(F.col("count") > heavy).select("seg", "val"))
+    some = bool(full.head(1))
+    # With one word, those in full buckets look up others as well; else full buckets take in all within their ball.
+    owners = table.join(full, ["seg", "val"], "left_anti") if n_words > 1 else table
+    probe = owners.select(
         "node", "chk", "seg",
         F.explode(F.when(radius == 1, _probes(width, 1)).otherwise(_probes(width, 0))).alias("val"),
     )
-    full = materialise(table.groupBy("seg", "val").count().where(F.col("count") > heavy))
     # With one word it is the whole fingerprint; else it spares most needless look-ups of whole ones.
     share = distance / (64 * n_words)
     bound = distance if n_words == 1 else min(64, math.ceil(64 * share + 4 * math.sqrt(64 * share * (1 - share))))
@@ -141,8 +145,13 @@ def links(
     pairs = pairs.distinct()
     if n_words > 1:
         pairs = materialise(close(pairs))
-    members = probe.join(full, ["seg", "val"]).select("node", "seg", "val").distinct()
-    some = bool(full.head(1))
+    if n_words > 1:
+        flips = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.col("val").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), j)))
+        own = F.array(F.col("val"))
+        ball = full.select("seg", F.col("val").alias("centre"), F.explode(F.when(radius == 1, F.concat(own, flips)).otherwise(own)).alias("val"))
+        members = table.join(ball, ["seg", "val"]).select("node", "seg", F.col("centre").alias("val"))
+    else:
+        members = probe.join(full, ["seg", "val"]).select("node", "seg", "val").distinct()
     keep: Callable[[DataFrame], DataFrame] = lambda pairs: pairs
     if verifier:
         there = pairs.select(F.explode(F.array("a", "b")).alias("node"))
@@ -160,7 +169,7 @@ def links(
         )
         least = points.groupBy("point").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
         return pairs.unionByName(points.join(least, "point").where("a <> node").select("a", F.col("node").alias("b")).distinct())
-    # The bucket also holds those that look it up: all of these are compared.
+    # A full bucket holds all within its ball.
     entries = members.select(F.xxhash64("seg", "val").alias("bucket"), "node")
     return pairs.unionByName(linked(entries, lambda pairs: keep(close(pairs))))
 
@@ -181,7 +190,7 @@ def near_groups(
     rows = rows.withColumn("node", node)
     nodes = materialise(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("segments").alias("segments"), F.min("doc_id").alias("first"), F.min("key").alias("key")))
     verifier = (lambda some: _similar(docs, nodes.join(some, "node").select("node", "key"), shingle, similarity)) if similarity else None
-    groups = components(links(nodes, distance, radii, width, verifier=verifier))
+    groups = components(links(nodes, distance, radii, width, 256 if bits == 64 else 64, verifier))
     rooted = nodes.select("node", "first").join(groups, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(rooted.join(named, "root").select("node", "component_id", "root"), "node").select(

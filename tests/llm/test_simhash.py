@@ -102,9 +102,8 @@ def near_copies(n, words=150, changes=2, seed=1):
 
 @pytest.mark.parametrize("heavy", [4, 256])
 def test_deduplicate(spark, heavy, monkeypatch):
-    import functools
-
-    monkeypatch.setattr(simhash, "links", functools.partial(simhash.links, heavy=heavy))
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda nodes, distance, radii, width, _, verifier: links(nodes, distance, radii, width, heavy, verifier))
     rng = np.random.default_rng(3)
     clean = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 40)) for _ in range(100)]
     texts = clean + near_copies(30) + [clean[5], None, ""]
