@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from recordsync.llm._common import materialise, row_key
 
 #: Hash of what no word can be: the end of a text, and what stands before its first word.
 END, START = xxhash.xxh64_intdigest(b" end"), xxhash.xxh64_intdigest(b" start")
-_BASE, _PROBES, _FLUSH, _LEVELS = 1.5, 2, 2_000_000, 64
+_BASE, _PROBES, _FLUSH, _LEVELS = 1.5, 2, 1_000_000, 64
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -158,11 +159,18 @@ def tune(model: Model, cells: np.ndarray, n: np.ndarray, rounds: int = 20) -> No
     model.mixing = np.minimum(model.mixing, 0.99)
 
 
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to 256 rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            yield batch.slice(at, 256)
+
+
 def _counter(shares: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for pdf in batches:
-            for text in pdf["text"]:
+        for batch in _some(batches):
+            for text in batch.column("text").to_pylist():
                 held.append(tokens(text))
                 size += len(held[-1])
                 if size >= _FLUSH:
@@ -174,7 +182,7 @@ def _counter(shares: int):
     return run
 
 
-def _summed(held: list[np.ndarray], shares: int) -> pd.DataFrame:
+def _summed(held: list[np.ndarray], shares: int) -> pa.RecordBatch:
     rows = []
     for order in (1, 2):
         grams, n = np.unique(np.concatenate([w if order == 1 else pairs(w) for w in held]), return_counts=True)
@@ -182,7 +190,8 @@ def _summed(held: list[np.ndarray], shares: int) -> pd.DataFrame:
         for share, (g, c) in enumerate(zip(np.split(grams, cuts), np.split(n, cuts), strict=True)):
             if len(g):
                 rows.append((order, share, g.tobytes(), c.astype(np.uint32).tobytes()))
-    return pd.DataFrame(rows, columns=["order", "share", "grams", "counts"])
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["order", "share", "grams", "counts"])
 
 
 def _join(key: tuple[int, int], pdf: pd.DataFrame) -> pd.DataFrame:
@@ -253,7 +262,7 @@ def train(docs: DataFrame, head: int = 100_000, fill: float = 0.25, slice_bits:
     spark = docs.sparkSession
     shares = max(4, int(np.ceil(np.log2(4 * max(1, docs.select("text").rdd.getNumPartitions())))))
     texts = docs.select(F.col("text").cast("string"))
-    counted = texts.mapInPandas(_counter(shares), "order int, share int, grams binary, counts binary")
+    counted = texts.mapInArrow(_counter(shares), "order int, share int, grams binary, counts binary")
     merged = materialise(
         counted.groupBy("order", "share").applyInPandas(_join, "order int, share int, n long, distinct long, entries long, grams binary, counts binary")
     )
@@ -277,18 +286,17 @@ def train(docs: DataFrame, head: int = 100_000, fill: float = 0.25, slice_bits:
     for number, data in trained.slices():
         pair_filter = spark.sparkContext.broadcast(data)
 
-        def tally(batches: Iterator[pd.DataFrame], number: int = number, pair_filter=pair_filter) -> Iterator[pd.DataFrame]:
+        def tally(batches: Iterator[pa.RecordBatch], number: int = number, pair_filter=pair_filter) -> Iterator[pa.RecordBatch]:
             seen = np.zeros(_LEVELS**3, np.int64)
-            for pdf in batches:
-                for i in range(0, len(pdf), 256):
-                    _, both, ahead, alone = shared.value.levels([tokens(t) for t in pdf["text"].iloc[i : i + 256]], pair_filter.value, number)
-                    cell, n = np.unique((both * _LEVELS + ahead) * _LEVELS + alone, return_counts=True)
-                    seen[cell] += n
+            for batch in _some(batches):
+                _, both, ahead, alone = shared.value.levels([tokens(t) for t in batch.column("text").to_pylist()], pair_filter.value, number)
+                cell, n = np.unique((both * _LEVELS + ahead) * _LEVELS + alone, return_counts=True)
+                seen[cell] += n
             cell = np.flatnonzero(seen)
-            yield pd.DataFrame({"cell": cell, "n": seen[cell]})
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(seen[cell])], ["cell", "n"])
 
         # A bounded number of rows: one for each three levels.
-        for r in texts.mapInPandas(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        for r in texts.mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
             tallies[r["cell"]] = tallies.get(r["cell"], 0) + r["n"]
     cells = np.array(sorted(tallies), np.int64)
     tune(model, np.stack([cells // _LEVELS**2, cells // _LEVELS % _LEVELS, cells % _LEVELS], axis=1), np.array([tallies[c] for c in cells.tolist()], float))
@@ -306,37 +314,33 @@ def score(docs: DataFrame, trained: Trained) -> DataFrame:
     shared = context.broadcast(model)
 
     def reader(number: int, pair_filter):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shared.value
             log_head = m.base(m.head_counts)
-            for pdf in batches:
-                for at in range(0, len(pdf), 256):
-                    part = pdf.iloc[at : at + 256]
-                    texts, keys = [tokens(t) for t in part["text"]], part["key"].to_numpy()
-                    score = m.scores(texts, pair_filter.value, number)
-                    if number:  # all but the score has been told with the first slice
-                        zero = pd.DataFrame({"doc_id": part["doc_id"].array, "key": keys, "score": score, "token": keys})
-                        yield zero.assign(n_tokens=0, n_known=0, base_score=0.0, tf=0, rows=0)[_COLUMNS]
-                        continue
-                    rows, rare = [], []
-                    for i, words in enumerate(texts):
-                        word, times = np.unique(words, return_counts=True)
-                        place = np.minimum(np.searchsorted(m.head, word), max(0, len(m.head) - 1))
-                        known = m.head[place] == word if len(m.head) else np.zeros(len(word), bool)
-                        rows.append((len(words), times[known].sum(), (times[known] * log_head[place[known]]).sum()))
-                        rare.append((np.full((~known).sum(), i), word[~known].view(np.int64), times[~known]))
-                    whole = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score"])
-                    whole = whole.assign(score=score, doc_id=part["doc_id"].array, key=keys, token=keys, tf=0, rows=1)
-                    i, token, tf = (np.concatenate(x) for x in zip(*rare, strict=True))
-                    more = pd.DataFrame({"doc_id": part["doc_id"].array[i], "key": keys[i], "token": token, "tf": tf, "rows": 0})
-                    more = more.assign(n_tokens=0, n_known=0, base_score=0.0, score=0.0)
-                    yield pd.concat([whole, more[whole.columns]])[_COLUMNS]
+            for batch in _some(batches):
+                texts, keys, ids = [tokens(t) for t in batch.column("text").to_pylist()], batch.column("key").to_numpy(), batch.column("doc_id")
+                score, zero = m.scores(texts, pair_filter.value, number), np.zeros(len(texts), np.int64)
+                if number:  # all but the score has been told with the first slice
+                    yield _told(ids, keys, zero, zero, zero * 0.0, score, keys, zero, zero)
+                    continue
+                rows, rare = [], []
+                for i, words in enumerate(texts):
+                    word, times = np.unique(words, return_counts=True)
+                    place = np.minimum(np.searchsorted(m.head, word), max(0, len(m.head) - 1))
+                    known = m.head[place] == word if len(m.head) else np.zeros(len(word), bool)
+                    rows.append((len(words), times[known].sum(), (times[known] * log_head[place[known]]).sum()))
+                    rare.append((np.full((~known).sum(), i), word[~known].view(np.int64), times[~known]))
+                n_tokens, n_known, base = zip(*rows, strict=True)
+                yield _told(ids, keys, np.array(n_tokens), np.array(n_known), np.array(base), score, keys, zero, zero + 1)
+                i, token, tf = (np.concatenate(x) for x in zip(*rare, strict=True))
+                zero = np.zeros(len(i), np.int64)
+                yield _told(ids.take(pa.array(i)), keys[i], zero, zero, zero * 0.0, zero * 0.0, token, tf, zero)
 
         return run
 
     rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), F.col("text").cast("string"))
     schema = "doc_id long, key long, n_tokens long, n_known long, base_score double, score double, token long, tf long, rows long"
-    found = functools.reduce(DataFrame.unionByName, (rows.mapInPandas(reader(k, context.broadcast(data)), schema) for k, data in trained.slices()))
+    found = functools.reduce(DataFrame.unionByName, (rows.mapInArrow(reader(k, context.broadcast(data)), schema) for k, data in trained.slices()))
     c = F.coalesce("c", F.lit(0))
     below = model.n + 0.1 * (model.distinct + 1)
     joined = found.join(counts, (found["token"] == counts["token"]) & (found["tf"] > 0), "left")
@@ -353,4 +357,6 @@ def score(docs: DataFrame, trained: Trained) -> DataFrame:
     )
 
 
-_COLUMNS = ["doc_id", "key", "n_tokens", "n_known", "base_score", "score", "token", "tf", "rows"]
+def _told(ids: pa.Array, *columns: np.ndarray) -> pa.RecordBatch:
+    names = ["doc_id", "key", "n_tokens", "n_known", "base_score", "score", "token", "tf", "rows"]
+    return pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], names)
