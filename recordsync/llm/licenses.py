@@ -59,15 +59,15 @@ def words(text: Column) -> Column:
 
 
 def _grams(w: Column) -> Column:
-    """Place and hash of each run of ``K`` words."""
+    """Hash of each run of ``K`` words."""
     last = F.size(w) - K
     at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(*(F.get(w, i + j) for j in range(K))).alias("hash")))
+    return F.transform(at, lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(K))))
 
 
-def _with_words(grams: Column, w: Column) -> Column:
-    """``grams`` with their words."""
-    return F.transform(grams, lambda g: F.struct(g["pos"].alias("pos"), g["hash"].alias("hash"), F.concat_ws(" ", *(F.get(w, g["pos"] + j) for j in range(K))).alias("words")))
+def _runs(places: Column, grams: Column, w: Column) -> Column:
+    """Place, hash and words of the runs at ``places``."""
+    return F.transform(places, lambda i: F.struct(i.alias("pos"), F.get(grams, i).alias("hash"), F.concat_ws(" ", *(F.get(w, i + j) for j in range(K))).alias("words")))
 
 
 def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, wordings: list[tuple[str, str]] = WORDINGS, part: float = 0.7, slack: int = 3) -> DataFrame:
@@ -83,16 +83,20 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, wordings: li
     spark = docs.sparkSession
     rows = [(i, label, text, i < len(phrases)) for i, (label, text) in enumerate([*phrases, *wordings])]
     template = spark.createDataFrame(rows, "template int, label string, text string, whole boolean").withColumn("w", words(F.col("text")))
-    template = template.select("template", "label", "whole", F.size("w").alias("size"), F.explode(_with_words(_grams(F.col("w")), F.col("w"))).alias("t"))
+    template = template.select("template", "label", "whole", F.size("w").alias("size"), F.col("w"), _grams(F.col("w")).alias("g"))
+    template = template.select("template", "label", "whole", "size", F.explode(_runs(F.transform("g", lambda _, i: i), F.col("g"), F.col("w"))).alias("t"))
     template = template.withColumn("offset", F.col("t.pos")).withColumn("exact", F.col("whole") | (F.col("size") < SHORT))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), words(F.col("text")).alias("w"))
     # The templates are the constants above, or the caller's lists: a broadcast of a few hundred rows.
-    # Most runs of words are in no template: where these are few, only the others become rows.
-    known = {r["hash"] for r in template.select("t.hash").distinct().limit(10_001).collect()}
-    grams = _grams(F.col("w"))
-    grams = F.filter(grams, lambda g: g["hash"].isin(*known)) if 0 < len(known) <= 10_000 else grams
+    # Most texts and most runs of words have nothing of a template: where these are few, only the others become rows.
+    known = sorted(r["hash"] for r in template.select("t.hash").distinct().limit(10_001).collect())
+    places = F.transform("g", lambda _, i: i)
+    if 0 < len(known) <= 10_000:
+        held = F.filter(F.transform("g", lambda h, i: F.when(h.isin(*known), i)), lambda i: i.isNotNull())
+        places = F.when(F.arrays_overlap(F.col("g"), F.array(*map(F.lit, known))), held)
     same = (F.col("gram.hash") == F.col("t.hash")) & (F.col("gram.words") == F.col("t.words"))
-    hits = keyed.select("key", F.explode(_with_words(grams, F.col("w"))).alias("gram")).join(F.broadcast(template), same).withColumn("pos", F.col("gram.pos"))
+    keyed_grams = keyed.select("key", "w", _grams(F.col("w")).alias("g"))
+    hits = keyed_grams.select("key", F.explode(_runs(places, F.col("g"), F.col("w"))).alias("gram")).join(F.broadcast(template), same).withColumn("pos", F.col("gram.pos"))
     votes = hits.groupBy("key", "template", "label", "whole", "exact", "size", (F.col("pos") - F.col("offset")).alias("diagonal")).agg(
         F.collect_set("offset").alias("offsets"), F.min("pos").alias("low"), (F.max("pos") + K - 1).alias("high")
     )
