@@ -195,15 +195,16 @@ def _summed(held: list[np.ndarray], shares: int) -> pa.RecordBatch:
 
 
 def _join(key: tuple[int, int], pdf: pd.DataFrame) -> pd.DataFrame:
-    """All counts of one share, and how many entries they make."""
+    """All counts of one share (levels alone for pairs), and how many entries they make."""
     grams = np.concatenate([np.frombuffer(g, np.uint64) for g in pdf["grams"]])
     counts = np.concatenate([np.frombuffer(c, np.uint32) for c in pdf["counts"]]).astype(np.int64)
     at = np.argsort(grams, kind="stable")
     grams, first = np.unique(grams[at], return_index=True)
     counts = np.add.reduceat(counts[at], first)
+    levels = level(counts)
     return pd.DataFrame({
-        "order": [int(key[0])], "share": [int(key[1])], "n": [counts.sum()], "distinct": [len(grams)], "entries": [level(counts).sum()],
-        "grams": [grams.tobytes()], "counts": [counts.tobytes()],
+        "order": [int(key[0])], "share": [int(key[1])], "n": [counts.sum()], "distinct": [len(grams)], "entries": [levels.sum()],
+        "grams": [grams.tobytes()], "counts": [counts.tobytes() if key[0] == 1 else levels.astype(np.uint8).tobytes()],
     })
 
 
@@ -211,7 +212,8 @@ def _enter_all(shares: int, bits: dict[int, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for order, share, grams, counts in pdf.itertuples(index=False):
-                part = enter(np.frombuffer(grams, np.uint64), level(np.frombuffer(counts, np.int64)), shares, bits[order])
+                levels = level(np.frombuffer(counts, np.int64)) if order == 1 else np.frombuffer(counts, np.uint8)
+                part = enter(np.frombuffer(grams, np.uint64), levels, shares, bits[order])
                 yield pd.DataFrame({"order": [order], "share": [share], "part": [part.tobytes()]})
 
     return run
@@ -273,7 +275,7 @@ def train(docs: DataFrame, head: int = 100_000, fill: float = 0.25, slice_bits:
         raise ValueError(f"the word filter takes 2^{bits[1]} bits; raise slice_bits or fill")
     slices = min(shares, max(0, bits[2] - slice_bits))
     parts = materialise(merged.select("order", "share", "grams", "counts").mapInPandas(_enter_all(shares, bits), "order int, share int, part binary"))
-    counts = merged.where("`order` = 1").select("grams", "counts").mapInPandas(_counts, "token long, c long")
+    counts = materialise(merged.where("`order` = 1").select("grams", "counts").mapInPandas(_counts, "token long, c long"))
     top = counts.orderBy(F.desc("c"), "token").limit(head).toArrow()
     heads = top["token"].to_numpy().astype(np.int64).view(np.uint64)
     at = np.argsort(heads)
@@ -284,12 +286,12 @@ def train(docs: DataFrame, head: int = 100_000, fill: float = 0.25, slice_bits:
     shared = spark.sparkContext.broadcast(model)
     tallies: dict[int, int] = {}
     for number, data in trained.slices():
-        pair_filter = spark.sparkContext.broadcast(data)
+        pair_filter = spark.sparkContext.broadcast(data.tobytes())  # bytes are read without a copy
 
         def tally(batches: Iterator[pa.RecordBatch], number: int = number, pair_filter=pair_filter) -> Iterator[pa.RecordBatch]:
             seen = np.zeros(_LEVELS**3, np.int64)
             for batch in _some(batches):
-                _, both, ahead, alone = shared.value.levels([tokens(t) for t in batch.column("text").to_pylist()], pair_filter.value, number)
+                _, both, ahead, alone = shared.value.levels([tokens(t) for t in batch.column("text").to_pylist()], np.frombuffer(pair_filter.value, np.uint8), number)
                 cell, n = np.unique((both * _LEVELS + ahead) * _LEVELS + alone, return_counts=True)
                 seen[cell] += n
             cell = np.flatnonzero(seen)
@@ -319,7 +321,7 @@ def score(docs: DataFrame, trained: Trained) -> DataFrame:
             log_head = m.base(m.head_counts)
             for batch in _some(batches):
                 texts, keys, ids = [tokens(t) for t in batch.column("text").to_pylist()], batch.column("key").to_numpy(), batch.column("doc_id")
-                score, zero = m.scores(texts, pair_filter.value, number), np.zeros(len(texts), np.int64)
+                score, zero = m.scores(texts, np.frombuffer(pair_filter.value, np.uint8), number), np.zeros(len(texts), np.int64)
                 if number:  # all but the score has been told with the first slice
                     yield _told(ids, keys, zero, zero, zero * 0.0, score, keys, zero, zero)
                     continue
@@ -340,7 +342,7 @@ def score(docs: DataFrame, trained: Trained) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), F.col("text").cast("string"))
     schema = "doc_id long, key long, n_tokens long, n_known long, base_score double, score double, token long, tf long, rows long"
-    found = functools.reduce(DataFrame.unionByName, (rows.mapInArrow(reader(k, context.broadcast(data)), schema) for k, data in trained.slices()))
+    found = functools.reduce(DataFrame.unionByName, (rows.mapInArrow(reader(k, context.broadcast(data.tobytes())), schema) for k, data in trained.slices()))
     c = F.coalesce("c", F.lit(0))
     below = model.n + 0.1 * (model.distinct + 1)
     joined = found.join(counts, (found["token"] == counts["token"]) & (found["tf"] > 0), "left")
