@@ -30,8 +30,8 @@ from recordsync.llm._common import materialise
 CAPACITY = 2048
 #: Pieces and gaps in a range of a sweep.
 RANGE_ROWS = 250_000
-#: Words whose ids a worker keeps, about 150 MB of them; then it starts anew. Characters that are encoded at once.
-_CACHED_WORDS, _CHUNK = 700_000, 4_000_000
+#: Words whose ids a worker keeps, about 110 MB of them; then it starts anew. Characters that are encoded at once.
+_CACHED_WORDS, _CHUNK = 500_000, 2_000_000
 _MARKS = ("♻", "☯", "⚓", "♞", "☂", "|", "~")
 # An ASCII letter and an ASCII mark behind it, but for the apostrophe: no token reaches over that place.
 _BORDER = "([a-z])([!-&(-/:-@\\[-`{-~])"
@@ -128,9 +128,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, step = shared_encoder(tokenizer), 4 * capacity
         for pdf in batches:
-            for at in range(0, len(pdf), 2048):
+            for at in range(0, len(pdf), 1024):
                 rows = []
-                part = pdf.iloc[at : at + 2048]
+                part = pdf.iloc[at : at + 1024]
                 for doc_id, ids in zip(part["doc_id"], encoder.encode([t or "" for t in part["text"]]), strict=True):
                     ids += b"\0\0\0\0"
                     rows += [(doc_id, i // step, i // 4, len(ids[i : i + step]) // 4, zlib.crc32(ids[i : i + step])) for i in range(0, len(ids), step)]
