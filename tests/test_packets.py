@@ -170,5 +170,7 @@ def test_repeated_batch_loses_nothing(spark, tmp_path):
 
 
 def test_log_file(spark, tmp_path):
-    (tmp_path / "log").write_text("Title\n2024-01-01 00:00:01 Add AA\n2024-01-01 00:00:02 Del AA\nbroken\n")
-    assert [(r.op, r.hash) for r in text.read_change_log(spark, str(tmp_path / "log")).orderBy("ts").collect()] == [("Add", "AA"), ("Delete", "AA")]
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a").write_text("Title\n2024-01-01 00:00:01 Add AA\n2024-01-01 00:00:02 Del AA\nbroken\n")
+    (tmp_path / "log" / "b").write_text("2024-01-01 00:00:03 Add BB\n2024-01-01 00:00:04 Add CC\n")
+    assert [(r.op, r.hash) for r in text.read_change_log(spark, str(tmp_path / "log")).orderBy("ts").collect()] == [("Add", "AA"), ("Delete", "AA"), ("Add", "CC")]
