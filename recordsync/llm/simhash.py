@@ -190,7 +190,9 @@ def near_groups(
     rows = rows.withColumn("node", node)
     nodes = materialise(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("segments").alias("segments"), F.min("doc_id").alias("first"), F.min("key").alias("key")))
     verifier = (lambda some: _similar(docs, nodes.join(some, "node").select("node", "key"), shingle, similarity)) if similarity else None
-    groups = components(links(nodes, distance, radii, width, 256 if bits == 64 else 64, verifier))
+    # Buckets that are well over the number of fingerprints that chance deals to each.
+    heavy = 256 if bits == 64 else 8 + 8 * (nodes.count() >> width)
+    groups = components(links(nodes, distance, radii, width, heavy, verifier))
     rooted = nodes.select("node", "first").join(groups, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(rooted.join(named, "root").select("node", "component_id", "root"), "node").select(
