@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordsync.llm import chat, decontam, licenses, linededup, lm, media, packing, quality, simhash, toxicity
+from recordsync.llm import blocks, chat, decontam, licenses, linededup, lm, media, negatives, onebit, packing, quality, simhash, toxicity
 from recordsync.llm._common import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,50 @@ select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, las
     coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score
 from d left join found using (doc_id)
 """
+
+
+@_query
+def op12_onebit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors of the greatest inner product with each twentieth one."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return onebit.nearest(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
+_VECTOR = "embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0"
+ORACLES["op12_onebit_neighbours"] = f"""
+with e as (
+    select row_number() over () as no, vec_id, embedding::double[] as v from embeddings where {_VECTOR} and len([x for x in embedding if x <> 0]) > 0
+), s as (
+    select q.no as own, q.vec_id as query_id, e.no, e.vec_id, list_dot_product(q.v, e.v) as score from e q join e on q.no <> e.no and len(q.v) = len(e.v) where q.vec_id % 20 = 0
+), r as (
+    select *, row_number() over (partition by own order by score desc, vec_id nulls last, no) as rank from s
+)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 20
+"""
+
+
+@_query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each fiftieth vector; a seventh of the labels is moved on by one first."""
+    rows = _table(spark, sf_dir, "embeddings").where(blocks.usable(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    return negatives.mine(rows.select("vec_id", label.alias("label"), whole.alias("v")), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op13_hard_negatives"] = f"""
+with e as (
+    select row_number() over () as no, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor(256 * x::double) for x in embedding] as v
+    from embeddings where label is not null and {_VECTOR}
+), s as (
+    select a.no as anchor, a.vec_id as anchor_id, e.no, e.vec_id, a.label = e.label as same, list_dot_product(a.v, e.v)::bigint as score
+    from e a join e on a.no <> e.no and len(a.v) = len(e.v) where a.vec_id % 50 = 0
+), p as (
+    select *, row_number() over (partition by anchor order by score desc, vec_id nulls last, no) as place from s where same qualify place <= 5
+), n as (
+    select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score,
+        row_number() over (partition by p.anchor, p.no order by n.score desc, n.vec_id nulls last, n.no) as rank
+    from p join s n on n.anchor = p.anchor and not n.same and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score qualify rank <= 3
+)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n
+"""
