@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordsync.llm import blocks, chat, decontam, licenses, linededup, lm, media, negatives, onebit, packing, quality, simhash, toxicity
+from recordsync.llm import align, blocks, chat, decontam, licenses, linededup, lm, media, negatives, onebit, packing, quality, simhash, toxicity
 from recordsync.llm._common import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +229,9 @@ with e as (
 )
 select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n
 """
+
+
+@_query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of the tokens of two vocabularies in every document, weighed by the documents of the pairs."""
+    return align.scores(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
