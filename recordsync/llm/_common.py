@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: ASCII bytes that are neither letters nor digits become spaces, A-Z become a-z.
 WORD_BYTES = bytes(
@@ -41,6 +44,26 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _frame(batch: pa.RecordBatch) -> pd.DataFrame:
+    """A batch as pandas; integers beside nulls stay integers, since floats hold no more than 53 bits of them."""
+    out = {}
+    for name, column in zip(batch.schema.names, batch.columns, strict=True):
+        whole = column.null_count and pa.types.is_integer(column.type)
+        out[name] = pd.array(column.to_pylist(), f"Int{column.type.bit_width}") if whole else column.to_pandas()
+    return pd.DataFrame(out)
+
+
+def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """Like ``df.mapInPandas(run, schema)``, but integers keep all their bits where a batch holds nulls."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pdf in run(map(_frame, rows)):
+            yield pa.RecordBatch.from_pandas(pdf, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(batches, schema)
+
+
 def row_key(text: str = "text") -> F.Column:
     """64-bit key of a row by its id and whole text; rows that agree in both are one document."""
     return F.xxhash64(F.col("doc_id"), F.col(text))

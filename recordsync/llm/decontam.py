@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordsync.llm._common import bloom_bits, bloom_filter, bloom_holds, free_name, materialise, words_of
+from recordsync.llm._common import bloom_bits, bloom_filter, bloom_holds, free_name, map_frames, materialise, words_of
 
 #: Items of fewer words match nothing. Seeds that a document has to share with an item, where the item has as many.
 LEAST_WORDS, SHARED_SEEDS = 3, 3
@@ -144,7 +144,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> Data
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    items = materialise(items.withColumn("item_key", F.xxhash64("item_id", "text")).mapInPandas(_pairs_of, "item_key long, item_id long, text string, n int, pairs array<long>"))
+    items = materialise(map_frames(items.withColumn("item_key", F.xxhash64("item_id", "text")), _pairs_of, "item_key long, item_id long, text string, n int, pairs array<long>"))
     seeds = materialise(_seeds(items, texts, threshold))
     bits = bloom_bits(seeds.select("pair"))
     shared = docs.sparkSession.sparkContext.broadcast(bloom_filter(seeds.select("pair"), bits))
@@ -155,7 +155,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> Data
             yield pdf.assign(pairs=found)[[len(p) > 0 for p in found]]
 
     some = texts.where("text is not null").withColumn("key", F.xxhash64("doc_id", "text_key"))
-    some = materialise(some.mapInPandas(find, "doc_id long, text_key long, text string, key long, pairs array<long>"))
+    some = materialise(map_frames(some, find, "doc_id long, text_key long, text string, key long, pairs array<long>"))
     # Repeated documents only make the sums larger.
     votes = some.select("key", F.explode("pairs").alias("pair")).join(seeds, "pair").groupBy("key", "item_key").agg(F.sum("weight").alias("got"), F.first("needed").alias("needed"))
     candidates = votes.where("got >= needed").select("key", "item_key").join(items.select("item_key", "item_id", F.col("text").alias("item")), "item_key")
@@ -176,7 +176,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> Data
             yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64", "item_id": "Int64"})
 
     both = some.drop("pairs").join(candidates, "key").select("key", "doc_id", "text_key", "text", "item_key", "item_id", "item")
-    return both.mapInPandas(score, "doc_id long, text_key long, item_id long, score double, first_word long, last_word long")
+    return map_frames(both, score, "doc_id long, text_key long, item_id long, score double, first_word long, last_word long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:

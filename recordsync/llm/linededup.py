@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordsync.llm._common import bloom_bits, bloom_filter, bloom_holds, free_name, materialise, row_key
+from recordsync.llm._common import bloom_bits, bloom_filter, bloom_holds, free_name, map_frames, materialise, row_key
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -113,7 +113,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 5, edit_words: int = 10) ->
     through beyond them only costs time.
     """
     whole = docs.select(row_key().alias("key"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    places = materialise(whole.mapInPandas(_lines(edit_words, min_words), "key long, doc_id long, line_no long, h long, k1 long, k2 long, k3 long, k4 long"))
+    places = materialise(map_frames(whole, _lines(edit_words, min_words), "key long, doc_id long, line_no long, h long, k1 long, k2 long, k3 long, k4 long"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "key")
     first = materialise(places.groupBy("h").agg(F.min(order).alias("place"), F.count("*").alias("n")))
     # Lines under edit_words have four zeros here.

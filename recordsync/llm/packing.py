@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordsync.llm._common import materialise
+from recordsync.llm._common import map_frames, materialise
 
 CAPACITY = 2048
 #: Pieces and gaps in a range of a sweep.
@@ -137,7 +137,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_frames(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 #: What comes out of a sweep: a placed piece, a piece without a gap, a gap, a gap too small for its range.

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordsync.llm._common import map_frames
 from recordsync.llm.textstats import N_STATS, stats
 
 
@@ -94,4 +95,4 @@ def rank(docs: DataFrame, ranking: Ranking | None) -> DataFrame:
             s = model.score(x) if model else np.full(len(x), 0.5)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": s, "predicted": (s >= 0.5).astype("int32")})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, score double, predicted int")
+    return map_frames(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, score double, predicted int")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordsync.llm._common import bloom_bits, bloom_filter, bloom_holds, free_name, materialise, row_key
+from recordsync.llm._common import bloom_bits, bloom_filter, bloom_holds, free_name, map_frames, materialise, row_key
 from recordsync.llm.components import components, linked, settled
 
 SEED = 42
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, shingle: int, bits: int = 64, width: int = 32)
             yield pd.DataFrame({"key": pdf["key"], "doc_id": pdf["doc_id"], "fp": fps, "segments": segments})
 
     rows = docs.select(row_key().alias("key"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(run, "key long, doc_id long, fp array<long>, segments array<long>")
+    return map_frames(rows, run, "key long, doc_id long, fp array<long>, segments array<long>")
 
 
 def _probes(width: int, radius: int) -> F.Column:

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,14 +168,15 @@ def score(docs: DataFrame, chain: Chain | None, prefix: str = "p_", names: list[
     kept = [f for f in docs.schema.fields if f.name not in added]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{a}` double" for a in added)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Columns of the caller pass through as they are.
         model = shared.value
         cache: dict[bytes, int] = {}
         table = np.empty((0, len(model.names)), np.float32)
         for batch in batches:
             for start in range(0, len(batch), 256):
-                pdf = batch.iloc[start : start + 256][[f.name for f in kept]].copy()
-                texts = batch["text"].iloc[start : start + 256].tolist()
+                part = batch.slice(start, 256)
+                texts = part["text"].to_pylist()
                 if len(cache) > 300_000:
                     cache, table = {}, table[:0]
                 sets = [list(set(words_of(t))) for t in texts]
@@ -189,11 +191,10 @@ def score(docs: DataFrame, chain: Chain | None, prefix: str = "p_", names: list[
                 for k in range(len(model.names)):
                     top = np.array([_top_features(x[:, k]) for x in found]).reshape(-1, _TOP + 3)
                     p[:, k] = _probability(model.models[k], np.hstack([dense, top, p[:, :k]]))
-                for k, a in enumerate(added):
-                    pdf[a] = p[:, k]
-                yield pdf
+                columns = [part[f.name] for f in kept] + [pa.array(p[:, k]) for k in range(len(added))]
+                yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in kept), *added])
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def toxic_scores(docs: DataFrame, documents: DataFrame, labels: DataFrame, max_train: int = 12_000, prefix: str = "p_") -> DataFrame:
