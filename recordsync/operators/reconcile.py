@@ -110,7 +110,12 @@ def changes(log: DataFrame, present: DataFrame, depths: int = 4, width: int = 2)
     last = last_events(log).select("hash", "op")
     added = last.where("op = 'Add'").join(present.select("hash"), "hash", "left_anti").select("hash", F.lit(1).alias("d"))
     gone = last.where("op = 'Delete'").join(present.select("hash"), "hash", "left_semi").select("hash", F.lit(-1).alias("d"))
-    level = added.unionByName(gone).select("d", F.xxhash64("hash").alias("x"), bit_prefix(F.col("hash"), max(1, depths * width)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(depths))).alias("depth"))
+    return summary_changes(added.unionByName(gone), depths, width)
+
+
+def summary_changes(signed: DataFrame, depths: int = 4, width: int = 2) -> DataFrame:
+    """``(depth, prefix, n, check)``: what elements (hash, d: 1 for one that comes, -1 for one that goes) add to a summary."""
+    level = signed.select("d", F.xxhash64("hash").alias("x"), bit_prefix(F.col("hash"), max(1, depths * width)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(depths))).alias("depth"))
     delta = level.select("depth", F.expr(f"substring(b, 1, depth * {width})").alias("prefix"), F.col("d").cast("long").alias("n"), F.col("x").alias("check"))
     return delta.groupBy("depth", "prefix").agg(F.sum("n").alias("n"), F.bit_xor("check").alias("check"))
 

@@ -104,9 +104,11 @@ def merged_packets(records: DataFrame) -> DataFrame:
     A signature belongs to the packet before it that is none. Equal parents are one, with the distinct signatures of all; the
     key comes first, then user ids and attributes, then subkeys, each by body. A record must begin with what is no signature.
     """
-    parent = lambda p, i: F.element_at(F.filter(F.slice("packets", F.lit(1), i + 1), lambda x: x["tag"] != 2), -1)
-    pairs = F.transform("packets", lambda p, i: F.struct(parent(p, i).alias("parent"), F.when(p["tag"] == 2, p).alias("child")))
-    each = records.select("identity", F.explode(pairs).alias("pair")).select("identity", "pair.parent", "pair.child").distinct()
+    # The last packet that is no signature, carried along each record in one pass.
+    along = Window.partitionBy("_rec").orderBy("_pos")
+    rows = records.select("identity", "packets", F.monotonically_increasing_id().alias("_rec")).select("identity", "_rec", F.posexplode("packets").alias("_pos", "p"))
+    parent = F.last(F.when(F.col("p.tag") != 2, F.col("p")), ignorenulls=True).over(along)
+    each = rows.select("identity", parent.alias("parent"), F.when(F.col("p.tag") == 2, F.col("p")).alias("child")).distinct()
     groups = each.groupBy("identity", "parent").agg(F.array_sort(F.collect_list("child")).alias("children"))
     rank = F.when(F.col("parent.tag") == 6, 0).when(F.col("parent.tag") == 14, 2).otherwise(1)
     row = F.struct(rank.alias("rank"), F.col("parent.tag").alias("tag"), F.col("parent.body").alias("body"), "parent", "children")

@@ -1,6 +1,7 @@
 """Binary dumps, armored text and the spool, on packets made by hand."""
 
 import hashlib
+import shutil
 import struct
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recordsync.functions.ids import fingerprint_v3, fingerprint_v4, pretty_fingerprint
 from recordsync.operators import records as rec
-from recordsync.operators import sinks
+from recordsync.operators import sinks, store
 from recordsync.sources import packets as pk
 from recordsync.sources import text
 from recordsync.streaming import log as st
@@ -139,11 +140,11 @@ def test_spool(spark, tmp_path):
         (spool / name).write_text(body)
     where = [str(tmp_path / x) for x in ("table", "rejects", "checkpoint")]
     st.ingest_spool(spark, str(spool), *where)
-    assert spark.read.parquet(where[0] + "/batch=*").count() == 1 and spark.read.parquet(where[1] + "/batch=*").count() == 1
+    assert st.stored_records(spark, where[0]).count() == 1 and spark.read.parquet(where[1] + "/batch=*").count() == 1
     for name, body in (("5.ready", blocks["b"]), ("6.ready", blocks["a"])):
         (spool / name).write_text(body)
     st.ingest_spool(spark, str(spool), *where, outbox=str(tmp_path / "outbox"))
-    assert spark.read.parquet(where[0] + "/batch=*").count() == 2
+    assert st.stored_records(spark, where[0]).count() == 2
     assert spark.read.parquet(str(tmp_path / "outbox/batch=*")).count() == 1
     # A record of a known identity with another user id and signature is merged with what is stored.
     more = old(6, KEY + bytes([1])) + old(13, b"bb") + old(2, signature(0x10)) + old(13, b"b") + old(2, signature())
@@ -166,7 +167,30 @@ def test_repeated_batch_loses_nothing(spark, tmp_path):
     for f in (tmp_path / "checkpoint" / "commits").glob("*1*"):
         f.unlink()
     st.ingest_spool(spark, str(spool), *where)
-    assert st.stored_records(spark, where[0]).count() == 2 and spark.read.parquet(where[0] + "/batch=*").count() == 2
+    assert st.stored_records(spark, where[0]).count() == 2 and store.current(spark, where[0]) == 2
+    # Nor does one that broke off before the store's own commit.
+    shutil.rmtree(f"{where[0]}/commits/v=2")
+    assert st.stored_records(spark, where[0]).count() == 1
+    for f in (tmp_path / "checkpoint" / "commits").glob("*1*"):
+        f.unlink()
+    st.ingest_spool(spark, str(spool), *where)
+    assert st.stored_records(spark, where[0]).count() == 2 and store.current(spark, where[0]) == 2
+
+
+def test_canonical_form_of_a_long_record(spark):
+    """Thousands of packets in one record: each signature goes to the packet before it that is none."""
+    packet = lambda tag, body: (tag, len(body), bytearray(body))
+    packets = [packet(6, b"key")]
+    for i in range(3000):
+        packets += [packet(13, b"user %d" % (i % 1000)), packet(2, b"sig %d" % i), packet(2, b"all")]
+    df = spark.createDataFrame([("x", packets), ("y", packets[:1])], "identity string, packets array<struct<tag:int,length:bigint,body:binary>>")
+    got = {r.identity: [(p.tag, bytes(p.body)) for p in r.packets] for r in rec.merged_packets(df).collect()}
+    want = [(6, b"key")]
+    for name in sorted(b"user %d" % i for i in range(1000)):
+        i = int(name[5:])
+        # By tag, length and body.
+        want += [(13, name), *((2, b) for b in sorted({b"sig %d" % j for j in (i, i + 1000, i + 2000)} | {b"all"}, key=lambda b: (len(b), b)))]
+    assert got["x"] == want and got["y"] == [(6, b"key")]
 
 
 def test_log_file(spark, tmp_path):
