@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordsync.llm._common import materialise
@@ -39,23 +39,26 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
-def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column] | None = None) -> DataFrame:
     """Links ``(a, b)``, a < b, among nodes that share a bucket of ``entries`` (bucket, node): enough of those that
     ``verify`` keeps of pairs (a, b) to connect all that they connect.
 
     Each bucket's nodes are first compared with its least, as far as :func:`settled` needs it; then those that are not
-    connected by then with one another, but for pairs within one component.
+    connected by then with one another, but for pairs within one component. near: of two aliases of ``entries``, whose further columns it may
+    use, the condition that all pairs that ``verify`` keeps fulfil; it is a part of the join, so other pairs are never rows.
     """
+    extra = [c for c in entries.columns if c not in ("bucket", "node")]
     least = entries.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").drop("b")
-    shared = materialise(entries.join(least, "bucket").select("bucket", "node", "a").distinct())
+    shared = materialise(entries.join(least, "bucket").select("bucket", "node", "a", *extra).distinct())
     star = shared.where("node <> a").select("a", F.col("node").alias("b")).distinct()
     links = settled(star, verify)
     roots = materialise(components(links))
-    rooted = shared.join(roots, "node", "left").select("bucket", "node", "a", F.coalesce("root", "node").alias("root"))
+    rooted = shared.join(roots, "node", "left").select("bucket", "node", "a", F.coalesce("root", "node").alias("root"), *extra)
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("bucket")
-    left = materialise(rooted.join(mixed, "bucket").where("node <> a").select("bucket", "node", "root"))
+    left = materialise(rooted.join(mixed, "bucket").where("node <> a").select("bucket", "node", "root", *extra))
     x, y = left.alias("x"), left.alias("y")
-    more = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")))
+    same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root"))
+    more = x.join(y, same & near("x", "y") if near else same)
     more = more.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     return materialise(links.unionByName(verify(more)))
 

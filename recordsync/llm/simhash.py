@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordsync.llm._common import bloom_bits, bloom_filter, bloom_holds, free_name, map_frames, materialise, row_key
@@ -136,11 +136,13 @@ def links(
         F.least("p.node", "t.node").alias("a"), F.greatest("p.node", "t.node").alias("b")
     )
 
+    def near(x: str, y: str) -> Column:
+        return sum(F.bit_count(F.col(f"{x}.fp")[k].bitwiseXOR(F.col(f"{y}.fp")[k])) for k in range(n_words)) <= distance
+
     def close(pairs: DataFrame) -> DataFrame:
         fp = nodes.select("node", "fp")
-        apart = sum(F.bit_count(F.col("x.fp")[k].bitwiseXOR(F.col("y.fp")[k])) for k in range(n_words))
         both = pairs.join(fp.alias("x"), F.col("a") == F.col("x.node")).join(fp.alias("y"), F.col("b") == F.col("y.node"))
-        return both.where(apart <= distance).select("a", "b")
+        return both.where(near("x", "y")).select("a", "b")
 
     pairs = pairs.distinct()
     if n_words > 1:
@@ -170,8 +172,8 @@ def links(
         least = points.groupBy("point").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
         return pairs.unionByName(points.join(least, "point").where("a <> node").select("a", F.col("node").alias("b")).distinct())
     # A full bucket holds all within its ball.
-    entries = members.select(F.xxhash64("seg", "val").alias("bucket"), "node")
-    return pairs.unionByName(linked(entries, lambda pairs: keep(close(pairs))))
+    entries = members.select(F.xxhash64("seg", "val").alias("bucket"), "node").join(nodes.select("node", "fp"), "node")
+    return pairs.unionByName(linked(entries, lambda pairs: keep(close(pairs)), near))
 
 
 def near_groups(
