@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 WORD = "[a-z0-9À-ÿ]+"
 
 
-def word_set(text: Column, mode: str = "unicode") -> Column:
-    """Sorted set of the lower-cased words of a text; null for null.
+def word_set(text: Column, mode: str = "unicode", ordered: bool = True) -> Column:
+    """Set of the lower-cased words of a text, sorted if ``ordered``; null for null.
 
     mode: ``unicode`` reads characters; ``latin1_bytes`` reads the UTF-8 bytes as Latin-1 characters,
     as byte-oriented indexes do, which cuts words at continuation bytes.
@@ -19,7 +19,8 @@ def word_set(text: Column, mode: str = "unicode") -> Column:
         text = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
     elif mode != "unicode":
         raise ValueError(f"no such mode: {mode}")
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+    return F.array_sort(words) if ordered else words
 
 
 def strip(text: Column) -> Column:

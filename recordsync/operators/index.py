@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordsync.functions.ids import big_endian, content_element, fingerprint_v4, other_ids
 from recordsync.functions.text import word_set
 from recordsync.operators.order import numbered
 from recordsync.operators.records import packet_digest
+from recordsync.sources.shared import stored
 
 
 def metadata(records: DataFrame, text: str = "text") -> DataFrame:
@@ -33,11 +34,15 @@ def packet_metadata(records: DataFrame) -> DataFrame:
     return rows.withColumn("ctime", F.timestamp_seconds(big_endian(F.substring(key["body"], 2, 4))))
 
 
-def postings(table: DataFrame, item: Column, name: str, key: str = "hash", only: Sequence[str] | None = None) -> DataFrame:
-    """Distinct pairs ``(name, key)`` of the items of an array column, or those among ``only``, and the record's key."""
+def postings(table: DataFrame, item: Column, name: str, key: str = "hash", only: Sequence[str] | None = None, unique: bool = False) -> DataFrame:
+    """Distinct pairs ``(name, key)`` of the items of an array column, or those among ``only``, and the record's key.
+
+    unique: no key repeats and the arrays are sets, so pairs are distinct as they come and none is shuffled.
+    """
     if only is not None:
         item = F.array_intersect(item, F.array(*map(F.lit, only)).cast("array<string>"))
-    return table.select(F.explode(item).alias(name), key).distinct()
+    pairs = table.select(F.explode(item).alias(name), key)
+    return pairs if unique else pairs.distinct()
 
 
 def build(table: DataFrame, first_by: Sequence[str], key: str = "hash", words: str = "words") -> dict[str, DataFrame]:
@@ -88,6 +93,46 @@ def search_status(words: DataFrame, wanted: Sequence[str], rare_cap: int = 20_00
     return both.select("rarest", "matches", status.alias("status"))
 
 
+def search_many(words: DataFrame, searches: DataFrame, rare_cap: int = 20_000, cap: int = 500, key: str = "hash", beyond: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Many searches in one plan: ``(search, rarest, matches, status)`` of each of ``searches`` (search, words), and ``(search, key)`` of what those with status ok find.
+
+    Postings are read once, for the words asked for. A search starts from the records of its rarest word; of these the ones stay that hold all others.
+    Searches whose rarest word stands in more than ``rare_cap`` records go no further, and have null matches, but with ``beyond``. See
+    :func:`search_status` for the statuses; searches are told apart by search, of equal ones the words count together.
+    """
+    asked = stored(searches.select("search", F.explode("words").alias("word")).distinct(), "asked")
+    held = stored(words.select("word", key).join(asked.select("word").distinct(), "word", "left_semi").distinct(), "held")
+    sized = asked.join(document_frequency(held), "word", "left").select("search", "word", F.coalesce("n", F.lit(0)).alias("n"))
+    each = Window.partitionBy("search")
+    ranked = sized.withColumn("place", F.row_number().over(each.orderBy("n", "word"))).withColumn("rarest", F.min("n").over(each)).withColumn("k", F.count("*").over(each))
+    ranked = stored(ranked, "ranked")
+    go = ranked.where("rarest > 0") if beyond else ranked.where(F.col("rarest").between(1, rare_cap))
+    start = go.where("place = 1").join(held, "word").select("search", key, "k")
+    rest = go.where("place > 1").select("search", "word")
+    # What is left of a search holds its other words, one row for each.
+    others = start.where("k > 1").join(rest, "search").join(held, ["word", key], "left_semi").groupBy("search", key, "k").agg(F.count("*").alias("n")).where("n = k - 1")
+    hits = stored(start.where("k = 1").select("search", key).unionByName(others.select("search", key)), "hits")
+    n = hits.groupBy("search").agg(F.count("*").alias("matches"))
+    named = searches.select("search").distinct().join(ranked.where("place = 1").select("search", "rarest"), "search", "left").join(n, "search", "left")
+    rarest, wide = F.coalesce("rarest", F.lit(0)), F.col("rarest") > rare_cap
+    matches = F.coalesce("matches", F.lit(0)) if beyond else F.when(wide, F.lit(None)).otherwise(F.coalesce("matches", F.lit(0)))
+    state = F.when(wide, "not specific enough").when(F.col("matches") >= cap, "too many").otherwise("ok")
+    status = named.select("search", rarest.cast("long").alias("rarest"), matches.cast("long").alias("matches"), state.alias("status"))
+    return status, hits.join(status.where("status = 'ok'").select("search"), "search", "left_semi")
+
+
+def write_buckets(rows: DataFrame, name: str, key: str, folder: str, buckets: int = 200) -> DataFrame:
+    """Write ``rows`` as a table ``name`` in ``folder``, in ``buckets`` by ``key`` and sorted within them, with Bloom filters of the key in its files.
+
+    Joins on the key then leave this table where it lies: only what is asked is shuffled, or sent to all where it is small. Point filters read the row
+    groups that may hold the value.
+    """
+    out = rows.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
+    out = out.option(f"parquet.bloom.filter.enabled#{key}", "true").option("path", folder).mode("overwrite")
+    out.saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 def guarded_search(words: DataFrame, records: DataFrame, wanted: Sequence[str], rare_cap: int = 20_000, cap: int = 500, key: str = "hash") -> DataFrame:
     """The matching records, each with ``status`` ok; where :func:`search_status` says otherwise, or nothing matches, one row of nulls with the status."""
     status = search_status(words, wanted, rare_cap, cap, key).select("status")
@@ -150,8 +195,15 @@ def enrich(rows: DataFrame, issuer: str, records: DataFrame, id_col: str, name:
 
 def audit_postings(words: DataFrame, records: DataFrame, items: str = "words", key: str = "hash") -> DataFrame:
     """``(word, key, problem)``: pairs that should be there but are ``missing``, and ``dangling`` ones that should not."""
-    right = records.select(F.explode(items).alias("word"), key, F.lit(1).alias("_side"))
-    both = right.unionByName(words.select("word", key, F.lit(2).alias("_side"))).groupBy("word", key).agg(F.min("_side").alias("_a"), F.max("_side").alias("_b"))
+    # The number and the combined hash of a key's words on either side tell which keys differ: a row for each, not for each pair.
+    mixed = F.aggregate(F.array_distinct(items), F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(F.xxhash64(w)))
+    size = F.size(F.array_distinct(items))
+    own = records.where(F.size(items) > 0).groupBy(key).agg(F.min(F.struct(size, mixed)).alias("_a"), F.max(F.struct(size, mixed)).alias("_b"))
+    held = words.groupBy(key).agg(F.struct(F.count("*").cast("int"), F.bit_xor(F.xxhash64("word"))).alias("_h"))
+    keys = stored(own.join(held, key, "full_outer").where("not (_a <=> _b and _a <=> _h)").select(key), "keys")
+    right = records.join(keys, key, "left_semi").select(F.explode(items).alias("word"), key, F.lit(1).alias("_side"))
+    left = words.select("word", key).join(keys, key, "left_semi")
+    both = right.unionByName(left.select("word", key, F.lit(2).alias("_side"))).groupBy("word", key).agg(F.min("_side").alias("_a"), F.max("_side").alias("_b"))
     return both.where("_a = _b").select("word", key, F.when(F.col("_a") == 1, "missing").otherwise("dangling").alias("problem"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from recordsync.functions.ids import bit_prefix
 from recordsync.operators import buckets
 from recordsync.operators.buckets import PRIME
+from recordsync.operators.order import numbered
 from recordsync.sources.shared import stored
 
 
@@ -90,6 +91,27 @@ def fetch_plan(here: DataFrame, there: DataFrame, size: int = 100, digest: str =
     return bundles(keyed, "_k", "hash", size=size).drop("_k")
 
 
+def peer_plan(here: DataFrame, peers: DataFrame, size: int = 100) -> DataFrame:
+    """``(hash, peer, bundle)``: what is missing ``here`` (hash) and held by any of ``peers`` (peer, hash), each hash to be fetched from one holder.
+
+    One aggregation makes a bitmap of holders for each hash. Hashes with the same holders are dealt to them in turn, in order of hash, so
+    that their shares differ by one at most; a peer's hashes go in bundles of ``size`` by ascending hash. At most 62 peers.
+    """
+    names = sorted(r["peer"] for r in peers.select("peer").distinct().limit(63).collect())
+    if len(names) > 62:
+        raise ValueError("more than 62 peers")
+    bit = F.element_at(F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, 1 << i))), F.col("peer")) if names else F.lit(0)
+    all_rows = peers.select("hash", bit.cast("long").alias("_bit")).unionByName(here.select("hash", F.lit(1 << 62).alias("_bit")))
+    missing = all_rows.groupBy("hash").agg(F.bit_or("_bit").alias("_held")).where(F.col("_held") < 1 << 62)
+    dealt = stored(numbered(missing, "_held", "hash", name="_no"), "missing")
+    first = dealt.groupBy("_held").agg(F.min("_no").alias("_first"))  # a row for each set of holders
+    holders = F.array_compact(F.array(*(F.when(F.col("_held").bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names)))) if names else F.array(F.lit(""))
+    chosen = F.get(holders, ((F.col("_no") - F.col("_first")) % F.size(holders)).cast("int"))
+    owned = stored(numbered(dealt.join(first, "_held").select("hash", chosen.alias("peer")), "peer", "hash", name="_no"), "owned")
+    start = owned.groupBy("peer").agg(F.min("_no").alias("_first"))
+    return owned.join(start, "peer").select("hash", "peer", F.floor((F.col("_no") - F.col("_first")) / size).alias("bundle"))
+
+
 def catch_up(summary: DataFrame, log: DataFrame, present: DataFrame, depths: int = 4, width: int = 2) -> DataFrame:
     """``summary`` (depth, prefix, n, check) after the events of ``log``, given the elements ``present`` before them."""
     return summed(summary.select("depth", "prefix", "n", "check").unionByName(changes(log, present, depths, width)))

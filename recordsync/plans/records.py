@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recordsync.functions import times
 from recordsync.functions.codes import label
 from recordsync.functions.ids import content_element
+from recordsync.operators.order import order_statistic
 from recordsync.operators import records as rec
 from recordsync.plans.registry import query
 from recordsync.plans.tables import table
@@ -253,11 +254,19 @@ def mr_head(spark, sf):
     from (select * from lineitem) group by 1""",
 )
 def reductions(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
-        F.avg("l_quantity").alias("mean"), F.expr("percentile_disc(0.5) within group (order by l_quantity)").alias("median"),
+    lines = table(spark, sf, "lineitem")
+    middle = order_statistic(lines, "l_returnflag", "l_quantity").withColumnRenamed("l_quantity", "median")
+    return lines.groupBy("l_returnflag").agg(
+        F.avg("l_quantity").alias("mean"),
         F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), F.count_if(F.col("l_discount") > 0.05).alias("n_if"),
         F.every(F.col("l_tax") < 0.08).alias("every_one"), (F.count("l_partkey") > F.count_distinct("l_partkey")).alias("has_dups"),
-    )
+    ).join(middle, "l_returnflag")
+
+
+@query("median_prices", "select l_suppkey, quantile_disc(l_extendedprice, 0.5) as median from lineitem group by 1")
+def median_prices(spark, sf):
+    """The exact median of each supplier's prices, by rounds of histograms."""
+    return order_statistic(table(spark, sf, "lineitem"), "l_suppkey", "l_extendedprice").withColumnRenamed("l_extendedprice", "median")
 
 
 @query("distinct_values", "select l_orderkey, array_to_string(list_sort(list(distinct l_suppkey)), ',') as values from lineitem group by 1")

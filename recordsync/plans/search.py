@@ -19,7 +19,9 @@ def _records(spark, sf):
 
 
 def _postings(spark, sf, only=None):
-    return index.postings(_records(spark, sf), F.col("words"), "word", only=only)
+    """Pairs of word and hash; repeated texts go first, in a shuffle of texts, so that no pair is shuffled."""
+    docs = table(spark, sf, "documents").select(content_element(F.col("text")).alias("hash"), "text").dropDuplicates(["hash"])
+    return index.postings(docs, word_set(F.col("text"), ordered=False), "word", only=only, unique=True)
 
 
 @query(
@@ -82,9 +84,34 @@ def record_metadata(spark, sf):
 def search_capped(spark, sf):
     """Status of four searches with caps of 400 and 20."""
     words = _postings(spark, sf, ["the", "and", "loser", "nosuchword", "scum", "trash", "idiot"])
-    asked = [["the", "and"], ["loser", "the"], ["nosuchword", "the"], ["scum", "trash", "idiot"]]
-    out = [index.search_status(words, w, 400, 20).select(F.lit(no).alias("no"), "*") for no, w in enumerate(asked)]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    asked = spark.createDataFrame([(0, ["the", "and"]), (1, ["loser", "the"]), (2, ["nosuchword", "the"]), (3, ["scum", "trash", "idiot"])], "search int, words array<string>")
+    return index.search_many(words, asked, 400, 20, beyond=True)[0].withColumnRenamed("search", "no")
+
+
+_MANY = f"""p as ({_POSTINGS}), q as (select doc_id as search, unnest(list_sort({_WORDS})[1:3]) as word from documents where doc_id % 100 = 0),
+    n as (select search, q.word, (select count(*) from p where p.word = q.word) as n, count(*) over (partition by search) as k from q),
+    hits as (select search, hash from n join p using (word) group by search, hash, k having count(*) = k),
+    m as (select search, count(*) as matches from hits group by search),
+    s as (select search, min(n)::bigint as rarest, coalesce(any_value(matches), 0)::bigint as matches,
+        case when min(n) > 20000 then 'not specific enough' when coalesce(any_value(matches), 0) >= 500 then 'too many' else 'ok' end as status from n left join m using (search) group by search)"""
+
+
+def _many(spark, sf):
+    """Searches for the first three words, in order, of all documents whose id is divisible by 100."""
+    docs = table(spark, sf, "documents").where("doc_id % 100 = 0")
+    return index.search_many(_postings(spark, sf), docs.select(F.col("doc_id").alias("search"), F.slice(word_set(F.col("text")), 1, 3).alias("words")))
+
+
+@query("search_many", f"with {_MANY} select search, rarest, case when status <> 'not specific enough' then matches end as matches, status from s")
+def search_many(spark, sf):
+    """Status of many searches in one plan."""
+    return _many(spark, sf)[0]
+
+
+@query("search_many_hits", f"with {_MANY} select search, hash from hits where search in (select search from s where status = 'ok')")
+def search_many_hits(spark, sf):
+    """What many searches find, but for those that find too much."""
+    return _many(spark, sf)[1]
 
 
 @query(
@@ -118,6 +145,17 @@ def multi_get(spark, sf):
     return index.multi_get(docs, _request(spark, sf)).select("doc_id", "hash")
 
 
+@query("bucketed_get", f"select doc_id, upper(md5(text)) as hash from documents where upper(md5(text)) in ({_REQUEST})")
+def bucketed_get(spark, sf):
+    """Look-ups by hash in a table that was hashed, bucketed and sorted once."""
+    from recordsync.sources.shared import shared_folder
+
+    docs = table(spark, sf, "documents").select("doc_id", content_element(F.col("text")).alias("hash"))
+    folder = shared_folder(spark, "bucketed")
+    held = index.write_buckets(docs, folder.rpartition("/")[2].replace("-", "_"), "hash", folder, 16)
+    return index.multi_get(held, _request(spark, sf)).select("doc_id", "hash")
+
+
 @query("multi_get_absent", f"select distinct hash from ({_REQUEST}) where hash not in (select upper(md5(text)) from documents)")
 def multi_get_absent(spark, sf):
     docs = table(spark, sf, "documents").select(content_element(F.col("text")).alias("hash"))

@@ -151,6 +151,22 @@ def fetch_plan(spark, sf):
     return rc.fetch_plan(*_sides(spark, sf), size=20)
 
 
+@query(
+    "peer_plan",
+    """with p as (select distinct 'a' as peer, upper(md5(text)) as hash from documents where doc_id % 7 <> 0 union select distinct 'b', upper(md5(text)) from documents where doc_id % 11 <> 0
+        union select distinct 'c', upper(md5(text)) from documents where doc_id % 5 = 0),
+    m as (select hash, list_sort(list(peer)) as holders from p where hash not in (select upper(md5(text)) from documents where doc_id % 3 = 0) group by hash),
+    d as (select hash, holders[((row_number() over (partition by holders order by hash) - 1) % len(holders) + 1)::int] as peer from m)
+    select hash, peer, ((row_number() over (partition by peer order by hash) - 1) // 20)::bigint as bundle from d""",
+)
+def peer_plan(spark, sf):
+    """What three peers hold and a third snapshot lacks: each hash from one of its holders, in bundles of 20."""
+    docs = _docs(spark, sf)
+    peers = docs.where("doc_id % 7 <> 0").select(F.lit("a").alias("peer"), "hash").unionByName(docs.where("doc_id % 11 <> 0").select(F.lit("b").alias("peer"), "hash"))
+    peers = peers.unionByName(docs.where("doc_id % 5 = 0").select(F.lit("c").alias("peer"), "hash"))
+    return rc.peer_plan(docs.where("doc_id % 3 = 0").select("hash"), peers, 20)
+
+
 @query("fetch_and_merge", "select distinct upper(md5(text)) as hash from documents where doc_id % 7 <> 0 or doc_id % 11 <> 0")
 def fetch_and_merge(spark, sf):
     """Snapshot A after what it lacks has been fetched from B by bundles."""
