@@ -102,6 +102,16 @@ def set_digest(rows: DataFrame, group: str, item: Column) -> DataFrame:
     return parts.groupBy(group).agg(F.upper(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_part", "_d"))), lambda p: p["_d"]), ""))).alias("digest"))
 
 
+def exact_set_digest(rows: DataFrame, group: str, item: Column) -> DataFrame:
+    """``(group, digest)``: the MD5 of each group's distinct items, texts, in order of their bytes, each with its length in four bytes, highest first, before it.
+
+    The digest as it is exchanged between hosts; a group has to fit in a row, so large ones take :func:`set_digest`.
+    """
+    each = rows.select(group, F.hex(F.encode(item, "UTF-8")).alias("_h")).distinct()
+    framed = F.transform(F.array_sort(F.collect_list("_h")), lambda h: F.concat(F.lpad(F.hex((F.length(h) / 2).cast("long")), 8, "0"), h))
+    return each.groupBy(group).agg(F.upper(F.md5(F.unhex(F.array_join(framed, "")))).alias("digest"))
+
+
 def inconsistent(bucket_counts: DataFrame, width: int = 2) -> DataFrame:
     """``(depth, prefix, n, below)``: buckets that do not hold as many elements as the buckets below them."""
     last = bucket_counts.agg(F.max("depth").alias("_last"))

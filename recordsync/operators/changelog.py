@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from recordsync.functions.times import UNITS, next_boundary, second_text
 from recordsync.operators.order import spread
+from recordsync.sources.shared import stored
 
 
 def after(log: DataFrame, ts: Column, n: int = 5000) -> DataFrame:
@@ -71,19 +72,31 @@ def cancel_opposites(log: DataFrame) -> DataFrame:
     return rows.where("_next is null and _no % 2 = 1").select(log.columns)
 
 
+def hour_counts(log: DataFrame) -> DataFrame:
+    """``(upper, a, d, oldest, last)``: adds and deletes of each hour (lower, upper] of UTC, its first and last event; all in microseconds. A row for each hour with events."""
+    us, hour = F.unix_micros("ts"), UNITS["hour"] * 1_000_000
+    counts = (F.count_if(F.col("op") == "Add").alias("a"), F.count_if(F.col("op") == "Delete").alias("d"))
+    return log.groupBy((F.ceil(us / hour) * hour).alias("upper")).agg(*counts, F.min(us).alias("oldest"), F.max(us).alias("last"))
+
+
 def histogram(log: DataFrame, unit: str) -> DataFrame:
     """``(bin, lower, upper, num_adds, num_dels, num_new, num_updated)`` by day or hour, bin 0 the newest.
 
     Bins hold (lower, upper] and end at the last event rounded up; empty ones are kept. An oldest event just on an edge
     has a bin of its own. num_new: adds less deletes; num_updated: deletes. An empty log has no bins.
     """
+    return binned(hour_counts(log), unit)
+
+
+def binned(hours: DataFrame, unit: str) -> DataFrame:
+    """The histogram (see there) of what :func:`hour_counts` gives: the events are counted once for both units."""
     size = UNITS[unit] * 1_000_000
-    span = log.agg(F.max("ts").alias("last"), F.min("ts").alias("oldest")).where("last is not null")
-    now = span.select(F.unix_micros(next_boundary(F.col("last"), unit)).alias("now"), F.unix_micros("oldest").alias("oldest"))
+    span = hours.agg(F.max("last").alias("last"), F.min("oldest").alias("oldest")).where("last is not null")
+    now = span.select(((F.floor(F.col("last") / size) + 1) * size).alias("now"), "oldest")
     bins = now.select("now", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("now") - F.col("oldest")) / size))).alias("bin"))
-    # A row: the end of the newest bin.
-    placed = log.join(F.broadcast(now.select("now"))).select(F.floor((F.col("now") - F.unix_micros("ts")) / size).alias("bin"), "op")
-    counts = placed.groupBy("bin").agg(F.count_if(F.col("op") == "Add").alias("a"), F.count_if(F.col("op") == "Delete").alias("d"))
+    # A row: the end of the newest bin. An hour lies in one bin, since bins end with hours.
+    placed = hours.join(F.broadcast(now.select("now"))).select(F.floor((F.col("now") - F.col("upper")) / size).alias("bin"), "a", "d")
+    counts = placed.groupBy("bin").agg(F.sum("a").alias("a"), F.sum("d").alias("d"))
     adds, dels = F.coalesce("a", F.lit(0)), F.coalesce("d", F.lit(0))
     edge = lambda k: F.timestamp_micros(F.col("now") - (F.col("bin") + k) * size)
     return bins.join(counts, "bin", "left").select(
@@ -101,8 +114,8 @@ def recent(log: DataFrame, days: int = 31, cap: int = 90_000) -> DataFrame:
 
 def statistics(log: DataFrame, records: DataFrame, days: int = 31, cap: int = 90_000) -> DataFrame:
     """The report of :func:`recent` events: rows of ``kind`` day and hour (see :func:`histogram`) and one of kind total."""
-    part = recent(log, days, cap)
-    rows = [histogram(part, unit).select(F.lit(unit).alias("kind"), "bin", "upper", "num_new", "num_updated") for unit in ("day", "hour")]
+    hours = stored(hour_counts(recent(log, days, cap)), "hours")
+    rows = [binned(hours, unit).select(F.lit(unit).alias("kind"), "bin", "upper", "num_new", "num_updated") for unit in ("day", "hour")]
     null_time = F.lit(None).cast("timestamp").alias("upper")
     total = records.agg(F.count("*").alias("num_new")).select(F.lit("total").alias("kind"), F.lit(0).cast("long").alias("bin"), null_time, "num_new", F.lit(0).cast("long").alias("num_updated"))
     return rows[0].unionByName(rows[1]).unionByName(total)

@@ -182,6 +182,18 @@ def refine_text(found: DataFrame, wanted: str, main: str, subs: str) -> DataFram
     return found.where((F.right(main, n) == wanted) | F.exists(subs, lambda s: F.right(s, n) == wanted))
 
 
+def refine_many(records: DataFrame, wanted: DataFrame, main: str, subs: str) -> DataFrame:
+    """``records`` with each of the ids ``wanted`` (8, 16 or 40 hex digits) that ends their fingerprint or one of ``subs``: ids of other lengths find nothing.
+
+    Records are found by the last eight digits, in one join for all ids; the whole id decides.
+    """
+    short = lambda c: F.right(c, F.lit(8))
+    asked = wanted.select("wanted").where(F.length("wanted").isin(8, 16, 40)).distinct().withColumn("_short", short("wanted"))
+    every = records.withColumn("_fp", F.explode(F.array_distinct(F.concat(F.array(main), F.coalesce(subs, F.array().cast("array<string>"))))))
+    hits = every.withColumn("_short", short("_fp")).join(asked, "_short").where(F.endswith("_fp", "wanted"))
+    return hits.drop("_fp", "_short").distinct()
+
+
 def unique_name(records: DataFrame, id_col: str, name: str) -> DataFrame:
     """``(id, name)`` of ids that exactly one record has."""
     one = records.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("_n"), F.first(name).alias(name))
@@ -225,11 +237,12 @@ def limited(rows: DataFrame, n: int, *order: Column) -> DataFrame:
 
 
 def _drawn(rows: DataFrame, seed: int) -> list[Column]:
-    return [F.xxhash64(F.lit(seed), *rows.columns), *map(F.col, rows.columns)]
+    told = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns)
+    return [F.md5(F.concat_ws("|", F.lit(str(seed)), *told)), *map(F.col, rows.columns)]
 
 
 def random_rows(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` rows drawn uniformly without repeats: those of the least hash with ``seed``, however the rows are dealt."""
+    """``n`` rows drawn uniformly without repeats: those of the least MD5 of ``seed`` and the row, however the rows are dealt."""
     return rows.orderBy(*_drawn(rows, seed)).limit(n)
 
 

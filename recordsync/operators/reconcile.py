@@ -317,7 +317,8 @@ def reach(edges: DataFrame, start: DataFrame, hops: int | None = None) -> DataFr
 
     Goes on until a step reaches nothing new. Each step's nodes are stored, which cuts the lineage.
     """
-    edges = stored(edges.select("src", "dst").distinct(), "edges")
+    # Repeated edges only repeat rows that a step makes distinct anyway.
+    edges = stored(edges.select("src", "dst"), "edges")
     seen = front = stored(start.select("node", F.lit(0).alias("hop")).distinct(), "front")
     hop = 0
     while hops is None or hop < hops:

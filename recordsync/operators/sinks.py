@@ -20,10 +20,10 @@ def shard_plan(records: DataFrame, size: int, key: str = "hash") -> DataFrame:
     return numbered(keyed, "_k", key, *rest, name="_no").withColumn("shard", F.floor((F.col("_no") - 1) / size)).drop("_k", "_no")
 
 
-def dump_shards(records: DataFrame, folder: str, size: int, key: str = "hash") -> None:
-    """Write records in shards of at most ``size``, each a folder ``shard=N`` of one file in key order."""
+def dump_shards(records: DataFrame, folder: str, size: int, key: str = "hash", kind: str = "parquet") -> None:
+    """Write records in shards of at most ``size``, each a folder ``shard=N`` of one file in key order. kind: the format; ``text`` takes records of one text column."""
     planned = shard_plan(records, size, key)
-    planned.repartition(F.col("shard")).sortWithinPartitions("shard", key).write.mode("overwrite").partitionBy("shard").parquet(folder)
+    planned.repartition(F.col("shard")).sortWithinPartitions("shard", key).write.mode("overwrite").partitionBy("shard").format(kind).save(folder)
 
 
 def manifest(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:

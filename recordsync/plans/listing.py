@@ -108,6 +108,21 @@ def packet_metadata(spark, sf):
     return out.select("hash", F.array_join("words", " ").alias("words"), "id", F.size("sub_ids").cast("long").alias("n_subs"), "ctime")
 
 
+@query(
+    "long_id_get",
+    """with w as (select upper(sha1(p_partkey::varchar)) as fp from part where p_partkey % 100 = 0)
+    select fp as wanted, p_partkey from w join part on upper(sha1(p_partkey::varchar)) = fp union select fp, p_partkey from w join part on upper(sha1((p_partkey + 1)::varchar)) = fp""",
+)
+def long_id_get(spark, sf):
+    """Long ids of all parts whose key is divisible by 100: a probe by short id, among own and next parts' ids, then the whole one decides."""
+    digest = lambda c: F.upper(F.sha1(c.cast("string")))
+    parts = table(spark, sf, "part").select("p_partkey", digest(F.col("p_partkey")).alias("fp"), F.array(digest(F.col("p_partkey") + 1)).alias("sub_fps"))
+    wanted = parts.where("p_partkey % 100 = 0").select(F.right("fp", F.lit(16)).alias("wanted"))
+    found = index.refine_many(parts, wanted, "fp", "sub_fps")
+    whole = parts.where("p_partkey % 100 = 0").select(F.right("fp", F.lit(16)).alias("wanted"), F.col("fp").alias("whole"))
+    return found.join(whole, "wanted").select(F.col("whole").alias("wanted"), "p_partkey")
+
+
 @query("long_id_refine", "select p_partkey from part where upper(sha1(p_partkey::varchar)) = upper(sha1('7')) or upper(sha1((p_partkey + 1)::varchar)) = upper(sha1('7'))")
 def long_id_refine(spark, sf):
     """Parts whose own fingerprint, or that of the next part as a subkey, is a wanted one."""

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recordsync.functions.codes import algorithm_letter, signature_type
-from recordsync.functions.ids import fingerprint_v4, to_big_endian
+from recordsync.functions.codes import PACKET_TAGS, algorithm_letter, label, signature_type
+from recordsync.functions.ids import fingerprint_v3, fingerprint_v4, to_big_endian
 from recordsync.operators import records as rec
 from recordsync.operators import sinks
 from recordsync.plans.registry import query
@@ -74,6 +74,55 @@ def key_info(spark, sf):
     return out.select("file", "version", "ctime", "alg", algorithm_letter(F.col("alg")).alias("letter"), "keylen")
 
 
+def _other_keys(spark, sf):
+    """Keys and other packets of suppliers: version 3 that expires, two curves, version 4 without an end; a revocation that stands alone for each fifth."""
+    n = F.col("s_suppkey")
+    when = to_big_endian(F.lit(900_000_000) + n, 4)
+    old = F.concat(F.lit(b"\x03"), when, to_big_endian(n % 5, 2), F.lit(b"\x01"), to_big_endian(F.lit(1024) + n % 100, 2), F.lit(b"\xff"))
+    small = F.concat(F.lit(b"\x04"), when, F.lit(b"\x13\x08"), F.unhex(F.lit("2A8648CE3D030107")), F.lit(b"\xff"))
+    large = F.concat(F.lit(b"\x04"), when, F.lit(b"\x13\x05"), F.unhex(F.lit("2B81040023")), F.lit(b"\xff"))
+    plain = F.concat(F.lit(b"\x04"), when, F.lit(b"\x01"), to_big_endian(F.lit(2048) + n % 100, 2), F.lit(b"\xff"))
+    body = F.when(n % 4 == 0, old).when(n % 4 == 1, small).when(n % 4 == 2, large).otherwise(plain)
+    revoked = F.concat(F.lit(b"\x04"), F.when(n % 2 == 0, F.lit(b"\x20")).otherwise(F.lit(b"\x13")), F.lit(b"\x01\x08\x00\x00\x00\x00"))
+    item = lambda tag, data: F.struct(F.lit(tag).alias("tag"), F.octet_length(data).cast("long").alias("length"), data.alias("body"))
+    packets = F.when(n % 5 == 0, F.array(item(2, revoked))).otherwise(F.array(item(6, body), item(13, F.encode("s_name", "UTF-8"))))
+    return table(spark, sf, "supplier").select(n.cast("string").alias("path"), packets.alias("packets"))
+
+
+@query(
+    "other_key_info",
+    """select s_suppkey::varchar as file, case when s_suppkey % 4 = 0 then 3 else 4 end as version, make_timestamp((900000000 + s_suppkey) * 1000000) as ctime,
+        case when s_suppkey % 4 = 0 then (s_suppkey % 5)::int else -1 end as days, [1, 19, 19, 1][s_suppkey % 4 + 1] as alg,
+        [1024 + s_suppkey % 100, 256, 521, 2048 + s_suppkey % 100][s_suppkey % 4 + 1]::int as keylen from supplier where s_suppkey % 5 <> 0""",
+)
+def other_key_info(spark, sf):
+    """Facts of keys of version 3, with their days (-1 for none), and of curves, read from dumps."""
+    files = _other_keys(spark, sf).select("path", sinks.packet_bytes(F.col("packets")).alias("content"))
+    return pk.key_info(pk.parse_packets(files)).select("file", "version", "ctime", F.coalesce("expiration_days", F.lit(-1)).alias("days"), "alg", "keylen")
+
+
+@query("lone_revocations", "select s_suppkey::varchar as file, s_suppkey % 5 = 0 and s_suppkey % 2 = 0 as lone, s_suppkey % 5 <> 0 as ok from supplier")
+def lone_revocations(spark, sf):
+    """Records that are one revocation alone, and those that follow the grammar."""
+    files = _other_keys(spark, sf).select("path", sinks.packet_bytes(F.col("packets")).alias("content"))
+    out = pk.records(pk.parse_packets(files))
+    return out.select("file", pk.is_lone_revocation(F.col("packets")).alias("lone"), rec.well_formed(pk.grammar_letters(F.col("packets")), F.lit(4)).alias("ok"))
+
+
+@query("packet_kinds", "select ['User ID Packet', 'Signature Packet', 'Public Key Packet'][k::int] as kind, case k when 2 then (count(*) filter (s_suppkey % 5 = 0)) else (count(*) filter (s_suppkey % 5 <> 0)) end as n from supplier, range(1, 4) as t(k) group by k")
+def packet_kinds(spark, sf):
+    """How many packets of each kind dumps hold, by name."""
+    files = _other_keys(spark, sf).select("path", sinks.packet_bytes(F.col("packets")).alias("content"))
+    return pk.parse_packets(files).groupBy(label(F.col("tag"), PACKET_TAGS).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("old_fingerprints", "select s_suppkey, upper(md5(unhex(lpad(to_hex(s_suppkey * 7919), 16, '0') || '010001'))) as fp from supplier")
+def old_fingerprints(spark, sf):
+    """Fingerprints of version 3 keys: of modulus and exponent."""
+    modulus = to_big_endian(F.col("s_suppkey") * 7919, 8)
+    return table(spark, sf, "supplier").select("s_suppkey", fingerprint_v3(modulus, F.lit(b"\x01\x00\x01")).alias("fp"))
+
+
 @query("fingerprints", f"select c_custkey, {_FP} as fp, right({_FP}, 16) as id from customer")
 def fingerprints(spark, sf):
     fp = fingerprint_v4(_key_body())
@@ -93,7 +142,7 @@ def signatures(spark, sf):
 def _long_form(spark, sf):
     """Signatures with the id of the key before them and the user id, by file and record."""
     p = pk.parse_packets(dumps(spark, sf)).where("error is null")
-    of = p.withColumn("rec", F.floor(F.col("seq") / 3))
+    of = pk.assemble(p, "file", ["seq"], F.col("tag") == 6, F.struct("seq", "offset", "tag", "body")).select("file", "rec", F.inline("items"))
     keys = of.where("tag = 6").select("file", "rec", F.right(fingerprint_v4(F.col("body")), F.lit(16)).alias("id"))
     uids = of.where("tag = 13").select("file", "rec", F.decode("body", "UTF-8").alias("uid"))
     sigs = pk.signatures(p).join(of.where("tag = 2").select("file", "offset", "rec"), ["file", "offset"])

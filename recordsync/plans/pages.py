@@ -111,6 +111,14 @@ def byte_numbers(spark, sf):
     return table(spark, sf, "documents").select("doc_id", number.alias("number"), F.hex(ids.to_big_endian(number, 4)).alias("bytes"), F.hex(ids.fit_bytes(three, 5)).alias("padded"))
 
 
+@query("long_ids", "select p_partkey, upper(right(md5(p_partkey::varchar), 16)) as id, upper(right(md5(p_partkey::varchar), 8)) as short from part")
+def long_ids(spark, sf):
+    """Ids of sixteen digits, with and without 0x, and their short forms."""
+    digits = F.right(F.md5(F.col("p_partkey").cast("string")), F.lit(16))
+    said = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("0X"), digits)).otherwise(digits)
+    return table(spark, sf, "part").select("p_partkey", ids.parse_id(said).alias("id"), ids.short_id(ids.parse_id(said)).alias("short"))
+
+
 @query("parsed_ids", "select p_partkey, upper(right(md5(p_partkey::varchar), 8)) as id, null::varchar as bad from part")
 def parsed_ids(spark, sf):
     digits = F.right(F.md5(F.col("p_partkey").cast("string")), F.lit(8))
@@ -136,6 +144,35 @@ def dump_manifest(spark, sf):
     return sinks.manifest_totals(spark, folder).select("n_shards", "n_records", "n_files", (F.col("started") <= F.col("ended")).alias("timed"))
 
 
+_PEERS = """p as (select distinct 'a' as peer, upper(md5(text)) as hash from documents where doc_id % 7 = 0 union select distinct 'b', upper(md5(text)) from documents where doc_id % 11 = 0)"""
+
+
+@query("diff_log_files", f"with {_PEERS} select peer, count(*) * 33 as bytes, md5(string_agg(hash || chr(10), '' order by hash)) as md5 from p group by peer")
+def diff_log_files(spark, sf):
+    """Differences from two peers written as sorted lines, a folder for each, and the size and MD5 of all that a folder's files hold, in order."""
+    from recordsync.sources.shared import shared_folder
+
+    docs = table(spark, sf, "documents").select("doc_id", ids.content_element(F.col("text")).alias("hash"))
+    rows = docs.where("doc_id % 7 = 0").select(F.lit("a").alias("peer"), "hash").unionByName(docs.where("doc_id % 11 = 0").select(F.lit("b").alias("peer"), "hash"))
+    folder = shared_folder(spark, "diff")
+    sinks.diff_log(rows.distinct(), folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(folder)
+    named = files.select(F.regexp_extract("path", "peer=([^/]*)/", 1).alias("peer"), F.element_at(F.split("path", "/"), -1).alias("file"), F.decode("content", "UTF-8").alias("text"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "text"))), lambda f: f["text"]), "")
+    return named.groupBy("peer").agg(F.length(whole).cast("long").alias("bytes"), F.md5(whole).alias("md5"))
+
+
+@query("text_manifest", """with d as (select hash, (row_number() over (order by hash) - 1) // 150 as shard from (select distinct upper(md5(text)) as hash from documents))
+    select shard::bigint as shard, count(*) * 33 as bytes, md5(string_agg(hash || chr(10), '' order by hash)) as md5 from d group by shard""")
+def text_manifest(spark, sf):
+    """Hashes dumped as text in shards of 150, and the manifest with the MD5 of each file."""
+    from recordsync.sources.shared import shared_folder
+
+    folder = shared_folder(spark, "dump")
+    sinks.dump_shards(table(spark, sf, "documents").select(ids.content_element(F.col("text")).alias("hash")).distinct(), folder, 150, kind="text")
+    return sinks.manifest(spark, folder, "*.txt").select(F.regexp_extract("path", "shard=(\\d+)", 1).cast("long").alias("shard"), "bytes", "md5")
+
+
 @query("diff_log_lines", """with a as (select distinct upper(md5(text)) as hash from documents where doc_id % 7 <> 0), b as (select distinct upper(md5(text)) as hash from documents where doc_id % 11 <> 0)
     select hash as line from b where hash not in (select hash from a)""")
 def diff_log_lines(spark, sf):

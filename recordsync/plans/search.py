@@ -272,7 +272,7 @@ def limit_with_total(spark, sf):
     return index.limited(orders, 10, F.desc("o_totalprice"), F.col("o_orderkey"))
 
 
-@query("random_elements")
+@query("random_elements", "select doc_id from documents order by md5('4|' || doc_id), doc_id limit 500")
 def random_elements(spark, sf):
     """Five hundred documents drawn at random, a sampling operator."""
     return index.random_rows(table(spark, sf, "documents").select("doc_id"), 500, seed=4)
