@@ -32,6 +32,25 @@ def well_formed(letters: Column, version: Column) -> Column:
     return F.when(version >= 4, letters.rlike(GRAMMAR_V4)).otherwise(letters.rlike(GRAMMAR_V3))
 
 
+def grammar(items: DataFrame, record: str, order: Sequence[str], letter: str = "letter", headed: bool = True) -> DataFrame:
+    """``(record, v4, v3, n_after)``: what :func:`well_formed` says of each record, from rows of one letter each, and how many rows stand from the first breach (version 4) on.
+
+    A record breaks the grammar where it does not begin with its key, has another key or a strange packet, or a user id or attribute after
+    a subkey (version 3: any subkey). These are least places, so partial aggregates of a record combine in any order: no task holds a
+    record, however long. Without ``headed`` the keys are left out of the rows.
+    """
+    at, kind = F.struct(*order), F.col(letter)
+    ends = items.groupBy(record).agg(F.min(at).alias("_first"), F.min(F.when(kind == "K", at)).alias("_k"))
+    inner = kind.isin("S", "U", "A", "K")
+    fits = F.when(at == F.col("_first"), kind == "P").otherwise(inner) if headed else inner
+    bad = ~F.coalesce(fits, F.lit(False)) | F.coalesce(kind.isin("U", "A") & (at > F.col("_k")), F.lit(False))
+    first_bad = items.join(ends, record).groupBy(record).agg(F.min(F.when(bad, at)).alias("_bad"), F.max(F.col("_k").isNotNull()).alias("_has_k"))
+    behind = items.join(first_bad.where("_bad is not null"), record).where(at >= F.col("_bad")).groupBy(record).agg(F.count("*").alias("n_after"))
+    out = first_bad.join(behind, record, "left")
+    whole = F.col("_bad").isNull()
+    return out.select(record, whole.alias("v4"), (whole & ~F.col("_has_k")).alias("v3"), F.coalesce("n_after", F.lit(0)).alias("n_after"))
+
+
 def canonical(children: DataFrame, record: str, parent: str, child: Column) -> DataFrame:
     """``(record, parent, children)``: children regrouped under equal parents, distinct and sorted."""
     return children.groupBy(record, parent).agg(F.array_sort(F.collect_set(child)).alias("children"))

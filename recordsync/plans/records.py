@@ -170,6 +170,17 @@ def grammar_ok(spark, sf):
     return rows.select("user_id", rec.well_formed(whole, F.lit(4)).alias("v4"), rec.well_formed(whole, F.lit(3)).alias("v3"), after.cast("long").alias("n_after"))
 
 
+@query(
+    "grammar_rows",
+    f"""with s as (select user_id, string_agg({_LETTER}, '' order by ts, event_id) as letters from events group by 1)
+    select user_id, regexp_full_match('P' || letters, 'PS*([UA]S*)*(KS*)*') as v4, regexp_full_match('P' || letters, 'PS*([UA]S*)*') as v3,
+        length(letters) - length(regexp_extract(letters, '^S*([UA]S*)*(KS*)*')) as n_after from s""",
+)
+def grammar_rows(spark, sf):
+    """What grammar_ok tells, without gathering a user's events."""
+    return rec.grammar(_letters(spark, sf), "user_id", ["ts", "event_id"], headed=False)
+
+
 @query(
     "assemble_records",
     """with m as (select *, sum((event_type = 'signup' or first)::int) over (partition by user_id order by ts, event_id) as rec from (

@@ -198,3 +198,19 @@ def test_log_file(spark, tmp_path):
     (tmp_path / "log" / "a").write_text("Title\n2024-01-01 00:00:01 Add AA\n2024-01-01 00:00:02 Del AA\nbroken\n")
     (tmp_path / "log" / "b").write_text("2024-01-01 00:00:03 Add BB\n2024-01-01 00:00:04 Add CC\n")
     assert [(r.op, r.hash) for r in text.read_change_log(spark, str(tmp_path / "log")).orderBy("ts").collect()] == [("Add", "AA"), ("Delete", "AA"), ("Add", "CC")]
+
+
+def test_grammar_by_rows(spark):
+    """Random letters against the pattern, keys included; a null letter fits nowhere."""
+    import random
+    import re
+
+    rng = random.Random(5)
+    records = {i: ("P" if rng.random() < 0.8 else "") + "".join(rng.choice("SSSUUAKKX" if rng.random() < 0.1 else "SU") for _ in range(rng.randrange(0, 6))) + "".join(rng.choice("SK") for _ in range(rng.randrange(0, 4))) for i in range(300)}
+    records = {i: s for i, s in records.items() if s} | {900: "P", 901: "PKU", 902: "PP", 903: "S"}
+    rows = spark.createDataFrame([(i, n, c) for i, s in records.items() for n, c in enumerate(s)] + [(950, 0, "P"), (950, 1, None)], "r int, seq int, letter string")
+    got = {x.r: (x.v4, x.v3, x.n_after) for x in rec.grammar(rows, "r", ["seq"]).collect()}
+    for i, s in records.items():
+        prefix = re.match("(PS*([UA]S*)*(KS*)*)?", s).group()
+        assert got[i] == (prefix == s, bool(re.fullmatch("PS*([UA]S*)*", s)), len(s) - len(prefix)), s
+    assert got[950] == (False, False, 1)
