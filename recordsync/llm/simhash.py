@@ -238,20 +238,42 @@ def _similar(docs: DataFrame, some: DataFrame, shingle: int, similarity: float)
 
 def near_bound(bits: int, similarity: float) -> int:
     """Bits that fingerprints of sets of Jaccard ``similarity`` differ by: the mean and two standard deviations."""
-    p = float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+    p = bit_change(similarity)
     return round(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
 
 
-def deduplicate(docs: DataFrame, shingle: int = 5, bits: int = 512, width: int = 20, similarity: float = 0.8, balls: int = 16) -> DataFrame:
+def bit_change(similarity: float) -> float:
+    """The chance that a bit differs between fingerprints of sets of that Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+
+
+def look_up_plan(n: int, similarity: float = 0.8, missed: float = 0.035) -> tuple[int, int, int]:
+    """``(bits, width, balls)`` for ``n`` fingerprints: segments as wide as their number has digits, so that chance deals about one to a table's value,
+    and so many, each with its ball of radius 1, that a pair at just ``similarity`` misses all of them with that chance.
+
+    Up to 2^20 fingerprints that is 25 segments of 20 bits, 16 with balls; look-ups of a fingerprint then grow with the square of the logarithm of n.
+    """
+    width = max(20, math.ceil(math.log2(max(2, n))))
+    if width == 20:
+        return 512, 20, 16
+    p = bit_change(similarity)
+    found = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    segments = math.ceil(math.log(missed) / math.log(1 - found))
+    return 64 * math.ceil(segments * width / 64), width, segments
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, bits: int | None = None, width: int = 20, similarity: float = 0.8, balls: int = 16) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: that of the smallest doc_id (nulls last, then by key).
 
     Two documents link where their sets of ``shingle``-word runs have at least that Jaccard similarity, computed from the whole
     texts, and their fingerprints are near enough to be looked up: in ``bits`` bits they differ by no more than
     two standard deviations over the mean at that similarity, and one of the segments of ``width`` bits is equal or, for
     the first ``balls`` of these, one bit apart. For 0.8, 512 bits and 25 segments a pair at just 0.8 is found with
-    probability 0.92, at 0.85 with 0.99. Rows that agree in doc_id and text are one document, and one row of it stays. All
+    probability 0.92, at 0.85 with 0.99; without ``bits``, all three follow the number of documents (see :func:`look_up_plan`). Rows that agree in doc_id and text are one document, and one row of it stays. All
     columns are kept, whatever their names.
     """
+    if bits is None:
+        bits, width, balls = look_up_plan(docs.count(), similarity)
     n = bits // width
     groups = near_groups(docs, shingle, bits, width, near_bound(bits, similarity), [1] * min(balls, n) + [0] * max(0, n - balls), similarity)
     groups = materialise(groups.select("key", "doc_id", "group_key"))

@@ -147,3 +147,27 @@ def test_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", 5, 6), (2, "a b c d e f", 5, 6)], "doc_id long, text string, near_key int, _row_key int")
     kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c d e f", 5, 6)]
+
+
+def test_look_up_plan_keeps_its_recall():
+    """Wider segments for more fingerprints: of simulated pairs at the bound no more are missed than stated, and chance pairs stay few."""
+    rng = np.random.default_rng(4)
+    assert simhash.look_up_plan(10) == simhash.look_up_plan(2**20) == (512, 20, 16)
+    for n in (2**21, 10**8, 10**10):
+        bits, width, balls = simhash.look_up_plan(n)
+        assert bits % 64 == 0 and bits // width >= balls and 2**width >= n
+        differs = (rng.random((4000, balls, width)) < simhash.bit_change(0.8)).sum(axis=2)
+        assert (differs.min(axis=1) > 1).mean() < 0.05
+
+
+def test_wide_plan_finds_what_the_usual_one_finds(spark):
+    """The plan of a large corpus, applied to a small one."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(30):
+        words = [f"w{i}" for i in rng.integers(0, 5000, 120)]
+        rows += [(10 * g, " ".join(words)), (10 * g + 1, " ".join([*words[:118], "x", f"y{g}"])), (10 * g + 2, " ".join(f"w{i}" for i in rng.integers(0, 5000, 120)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bits, width, balls = simhash.look_up_plan(2**24)
+    kept = lambda df: sorted(r.doc_id for r in df.collect())
+    assert kept(simhash.deduplicate(docs, bits=bits, width=width, balls=balls)) == kept(simhash.deduplicate(docs)) == [i for i, _ in rows if i % 10 != 1]
