@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from recordsync.llm._common import materialise
 from recordsync.llm.blocks import QUERY_BLOCK, ROW_BLOCK, block_join, first_k, matrix, tiles, usable
 
-BITS, EPS = 512, 3.5
+BITS, EPS = 1024, 3.5
 
 
 @functools.lru_cache(maxsize=4)
@@ -138,11 +138,12 @@ def candidates(queries: DataFrame, rows: DataFrame, k: int, bits: int = BITS, ep
     asked = rows.join(queries.select("no"), "no", "left_semi").select("no", "dim", "v").join(coded.select("no", "offset"), "no")
     codes = coded.select("no", "dim", "code", "size", "dot")
     schema = "query long, no long, estimate double"
-    first = block_join(asked, codes, functools.partial(_call, _greatest, (k, seed)), schema, row_block, query_block)
+    # Among three times as many the k best are near the true ones, so the bar is high.
+    first = block_join(asked, codes, functools.partial(_call, _greatest, (3 * k, seed)), schema, row_block, query_block)
     order = Window.partitionBy("query").orderBy(F.desc("estimate"), "no")
-    first = first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    first = first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 3 * k)
     # Where fewer than k rows are there, all count.
-    bars = _scored(first, rows).groupBy(F.col("query").alias("no")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("bar"))
+    bars = _best(_scored(first, rows), k).groupBy(F.col("query").alias("no")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("bar"))
     bars = materialise(bars)
     found = block_join(asked.join(bars, "no"), codes, functools.partial(_call, _reaching, (eps, seed)), schema, row_block, query_block)
     return _scored(found, rows)
