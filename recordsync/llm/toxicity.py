@@ -86,9 +86,14 @@ def _probability(model: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray
 
 def _lexicon(slots: list[np.ndarray], y: np.ndarray, rows: np.ndarray, strength: float = 10.0) -> np.ndarray:
     """Log ratio of document frequencies with the category and without, shrunk to 0 for rare slots."""
-    of = {c: np.concatenate([np.unique(slots[i]) for i in rows if y[i] == c] or [np.empty(0, np.int64)]) for c in (0, 1)}
+    # Counted some rows at a time: few slots are held twice.
+    seen = {c: np.zeros(SLOTS, np.int64) for c in (0, 1)}
+    for at in range(0, len(rows), 1024):
+        for c in (0, 1):
+            own = [np.unique(slots[i]) for i in rows[at : at + 1024] if y[i] == c]
+            seen[c] += np.bincount(np.concatenate(own or [np.empty(0, np.int64)]), minlength=SLOTS)
     n = {c: max(1, int((y[rows] == c).sum())) for c in (0, 1)}
-    rate = {c: (np.bincount(of[c], minlength=SLOTS) + strength * n[c] / (n[0] + n[1])) / n[c] for c in (0, 1)}
+    rate = {c: (seen[c] + strength * n[c] / (n[0] + n[1])) / n[c] for c in (0, 1)}
     return np.log(rate[1] / rate[0]).astype(np.float32)
 
 
@@ -146,12 +151,15 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], max
     rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text", F.xxhash64("text").alias("h"))
     each = rows.mapInPandas(features, "doc_id long, h long, y array<int>, dense array<double>, slots binary")
     # Of several texts with one id, that of the least hash.
-    got = each.groupBy("doc_id").agg(F.min_by(F.struct("y", "dense", "slots"), "h").alias("r")).select("doc_id", "r.*").toArrow().to_pandas()
-    if got.empty:
+    got = each.groupBy("doc_id").agg(F.min_by(F.struct("y", "dense", "slots"), "h").alias("r")).select("doc_id", "r.*").toArrow()
+    if not len(got):
         return None
-    got = got.sort_values("doc_id")
-    slots = [np.frombuffer(s, np.int32).reshape(-1, 1 + len(PREFIXES)) for s in got["slots"]]
-    return fit_rows(list(categories), np.array(got["y"].tolist()), np.array(got["dense"].tolist()).reshape(-1, N_STATS), slots, folds)
+    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+    # Views into what Arrow holds, which has one copy of them.
+    views = [np.frombuffer(s.as_buffer(), np.int32).reshape(-1, 1 + len(PREFIXES)) for s in got["slots"]]
+    y = np.array(got["y"].to_pylist())[order]
+    dense = got["dense"].combine_chunks().flatten().to_numpy().reshape(-1, N_STATS)[order]
+    return fit_rows(list(categories), y, dense, [views[i] for i in order], folds)
 
 
 def score(docs: DataFrame, chain: Chain | None, prefix: str = "p_", names: list[str] | None = None) -> DataFrame:
