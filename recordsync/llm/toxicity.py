@@ -159,7 +159,11 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], max
     views = [np.frombuffer(s.as_buffer(), np.int32).reshape(-1, 1 + len(PREFIXES)) for s in got["slots"]]
     y = np.array(got["y"].to_pylist())[order]
     dense = got["dense"].combine_chunks().flatten().to_numpy().reshape(-1, N_STATS)[order]
-    return fit_rows(list(categories), y, dense, [views[i] for i in order], folds)
+    chain = fit_rows(list(categories), y, dense, [views[i] for i in order], folds)
+    # What the driver has gathered goes back to the system: a session may fit many times.
+    del got, views, y, dense
+    pa.default_memory_pool().release_unused()
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain | None, prefix: str = "p_", names: list[str] | None = None) -> DataFrame:
