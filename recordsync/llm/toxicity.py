@@ -86,15 +86,16 @@ def _probability(model: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray
 
 def _lexicon(slots: list[np.ndarray], y: np.ndarray, rows: np.ndarray, strength: float = 10.0) -> np.ndarray:
     """Log ratio of document frequencies with the category and without, shrunk to 0 for rare slots."""
-    # Counted some rows at a time: few slots are held twice.
-    seen = {c: np.zeros(SLOTS, np.int64) for c in (0, 1)}
-    for at in range(0, len(rows), 1024):
-        for c in (0, 1):
-            own = [np.unique(slots[i]) for i in rows[at : at + 1024] if y[i] == c]
-            seen[c] += np.bincount(np.concatenate(own or [np.empty(0, np.int64)]), minlength=SLOTS)
-    n = {c: max(1, int((y[rows] == c).sum())) for c in (0, 1)}
-    rate = {c: (seen[c] + strength * n[c] / (n[0] + n[1])) / n[c] for c in (0, 1)}
-    return np.log(rate[1] / rate[0]).astype(np.float32)
+    seen = np.zeros((2, SLOTS), np.int32)
+    for i in rows:
+        seen[int(y[i]), np.unique(slots[i])] += 1
+    n = [max(1, int((y[rows] == c).sum())) for c in (0, 1)]
+    out = np.empty(SLOTS, np.float32)
+    # Some slots at a time: the driver holds few numbers in double precision.
+    for at in range(0, SLOTS, 1 << 16):
+        rate = [(seen[c, at : at + (1 << 16)] + strength * n[c] / (n[0] + n[1])) / n[c] for c in (0, 1)]
+        out[at : at + (1 << 16)] = np.log(rate[1] / rate[0])
+    return out
 
 
 def fit_rows(names: list[str], y: np.ndarray, dense: np.ndarray, slots: list[np.ndarray], folds: int = 5, seed: int = 11) -> Chain:
@@ -159,11 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], max
     views = [np.frombuffer(s.as_buffer(), np.int32).reshape(-1, 1 + len(PREFIXES)) for s in got["slots"]]
     y = np.array(got["y"].to_pylist())[order]
     dense = got["dense"].combine_chunks().flatten().to_numpy().reshape(-1, N_STATS)[order]
-    chain = fit_rows(list(categories), y, dense, [views[i] for i in order], folds)
-    # What the driver has gathered goes back to the system: a session may fit many times.
-    del got, views, y, dense
-    pa.default_memory_pool().release_unused()
-    return chain
+    return fit_rows(list(categories), y, dense, [views[i] for i in order], folds)
 
 
 def score(docs: DataFrame, chain: Chain | None, prefix: str = "p_", names: list[str] | None = None) -> DataFrame:
