@@ -11,7 +11,9 @@ from recordsync.operators import sinks
 from recordsync.plans.registry import query
 from recordsync.plans.tables import table
 from recordsync.sources import packets as pk
+from recordsync.sources import ranges as rg
 from recordsync.sources import text
+from recordsync.sources.shared import shared_folder
 
 _KEY = "'04' || lpad(to_hex((1000000000 + c_custkey)::bigint), 8, '0') || lpad(to_hex([1, 17, 16, 3][c_custkey % 4 + 1]), 2, '0') || lpad(to_hex(1024 + c_nationkey::int), 4, '0') || 'FF'"
 _FP = f"upper(sha1(unhex('990009' || {_KEY})))"
@@ -57,6 +59,44 @@ def packet_scan(spark, sf):
     return pk.parse_packets(dumps(spark, sf)).where("error is null").select("file", "seq", "tag", "length")
 
 
+_LARGE = """with c as (select c_nationkey, c_custkey, length(c_name) + 3 as u from customer), r as (select *, sum(u + 46) over (partition by c_nationkey order by c_custkey) - u - 46 as pos from c)
+    select c_nationkey, (pos + [0, 11, 46][k::int + 1])::bigint as "offset", [6, 2, 13][k::int + 1] as tag, [9, 33, u - 2][k::int + 1]::bigint as length from r, range(0, 3) as t(k)"""
+
+
+def _large_dumps(spark, sf):
+    """A folder with one dump for each nation, written as text: the last byte of a record is the line's end."""
+    item = lambda tag, body: F.struct(F.lit(tag).alias("tag"), F.octet_length(body).alias("length"), body.alias("body"))
+    record = F.array(item(6, _key_body()), item(2, _signature_body()), item(13, F.encode(F.concat("c_name", F.lit("\n")), "UTF-8")))
+    data = sinks.packet_bytes(record)
+    each = table(spark, sf, "customer").select("c_nationkey", "c_custkey", F.substring(data, F.lit(1), F.octet_length(data) - 1).cast("string").alias("value"))
+    folder = shared_folder(spark, "dumps")
+    each.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").drop("c_custkey").write.partitionBy("c_nationkey").text(folder)
+    return folder
+
+
+def _placed(packets):
+    nation = F.regexp_extract("file", r"c_nationkey=(\d+)", 1).cast("int").alias("c_nationkey")
+    return packets.where("error is null").select(nation, "offset", "tag", "length")
+
+
+@query("packet_ranges", _LARGE)
+def packet_ranges(spark, sf):
+    """Packets of large dumps, read range by range, with their places."""
+    folder = _large_dumps(spark, sf)
+    return _placed(rg.read_ranges(spark, folder, rg.packet_ranges(spark, folder, "*.txt", 16_384), "*.txt"))
+
+
+@query("packet_ranges_resumed", _LARGE)
+def packet_ranges_resumed(spark, sf):
+    """The same in two goes: each file's first half, then what comes after the place where reading stopped."""
+    folder = _large_dumps(spark, sf)
+    ranges = rg.packet_ranges(spark, folder, "*.txt", 4096)
+    sizes = ranges.groupBy("file").agg(F.max("end").alias("size"))
+    first = ranges.join(sizes, "file").where(F.col("end") * 2 <= F.col("size")).drop("size")
+    rest = rg.unread(ranges, first.select("file", F.col("end").alias("offset")))
+    return _placed(rg.read_ranges(spark, folder, first, "*.txt").unionByName(rg.read_ranges(spark, folder, rest, "*.txt")))
+
+
 @query("packet_records", "select (c_custkey // 200)::varchar as file, row_number() over (partition by c_custkey // 200 order by c_custkey)::bigint as rec, 'PUS' as letters, true as ok, false as lone from customer")
 def packet_records(spark, sf):
     out = pk.records(pk.parse_packets(dumps(spark, sf)))

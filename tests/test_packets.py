@@ -1,6 +1,7 @@
 """Binary dumps, armored text and the spool, on packets made by hand."""
 
 import hashlib
+import random
 import shutil
 import struct
 
@@ -11,6 +12,7 @@ from recordsync.functions.ids import fingerprint_v3, fingerprint_v4, pretty_fing
 from recordsync.operators import records as rec
 from recordsync.operators import sinks, store
 from recordsync.sources import packets as pk
+from recordsync.sources import ranges as rg
 from recordsync.sources import text
 from recordsync.streaming import log as st
 
@@ -214,3 +216,54 @@ def test_grammar_by_rows(spark):
         prefix = re.match("(PS*([UA]S*)*(KS*)*)?", s).group()
         assert got[i] == (prefix == s, bool(re.fullmatch("PS*([UA]S*)*", s)), len(s) - len(prefix)), s
     assert got[950] == (False, False, 1)
+
+
+@pytest.fixture(scope="module")
+def large(tmp_path_factory):
+    """One file of packets of all lengths, one that is cut off, one with a bad header, and one without a last line end."""
+    d, rng = tmp_path_factory.mktemp("large"), random.Random(5)
+    sizes = [*(rng.choice((0, 1, 30, 190, 200, 300, 9000)) for _ in range(1500)), 70_000, 130_000, 3]
+    some = [(old if rng.random() < 0.5 else new)(rng.choice((2, 6, 13, 14)), rng.randbytes(n)) for n in sizes]
+    (d / "0.pgp").write_bytes(b"".join(some) + old(13, b"end\n"))
+    (d / "1.pgp").write_bytes(b"".join(some[:300])[:-1])
+    (d / "2.pgp").write_bytes(b"".join(some[300:600]) + b"\n" + b"".join(some[:5]))
+    (d / "3.pgp").write_bytes(b"".join(some[-60:]) + old(13, b"end"))
+    (d / "4.pgp").write_bytes(b"\n" * 40 + some[0])
+    (d / "5.pgp").write_bytes(b"")
+    (d / "6.pgp").write_bytes(new(13, b"\n" * 5000) + b"\xc6")
+    return str(d)
+
+
+def packet_rows(df):
+    return sorted((r.file[-5], r.offset if r.offset is not None else -1, r.seq, r.tag, r.length, r.body, r.error) for r in df.collect())
+
+
+@pytest.mark.parametrize(("split", "size", "block"), [(20_000, 3000, 4096), (300_000, 50_000, 7000), (1 << 27, 1 << 23, 1 << 23)])
+def test_ranges_read_what_whole_files_hold(spark, large, split, size, block):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(split))
+    try:
+        ranges = rg.packet_ranges(spark, large, size=size)
+        assert spark.conf.get(name) == str(split)
+        got = packet_rows(rg.read_ranges(spark, large, ranges, block=block))
+    finally:
+        spark.conf.set(name, before)
+    assert got == packet_rows(pk.read_packets(spark, large))
+    if size == 3000:
+        assert ranges.where("file like '%0.pgp'").count() > 100
+
+
+def test_reading_goes_on_after_a_range(spark, large):
+    ranges = rg.packet_ranges(spark, large, size=40_000)
+    every = packet_rows(rg.read_ranges(spark, large, ranges))
+    half = ranges.where("error is null and seq < 700")
+    done = half.selectExpr("file", "end as offset")
+    first, rest = (packet_rows(rg.read_ranges(spark, large, r)) for r in (half, rg.unread(ranges, done)))
+    assert first and rest and sorted(first + rest) == every
+
+
+def test_ranges_of_no_files(spark, tmp_path):
+    (tmp_path / "a.pgp").write_bytes(b"")
+    ranges = rg.packet_ranges(spark, str(tmp_path))
+    assert ranges.count() == 0 and rg.read_ranges(spark, str(tmp_path), ranges).count() == 0
