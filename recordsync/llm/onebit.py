@@ -6,7 +6,8 @@ the unit vector o along x - c and the code's unit vector s, the inner product of
 the correction scalars |x - c| and <s, o>.
 
 Codes are scanned in blocks. A first scan finds the vectors of the greatest estimates, whose exact scores set a bar for each query; a second
-one finds all whose upper bound reaches the bar. Only these are joined with the original vectors and ranked again. Equal vectors are one
+one finds all whose upper bound reaches the bar. The first scan goes over parts of the rows, each several times as many as those before: of a later part only estimates
+that reach the k-th so far are sent on, so their number is that of the queries and parts, not that of the blocks. Only these are joined with the original vectors and ranked again. Equal vectors are one
 entry, whose copies are told apart at the end: ties of thousands of copies don't multiply.
 """
 
@@ -24,6 +25,8 @@ from recordsync.llm._common import materialise
 from recordsync.llm.blocks import QUERY_BLOCK, ROW_BLOCK, block_join, first_k, matrix, tiles, usable
 
 BITS, EPS = 1024, 3.5
+#: Of how many rows the first scan's parts are dealt, and how many times as many rows each has with those before it.
+_DEAL, STEP = 1 << 30, 8
 
 
 @functools.lru_cache(maxsize=4)
@@ -103,10 +106,10 @@ def _pairs(q: pa.Table, r: pa.Table, i: list[np.ndarray], j: list[np.ndarray], s
 
 
 def _greatest(q: pa.Table, r: pa.Table, k: int, seed: int) -> pa.Table:
-    """The ``k`` greatest estimates of each query in a block."""
+    """The ``k`` greatest estimates of each query in a block, of those that reach the query's floor."""
     i, j, got = [], [], []
     for start, estimate, _ in _estimates(q, r, 0, seed):
-        a, b = first_k(estimate, k, -np.inf)
+        a, b = first_k(np.where(estimate >= q["floor"].to_numpy()[start : start + len(estimate), None], estimate, -np.inf), k, -np.inf)
         i, j, got = [*i, a + start], [*j, b], [*got, estimate[a, b]]
     return _pairs(q, r, i, j, got)
 
@@ -132,6 +135,15 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _parts(rows: DataFrame, size: int) -> list[DataFrame]:
+    """``rows`` (no) in parts by a hash: the first has about ``size`` at most, and with each further one there are ``STEP`` times as many."""
+    n, ends = rows.count(), [_DEAL]
+    while n * ends[0] > size * _DEAL:
+        ends.insert(0, -(-ends[0] // STEP))
+    place = F.pmod(F.xxhash64("no", F.lit("part")), F.lit(_DEAL))
+    return [rows.where((place >= start) & (place < end)) for start, end in zip([0, *ends], ends)]
+
+
 def candidates(queries: DataFrame, rows: DataFrame, k: int, bits: int = BITS, eps: float = EPS, seed: int = 12, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``(query, no, vec_id, score)``: rows (no, dim, vec_id, v) among which the ``k`` best of each of ``queries`` (no) are, with exact scores; the query's own row is one of them."""
     coded = materialise(index(rows, bits, seed))
@@ -139,9 +151,17 @@ def candidates(queries: DataFrame, rows: DataFrame, k: int, bits: int = BITS, ep
     codes = coded.select("no", "dim", "code", "size", "dot")
     schema = "query long, no long, estimate double"
     # Among three times as many the k best are near the true ones, so the bar is high.
-    first = block_join(asked, codes, functools.partial(_call, _greatest, (3 * k, seed)), schema, row_block, query_block)
     order = Window.partitionBy("query").orderBy(F.desc("estimate"), "no")
-    first = first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 3 * k)
+    first = None
+    for part in _parts(codes, row_block):
+        if first is None:
+            asking = asked.withColumn("floor", F.lit(float("-inf")))
+        else:
+            floors = first.where(F.col("place") == k).select(F.col("query").alias("no"), F.col("estimate").alias("floor"))
+            asking = asked.join(floors, "no", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        got = block_join(asking, part, functools.partial(_call, _greatest, (3 * k, seed)), schema, row_block, query_block)
+        got = got if first is None else got.unionByName(first.drop("place"))
+        first = materialise(got.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 3 * k))
     # Where fewer than k rows are there, all count.
     bars = _best(_scored(first, rows), k).groupBy(F.col("query").alias("no")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("bar"))
     bars = materialise(bars)

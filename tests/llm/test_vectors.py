@@ -65,6 +65,25 @@ def test_recall(spark, shift):
     assert len(got) == len(want) and len(set(got) & set(want)) >= 0.99 * len(want)
 
 
+def test_first_scan_in_proportion(spark, monkeypatch):
+    """Five times the blocks of rows give each query hardly more rows from the first scan, and the same neighbours as brute force."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(scan, arguments, q, r):
+        out = scan(q, r, *arguments)
+        if scan is onebit._greatest:
+            made.add(len(out))
+        return out
+
+    monkeypatch.setattr(onebit, "_call", counted)
+    x = np.random.default_rng(4).normal(size=(2000, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = search(spark, rows, 4, row_block=40, query_block=50, bits=128)
+    # Of 50 blocks, 15 estimates of each would be 750 rows for each of the 100 queries.
+    assert 0 < made.value < 100 * 300
+    assert got == nearest(rows, lambda i: i % 20 == 0, 4)
+
+
 def test_bounds_hold():
     """Estimates are off by more than the bound as seldom as it says, and smaller with more bits."""
     rng = np.random.default_rng(1)
