@@ -156,6 +156,25 @@ def test_spool(spark, tmp_path):
     assert sorted(r.letters for r in now.collect()) == ["PUS", "PUSUS"]
 
 
+def test_spool_batch_takes_few_jobs(spark, tmp_path):
+    """What a batch costs besides its files: most spools are many small batches."""
+    spool = tmp_path / "spool"
+    spool.mkdir()
+    good = [old(6, KEY + bytes([i])) + old(13, b"name") + old(2, signature()) for i in range(3)]
+    cut, strange = good[0] + old(13, b"rest")[:-1], old(13, b"no key")
+    for i, data in enumerate([*good, cut, strange]):
+        (spool / f"{i}.ready").write_text(text.armor(spark.createDataFrame([(bytearray(data),)], "content binary")).first().armored)
+    (spool / "5.ready").write_text("junk")
+    where = [str(tmp_path / x) for x in ("table", "rejects", "checkpoint")]
+    count = spark.sparkContext._jsc.sc().dagScheduler().nextJobId
+    before = count()
+    st.ingest_spool(spark, str(spool), *where, files=2)
+    jobs = count() - before
+    assert st.stored_records(spark, where[0]).count() == 3
+    assert sorted(r.error for r in spark.read.parquet(where[1] + "/batch=*").collect()) == ["cut off", "malformed", "no header"]
+    assert jobs <= 3 * 15, jobs
+
+
 def test_repeated_batch_loses_nothing(spark, tmp_path):
     """A batch whose end was not noted, as after a crash, is taken in again and gives the same."""
     spool = tmp_path / "spool"
