@@ -53,11 +53,27 @@ def build(table: DataFrame, first_by: Sequence[str], key: str = "hash", words: s
     return {"records": records, "words": postings(table, F.col(words), "word", key)}
 
 
-def write_index(index: dict[str, DataFrame], folder: str, partitions: int = 200) -> None:
-    """Write each index table sorted by its first column, so that point look-ups read few row groups."""
+def short_keys(records: DataFrame, key: str = "hash") -> Column:
+    """What names the digests ``key`` of ``records`` in eight bytes: their first fifteen hex digits, a number; the digests themselves where two of them share these."""
+    short = F.conv(F.left(key, F.lit(15)), 16, 10).cast("long")
+    shared = records.select(key, short.alias("_k")).groupBy("_k").agg(F.min(key).alias("_a"), F.max(key).alias("_b")).where("_a <> _b")
+    return short if shared.isEmpty() else F.col(key)
+
+
+def write_index(index: dict[str, DataFrame], folder: str, partitions: int | None = None, distinct: Sequence[str] = ()) -> None:
+    """Write each index table sorted by its columns, so that point look-ups of the first one read few row groups.
+
+    partitions: as many as shuffles have, fewer if rows are few, if not given. Ranges are of all columns, so a frequent item lies in several. Rows of the tables named
+    in ``distinct`` may repeat and are written once: equal rows meet in the one shuffle that sorts them.
+    """
     for name, df in index.items():
-        lead = df.columns[0]
-        df.repartitionByRange(partitions, lead).sortWithinPartitions(lead).write.mode("overwrite").parquet(f"{folder}/{name}")
+        cols = df.columns
+        placed = df.repartitionByRange(*cols) if partitions is None else df.repartitionByRange(partitions, *cols)
+        if name in distinct:
+            # Their sort is the one below: no table of a task's rows is kept.
+            each = Window.partitionBy(*cols).orderBy(cols[0])
+            placed = placed.withColumn("_no", F.row_number().over(each)).where("_no = 1").drop("_no")
+        placed.sortWithinPartitions(*cols).write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
 def document_frequency(words: DataFrame, item: str = "word") -> DataFrame:

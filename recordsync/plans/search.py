@@ -291,11 +291,14 @@ def index_written(spark, sf):
     """A search over index tables that were written, sorted by word, and read back."""
     from recordsync.sources.shared import shared_folder
 
-    docs = _records(spark, sf).select("hash", "doc_id", "words")
+    docs = table(spark, sf, "documents").withColumn("hash", content_element(F.col("text")))
+    docs = docs.withColumn("key", index.short_keys(docs))
     folder = shared_folder(spark, "index")
-    index.write_index({"words": index.postings(docs, F.col("words"), "word"), "ids": docs.select("hash", "doc_id")}, folder, 8)
+    # Copies of a text give the same pairs, which are told apart from others where they are sorted.
+    pairs = index.postings(docs, word_set(F.col("text"), ordered=False), "word", "key", unique=True)
+    index.write_index({"words": pairs, "ids": docs.select("key", "hash", "doc_id")}, folder, distinct=("words",))
     words, ids = (spark.read.parquet(f"{folder}/{name}") for name in ("words", "ids"))
-    return index.search(words, ids, ["the", "and", "of", "is"]).select("doc_id", "hash")
+    return index.search(words, ids, ["the", "and", "of", "is"], "key").select("doc_id", "hash")
 
 
 @query("first_wins", "select md5(text) as k, min(doc_id) as doc_id, arg_min(source, doc_id) as source from documents group by 1")

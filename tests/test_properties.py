@@ -218,3 +218,21 @@ def test_empty_tables(spark):
     none = table(spark, [])
     assert bk.counts(none).count() == 0 and rc.difference(none, none).count() == 0 and rc.reconcile(none, none).count() == 0
     assert order.numbered(spark.createDataFrame([], "v long"), "v").count() == 0
+
+
+def test_index_tables_are_sorted_and_distinct(spark, tmp_path):
+    """A frequent word is spread over files, and repeated pairs are written once, without a shuffle of their own."""
+    words = spark.createDataFrame([("the", i % 2000) for i in range(6000)], "word string, key long")
+    index.write_index({"words": words}, str(tmp_path), 4, distinct=("words",))
+    back = spark.read.parquet(str(tmp_path / "words"))
+    assert back.count() == back.distinct().count() == 2000
+    parts = back.groupBy(F.input_file_name()).agg(F.min("key").alias("a"), F.max("key").alias("b")).orderBy("a").collect()
+    assert len(parts) == 4 and all(x.b < y.a for x, y in zip(parts, parts[1:]))
+
+
+def test_short_keys_tell_digests_apart(spark):
+    digests = ["F" * 32, "0" * 32, "0" * 15 + "1" + "0" * 16]
+    table = spark.createDataFrame([(d,) for d in digests], "hash string")
+    assert {r.k for r in table.select(index.short_keys(table).alias("k")).collect()} == set(digests)
+    some = table.where("hash < 'F' or hash = 'none'").limit(1).unionByName(table.where("hash > 'E'"))
+    assert {r.k for r in some.select(index.short_keys(some).alias("k")).collect()} == {0, 16**15 - 1}
