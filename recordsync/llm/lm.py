@@ -4,21 +4,21 @@ Counts of words and word pairs are summed over all training documents by hash, e
 hashes in a task of its own. A count becomes a level on a logarithmic scale; a gram of level q is
 entered into the filter q times, once with each number from 1 to q. Its level is read back by probing
 1, 2, 3, ... until a probe fails, so what is stored is never read as less than it was. The filters are sized by what
-was counted, to be a quarter full at most. A filter of pairs that is too large to broadcast is cut into slices by hash;
-texts are then read once for each slice, and each reading adds the tokens whose pair lies in it. Probabilities mix pair
+was counted, to be a quarter full at most. A filter of pairs that is too large for a task is cut into slices by hash. Texts are read once
+whatever their number: a task takes a million tokens at a time through all slices, of which it holds one. Probabilities mix pair
 and word estimates.
 """
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +96,7 @@ def probe(grams: np.ndarray, data: np.ndarray, shares: int, bits: int, slices: i
 @dataclass
 class Model:
     """The word filter, sizes of both filters, the number of training tokens and of different ones, exact counts of the most
-    frequent, and the weight of pairs by level of the word before. The pairs' filter comes in slices (see :func:`pair_slice`).
+    frequent, and the weight of pairs by level of the word before. The pairs' filter comes in slices, by the first bits of a pair.
     """
 
     words: np.ndarray
@@ -113,22 +113,23 @@ class Model:
         """Additively smoothed log10 probability of a token by its count."""
         return np.log10((counts + 0.1) / (self.n + 0.1 * (self.distinct + 1)))
 
-    def levels(self, texts: list[np.ndarray], data: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each token of all texts whose pair lies in the slice ``data``: its text, and levels of the pair, the word before and the word."""
+    def levels(self, texts: list[np.ndarray], slices: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each token of all texts: its text, and levels of the pair, the word before and the word. ``slices``: those of the pairs' filter, in order."""
         of = np.repeat(np.arange(len(texts)), [len(w) for w in texts])
         word, inverse = np.unique(np.concatenate(texts), return_inverse=True)
         alone = probe(word, self.words, self.shares, self.bits[1])[inverse]
         ends = np.cumsum([len(w) for w in texts])
         before = np.arange(-1, len(inverse) - 1)
         before[np.concatenate([[0], ends[:-1]])] = ends - 1  # a text starts as often as it ends
-        both = np.concatenate([pairs(w) for w in texts])
-        mine = np.flatnonzero(both >> np.uint64(64 - self.slices) == number) if self.slices else np.arange(len(both))
-        pair, place = np.unique(both[mine], return_inverse=True)
-        return of[mine], probe(pair, data, self.shares, self.bits[2], self.slices)[place], alone[before[mine]], alone[mine]
-
-    def scores(self, texts: list[np.ndarray], data: np.ndarray, number: int) -> np.ndarray:
-        """What the tokens with a pair in one slice add to the log10 probability of each text, from probes alone. It is never above 0."""
-        of, both, ahead, alone = self.levels(texts, data, number)
+        pair, place = np.unique(np.concatenate([pairs(w) for w in texts]), return_inverse=True)
+        # Slices go by the first bits of a pair, so each has a run of the sorted pairs.
+        cuts = np.searchsorted(pair, np.arange(1, 1 << self.slices, dtype=np.uint64) << np.uint64(64 - self.slices)) if self.slices else []
+        both = np.concatenate([probe(mine, data, self.shares, self.bits[2], self.slices) for mine, data in zip(np.split(pair, cuts), slices, strict=True)])
+        return of, both[place], alone[before], alone
+
+    def scores(self, texts: list[np.ndarray], slices: Iterable[np.ndarray]) -> np.ndarray:
+        """The log10 probability of each text, from probes alone. It is never above 0."""
+        of, both, ahead, alone = self.levels(texts, slices)
         share = self.mixing[ahead]
         p = share * _ratio(both, ahead, 0) + (1 - share) * self.alone(alone)
         return np.bincount(of, np.log10(p), len(texts))
@@ -166,6 +167,24 @@ def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, 256)
 
 
+def _tokenised(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows in order, some at a time, with the tokens of their texts: as many rows of a batch as have ``size`` tokens, or 256 where ``size`` is 0."""
+    for batch in batches:
+        first, held, have = 0, [], 0
+        for piece in _some([batch]):
+            for text in piece.column("text").to_pylist():
+                held.append(tokens(text))
+                have += len(held[-1])
+                if have >= size > 0:
+                    yield batch.slice(first, len(held)), held
+                    first, held, have = first + len(held), [], 0
+            if held and not size:
+                yield batch.slice(first, len(held)), held
+                first, held, have = first + len(held), [], 0
+        if held:
+            yield batch.slice(first, len(held)), held
+
+
 def _counter(shares: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -238,11 +257,12 @@ def _filter(parts: DataFrame, order: int, shares: int, bits: int, slices: int =
 
 @dataclass
 class Trained:
-    """A model, the exact count of each token (token, c), and the parts of the filters."""
+    """A model, the exact count of each token (token, c), the parts of the filters, and the slices of the pairs' filter as tasks get them."""
 
     model: Model
     counts: DataFrame
     parts: DataFrame
+    shared: list[Broadcast]
 
     def slices(self) -> Iterator[tuple[int, np.ndarray]]:
         """The slices of the pairs' filter, one after another."""
@@ -251,14 +271,21 @@ class Trained:
             yield number, _filter(self.parts, 2, m.shares, m.bits[2], m.slices, number)
 
 
+def _read(shared: list[Broadcast]) -> Iterator[np.ndarray]:
+    """The slices in order. Several are each read anew from the executor's disk, so that a task holds one at a time; a single one is kept."""
+    for one in shared:
+        path = getattr(one, "_path", None) if len(shared) > 1 else None
+        yield np.frombuffer(one.load_from_path(path) if path else one.value, np.uint8)
+
+
 def train(docs: DataFrame, head: int = 100_000, fill: float = 0.25, slice_bits: int = 29) -> Trained:
     """A model of the whole texts of ``docs``.
 
     Filters take the least power of two of bits that leaves them at most ``fill`` full: two probes then let one in sixteen of the
-    grams that were never seen pass as seen once. What is broadcast has at most 2^``slice_bits`` bits (64 MB); a larger
-    filter of pairs is cut into slices, and a word filter of more than four times that size raises a ValueError. At
+    grams that were never seen pass as seen once. What a task holds of the filter of pairs has at most 2^``slice_bits`` bits (64 MB); a larger
+    one is cut into slices, and a word filter of more than four times that size raises a ValueError. At
     most ``head`` exact counts go to the driver besides. Weights of pairs come from all training tokens, tallied by their
-    levels. The corpus is counted in shares, four or more for each partition of ``docs``. Null and empty
+    levels. Texts are read twice, to count and to tally, however many slices there are. The corpus is counted in shares, four or more for each partition of ``docs``. Null and empty
     texts consist of their end.
     """
     spark = docs.sparkSession
@@ -282,29 +309,32 @@ def train(docs: DataFrame, head: int = 100_000, fill: float = 0.25, slice_bits:
     n, distinct = (sums[1]["n"], sums[1]["distinct"]) if 1 in sums else (0, 0)
     words = _filter(parts, 1, shares, bits[1])
     model = Model(words, shares, bits, slices, n, distinct, heads[at], top["c"].to_numpy().astype(np.int64)[at], np.full(_LEVELS, 0.1))
-    trained = Trained(model, counts, parts)
-    shared = spark.sparkContext.broadcast(model)
-    tallies: dict[int, int] = {}
-    for number, data in trained.slices():
-        pair_filter = spark.sparkContext.broadcast(data.tobytes())  # bytes are read without a copy
-
-        def tally(batches: Iterator[pa.RecordBatch], number: int = number, pair_filter=pair_filter) -> Iterator[pa.RecordBatch]:
-            seen = np.zeros(_LEVELS**3, np.int64)
-            for batch in _some(batches):
-                _, both, ahead, alone = shared.value.levels([tokens(t) for t in batch.column("text").to_pylist()], np.frombuffer(pair_filter.value, np.uint8), number)
-                cell, n = np.unique((both * _LEVELS + ahead) * _LEVELS + alone, return_counts=True)
-                seen[cell] += n
-            cell = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(seen[cell])], ["cell", "n"])
-
-        # A bounded number of rows: one for each three levels.
-        for r in texts.mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-            tallies[r["cell"]] = tallies.get(r["cell"], 0) + r["n"]
+    trained = Trained(model, counts, parts, [])
+    context = spark.sparkContext
+    trained.shared.extend(context.broadcast(data.tobytes()) for _, data in trained.slices())  # bytes are read without a copy
+    shared, pair_filter, size = context.broadcast(model), trained.shared, _size(model)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(_LEVELS**3, np.int64)
+        for _, some in _tokenised(batches, size):
+            _, both, ahead, alone = shared.value.levels(some, _read(pair_filter))
+            cell, n = np.unique((both * _LEVELS + ahead) * _LEVELS + alone, return_counts=True)
+            seen[cell] += n
+        cell = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(seen[cell])], ["cell", "n"])
+
+    # A bounded number of rows: one for each three levels.
+    tallies = {r["cell"]: r["n"] for r in texts.mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
     cells = np.array(sorted(tallies), np.int64)
     tune(model, np.stack([cells // _LEVELS**2, cells // _LEVELS % _LEVELS, cells % _LEVELS], axis=1), np.array([tallies[c] for c in cells.tolist()], float))
     return trained
 
 
+def _size(model: Model) -> int:
+    """Tokens that go through the slices together: few texts at a time with one slice, with more so many that reading these is a small part of the work."""
+    return _FLUSH if model.slices else 0
+
+
 def score(docs: DataFrame, trained: Trained) -> DataFrame:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` for each row of ``docs`` (doc_id, text).
 
@@ -313,36 +343,30 @@ def score(docs: DataFrame, trained: Trained) -> DataFrame:
     have one token, their end. Repeated rows stay repeated; rows with null ids are scored like others.
     """
     model, counts, context = trained.model, trained.counts, docs.sparkSession.sparkContext
-    shared = context.broadcast(model)
-
-    def reader(number: int, pair_filter):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            log_head = m.base(m.head_counts)
-            for batch in _some(batches):
-                texts, keys, ids = [tokens(t) for t in batch.column("text").to_pylist()], batch.column("key").to_numpy(), batch.column("doc_id")
-                score, zero = m.scores(texts, np.frombuffer(pair_filter.value, np.uint8), number), np.zeros(len(texts), np.int64)
-                if number:  # all but the score has been told with the first slice
-                    yield _told(ids, keys, zero, zero, zero * 0.0, score, keys, zero, zero)
-                    continue
-                rows, rare = [], []
-                for i, words in enumerate(texts):
-                    word, times = np.unique(words, return_counts=True)
-                    place = np.minimum(np.searchsorted(m.head, word), max(0, len(m.head) - 1))
-                    known = m.head[place] == word if len(m.head) else np.zeros(len(word), bool)
-                    rows.append((len(words), times[known].sum(), (times[known] * log_head[place[known]]).sum()))
-                    rare.append((np.full((~known).sum(), i), word[~known].view(np.int64), times[~known]))
-                n_tokens, n_known, base = zip(*rows, strict=True)
-                yield _told(ids, keys, np.array(n_tokens), np.array(n_known), np.array(base), score, keys, zero, zero + 1)
-                i, token, tf = (np.concatenate(x) for x in zip(*rare, strict=True))
-                zero = np.zeros(len(i), np.int64)
-                yield _told(ids.take(pa.array(i)), keys[i], zero, zero, zero * 0.0, zero * 0.0, token, tf, zero)
-
-        return run
+    shared, pair_filter, size = context.broadcast(model), trained.shared, _size(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        log_head = m.base(m.head_counts)
+        for batch, texts in _tokenised(batches, size):
+            keys, ids = batch.column("key").to_numpy(), batch.column("doc_id")
+            score, zero = m.scores(texts, _read(pair_filter)), np.zeros(len(texts), np.int64)
+            rows, rare = [], []
+            for i, words in enumerate(texts):
+                word, times = np.unique(words, return_counts=True)
+                place = np.minimum(np.searchsorted(m.head, word), max(0, len(m.head) - 1))
+                known = m.head[place] == word if len(m.head) else np.zeros(len(word), bool)
+                rows.append((len(words), times[known].sum(), (times[known] * log_head[place[known]]).sum()))
+                rare.append((np.full((~known).sum(), i), word[~known].view(np.int64), times[~known]))
+            n_tokens, n_known, base = zip(*rows, strict=True)
+            yield _told(ids, keys, np.array(n_tokens), np.array(n_known), np.array(base), score, keys, zero, zero + 1)
+            i, token, tf = (np.concatenate(x) for x in zip(*rare, strict=True))
+            zero = np.zeros(len(i), np.int64)
+            yield _told(ids.take(pa.array(i)), keys[i], zero, zero, zero * 0.0, zero * 0.0, token, tf, zero)
 
     rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), F.col("text").cast("string"))
     schema = "doc_id long, key long, n_tokens long, n_known long, base_score double, score double, token long, tf long, rows long"
-    found = functools.reduce(DataFrame.unionByName, (rows.mapInArrow(reader(k, context.broadcast(data.tobytes())), schema) for k, data in trained.slices()))
+    found = rows.mapInArrow(run, schema)
     c = F.coalesce("c", F.lit(0))
     below = model.n + 0.1 * (model.distinct + 1)
     joined = found.join(counts, (found["token"] == counts["token"]) & (found["tf"] > 0), "left")

@@ -85,6 +85,27 @@ def test_scores_against_exact_counts(spark, sf, slice_bits):
     assert np.mean(near) > 0.97
 
 
+@pytest.mark.parametrize("slice_bits", [30, 24])
+def test_texts_are_read_once_for_all_slices(spark, sf, slice_bits):
+    """Counting, tallying and scoring read each text once, whatever the number of slices, and scores are the same."""
+    _, _, df, _ = corpus(spark, sf)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    told = df.mapInArrow(counted, df.schema)
+    trained = lm.train(told, fill=2e-3, slice_bits=slice_bits)
+    assert (1 << trained.model.slices > 1) == (slice_bits == 24)
+    got = sorted(r.score for r in lm.score(told, trained).collect())
+    assert read.value == 3 * df.count()
+    data = np.concatenate([part for _, part in trained.slices()])
+    one = lm.Model(**{**vars(trained.model), "slices": 0})
+    assert got == pytest.approx(sorted(one.scores([lm.tokens(r.text) for r in df.collect()], [data])))
+
+
 @pytest.mark.parametrize("tables", ["sf0.001", "sf0.01"])
 def test_filters_grow_with_the_corpus(spark, tables):
     docs = spark.read.parquet(f"/root/testdata/{tables}/documents.parquet")
