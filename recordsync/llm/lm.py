@@ -5,12 +5,13 @@ hashes in a task of its own. A count becomes a level on a logarithmic scale; a g
 entered into the filter q times, once with each number from 1 to q. Its level is read back by probing
 1, 2, 3, ... until a probe fails, so what is stored is never read as less than it was. The filters are sized by what
 was counted, to be a quarter full at most. A filter of pairs that is too large for a task is cut into slices by hash. Texts are read once
-whatever their number: a task takes a million tokens at a time through all slices, of which it holds one. Probabilities mix pair
+whatever their number: a task takes half a million tokens at a time through all slices, one after another. Probabilities mix pair
 and word estimates.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
+from pyspark import Broadcast, SparkContext, SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -255,14 +256,40 @@ def _filter(parts: DataFrame, order: int, shares: int, bits: int, slices: int =
     return out
 
 
+@dataclass
+class PairFilter:
+    """The slices of the pairs' filter in tasks: a single one is broadcast; several are files that an executor fetches once and its workers map, one at a time."""
+
+    whole: Broadcast | None
+    files: list[str]
+
+    @classmethod
+    def of(cls, context: SparkContext, slices: Iterable[np.ndarray], several: bool) -> PairFilter:
+        if not several:
+            return cls(context.broadcast(next(iter(slices)).tobytes()), [])  # bytes are read without a copy
+        files = []
+        for data in slices:
+            files.append(f"pairs-{uuid.uuid4().hex}")
+            path = f"{SparkFiles.getRootDirectory()}/{files[-1]}"  # it goes with the session
+            data.tofile(path)
+            context.addFile(path)
+        return cls(None, files)
+
+    def slices(self) -> Iterator[np.ndarray]:
+        if self.whole is not None:
+            yield np.frombuffer(self.whole.value, np.uint8)
+        for name in self.files:
+            yield np.asarray(np.memmap(SparkFiles.get(name), np.uint8, "r"))
+
+
 @dataclass
 class Trained:
-    """A model, the exact count of each token (token, c), the parts of the filters, and the slices of the pairs' filter as tasks get them."""
+    """A model, the exact count of each token (token, c), the parts of the filters, and the pairs' filter as tasks get it."""
 
     model: Model
     counts: DataFrame
     parts: DataFrame
-    shared: list[Broadcast]
+    pairs: PairFilter | None = None
 
     def slices(self) -> Iterator[tuple[int, np.ndarray]]:
         """The slices of the pairs' filter, one after another."""
@@ -271,13 +298,6 @@ class Trained:
             yield number, _filter(self.parts, 2, m.shares, m.bits[2], m.slices, number)
 
 
-def _read(shared: list[Broadcast]) -> Iterator[np.ndarray]:
-    """The slices in order. Several are each read anew from the executor's disk, so that a task holds one at a time; a single one is kept."""
-    for one in shared:
-        path = getattr(one, "_path", None) if len(shared) > 1 else None
-        yield np.frombuffer(one.load_from_path(path) if path else one.value, np.uint8)
-
-
 def train(docs: DataFrame, head: int = 100_000, fill: float = 0.25, slice_bits: int = 29) -> Trained:
     """A model of the whole texts of ``docs``.
 
@@ -309,15 +329,14 @@ def train(docs: DataFrame, head: int = 100_000, fill: float = 0.25, slice_bits:
     n, distinct = (sums[1]["n"], sums[1]["distinct"]) if 1 in sums else (0, 0)
     words = _filter(parts, 1, shares, bits[1])
     model = Model(words, shares, bits, slices, n, distinct, heads[at], top["c"].to_numpy().astype(np.int64)[at], np.full(_LEVELS, 0.1))
-    trained = Trained(model, counts, parts, [])
-    context = spark.sparkContext
-    trained.shared.extend(context.broadcast(data.tobytes()) for _, data in trained.slices())  # bytes are read without a copy
-    shared, pair_filter, size = context.broadcast(model), trained.shared, _size(model)
+    trained, context = Trained(model, counts, parts), spark.sparkContext
+    trained.pairs = pair_filter = PairFilter.of(context, (data for _, data in trained.slices()), model.slices > 0)
+    shared, size = context.broadcast(model), _size(model)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(_LEVELS**3, np.int64)
         for _, some in _tokenised(batches, size):
-            _, both, ahead, alone = shared.value.levels(some, _read(pair_filter))
+            _, both, ahead, alone = shared.value.levels(some, pair_filter.slices())
             cell, n = np.unique((both * _LEVELS + ahead) * _LEVELS + alone, return_counts=True)
             seen[cell] += n
         cell = np.flatnonzero(seen)
@@ -331,8 +350,8 @@ def train(docs: DataFrame, head: int = 100_000, fill: float = 0.25, slice_bits:
 
 
 def _size(model: Model) -> int:
-    """Tokens that go through the slices together: few texts at a time with one slice, with more so many that reading these is a small part of the work."""
-    return _FLUSH if model.slices else 0
+    """Tokens that go through the slices together: few texts at a time with one slice, with more so many that turning to these is a small part of the work."""
+    return _FLUSH // 2 if model.slices else 0
 
 
 def score(docs: DataFrame, trained: Trained) -> DataFrame:
@@ -343,14 +362,14 @@ def score(docs: DataFrame, trained: Trained) -> DataFrame:
     have one token, their end. Repeated rows stay repeated; rows with null ids are scored like others.
     """
     model, counts, context = trained.model, trained.counts, docs.sparkSession.sparkContext
-    shared, pair_filter, size = context.broadcast(model), trained.shared, _size(model)
+    shared, pair_filter, size = context.broadcast(model), trained.pairs, _size(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         log_head = m.base(m.head_counts)
         for batch, texts in _tokenised(batches, size):
             keys, ids = batch.column("key").to_numpy(), batch.column("doc_id")
-            score, zero = m.scores(texts, _read(pair_filter)), np.zeros(len(texts), np.int64)
+            score, zero = m.scores(texts, pair_filter.slices()), np.zeros(len(texts), np.int64)
             rows, rare = [], []
             for i, words in enumerate(texts):
                 word, times = np.unique(words, return_counts=True)
